@@ -74,18 +74,29 @@ def union_ids(frames: Iterable[DataFrame], key: str) -> DataFrame:
     return out.distinct()
 
 
-def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that occur a different number of times in the two frames.
+def _rows_per_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each distinct row with its number of copies in either frame.
 
     One aggregation over tagged rows, so duplicates count and a hot row is
     combined before the shuffle.
     """
     columns = a.columns
     tagged = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
-    return (tagged.groupBy(*columns)
-            .agg(F.count_if(F.col("_side") == 1).alias("left_rows"),
-                 F.count_if(F.col("_side") == -1).alias("right_rows"))
-            .where("left_rows <> right_rows"))
+    return tagged.groupBy(*columns).agg(
+        F.count_if(F.col("_side") == 1).alias("left_rows"),
+        F.count_if(F.col("_side") == -1).alias("right_rows"))
+
+
+def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that occur a different number of times in the two frames."""
+    return _rows_per_side(a, b).where("left_rows <> right_rows")
+
+
+def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: size of either frame and number of distinct rows that differ."""
+    return _rows_per_side(a, b).agg(
+        F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"),
+        F.count_if(F.col("left_rows") != F.col("right_rows")).alias("differing_rows"))
 
 
 def frames_equal(a: DataFrame, b: DataFrame) -> bool:

@@ -252,11 +252,10 @@ class CohortStudy:
         on_list = self.flags().where("clinic = 1")
         ages = ("age_onset", "age_diagnosis")
         list_ages = ("list_age_onset", "list_age_diagnosis")
-        stacked = (
+        return (
             clinic.stage_ages(found, register_found, *ages, case_only=False)
             .unionByName(clinic.stage_ages(on_list.where("is_case = 1"), clinic_found,
                                            *list_ages, case_only=False))
             .unionByName(clinic.stage_ages(on_list, clinic_all, *list_ages))
             .unionByName(clinic.stage_ages(matched, register_all, *ages))
         )
-        return describe.with_order(stacked, "group", STAGE_AGE_GROUPS)
