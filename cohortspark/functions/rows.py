@@ -53,6 +53,20 @@ def single_row_ids(df: DataFrame, key: str) -> DataFrame:
     return grouped.where(~F.greatest(*(F.col(c) for c in clash), F.lit(False))).select(df.columns)
 
 
+def repeat_rows(df: DataFrame, copies: str, chunk: int = 10_000) -> DataFrame:
+    """Each row ``copies`` times, without the column.
+
+    Two nested sequences keep the arrays short even for a huge count.
+    """
+    n = F.col(copies)
+    rest = F.least(F.lit(chunk), n - F.col("_chunk") * chunk)
+    return (
+        df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk))))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), rest)))
+        .drop("_chunk", "_copy", copies)
+    )
+
+
 def in_set(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``ids``."""
     return df.join(ids.select(key), key, "left_semi")

@@ -228,16 +228,3 @@ def true_negatives_two_ways(flags: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(f"NOT ({CLINIC_MISSED})")
     from_clinic = area.where("clinic_area = 0").where(f"NOT ({NOT_LISTED})")
     return from_algorithm.select("person_id"), from_clinic.select("person_id")
-
-
-def stage_ages(people: DataFrame, group: str, onset: str, diagnosis: str,
-               case_only: bool = True) -> DataFrame:
-    """Ages of one group in the shape shared by the matched-ages table."""
-    potential = F.col("potential_age")
-    if case_only:
-        potential = F.when(F.col("is_case") != 0, potential)
-    return people.select(
-        "person_id", F.lit(group).alias("group"), "age_current",
-        potential.alias("potential_age"),
-        F.col(onset).alias("age_onset"), F.col(diagnosis).alias("age_diagnosis"),
-        (F.col(diagnosis) - F.col(onset)).alias("onset_to_diagnosis"))

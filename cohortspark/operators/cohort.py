@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,25 +54,26 @@ def extra_only(classified: DataFrame) -> DataFrame:
         .withColumnRenamed("potential_age", "diagnosis_age")
 
 
-def code_totals(counts: DataFrame, members: Mapping[str, DataFrame],
-                grand_total: Mapping[str, bool] | None = None) -> DataFrame:
-    """People per code type for each named set of people: ``population, code_type, people``.
+def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str, str],
+                without_total: Sequence[str] = ()) -> DataFrame:
+    """People per code type and population: ``population, code_type, people``.
 
-    A person counts once per type.  The grand total is the number of people
-    with any type, not the sum of the parts.  Each set is one global aggregate
-    whose single row is then unpivoted, so no person row is ever multiplied.
+    ``members`` has one row per person with a boolean column per population;
+    ``populations`` gives each column its label.  A person counts once per
+    type.  The grand total is the number of people with any type, not the sum
+    of the parts.  All numbers come from one global aggregate, whose single row
+    is then unpivoted, so no person row is ever multiplied.
     """
     each = {c: sum((F.col(f"{c}_{s.lower()}_count") for s in SOURCES), F.lit(0))
             for c in COUNTED_CONCEPTS}
-    out = None
-    for name, ids in members.items():
-        wanted = [F.sum(F.least(total, F.lit(1))).alias(c) for c, total in each.items()]
-        if (grand_total or {}).get(name, True):
-            wanted.append(F.count_if(F.greatest(*each.values()) > 0).alias(GRAND_TOTAL))
-        totals = counts.join(ids.select("person_id"), "person_id", "left_semi").agg(*wanted)
-        long = totals.unpivot([], totals.columns, "code_type", "people") \
-            .where(F.coalesce(F.col("people"), F.lit(0)) > 0) \
-            .select(F.lit(name).alias("population"), "code_type",
-                    F.col("people").cast("long").alias("people"))
-        out = long if out is None else out.unionByName(long)
-    return out
+    each[GRAND_TOTAL] = sum((F.least(n, F.lit(1)) for n in each.values()), F.lit(0))
+    cells = [(column, label, kind) for column, label in populations.items() for kind in each
+             if kind != GRAND_TOTAL or column not in without_total]
+    totals = counts.join(members, "person_id").agg(*(
+        F.sum(F.when(F.col(column), F.least(each[kind], F.lit(1)))).alias(f"_{i}")
+        for i, (column, _, kind) in enumerate(cells)))
+    rows = F.array(*(
+        F.struct(F.lit(label).alias("population"), F.lit(kind).alias("code_type"),
+                 F.col(f"_{i}").cast("long").alias("people"))
+        for i, (_, label, kind) in enumerate(cells)))
+    return totals.select(F.inline(rows)).where("people > 0")

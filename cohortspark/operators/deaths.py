@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.codes import DEATH_CODE_PATTERNS, DEATH_DISCHARGE_METHOD
 from cohortspark.config import StudyConfig
+from cohortspark.functions.rows import repeat_rows
 
 REGISTER, DEMOGRAPHICS, GP_RECORD, HOSPITAL = "REGISTER", "DEMOGRAPHICS", "GP", "HOSPITAL"
 
@@ -40,6 +41,13 @@ def discover_codes(dictionary: DataFrame,
     return dictionary.where(hit)
 
 
+def death_codes(dictionary_a: DataFrame, dictionary_b: DataFrame,
+                patterns: Sequence[str] = DEATH_CODE_PATTERNS) -> DataFrame:
+    """Matching codes of both dictionaries, as the right side of a semi-join: repeats do no harm."""
+    return discover_codes(dictionary_a.select("code").unionByName(dictionary_b.select("code")),
+                          patterns)
+
+
 def gp_deaths(events: DataFrame, codes: DataFrame, cfg: StudyConfig) -> DataFrame:
     """GP events that record a death.
 
@@ -59,37 +67,46 @@ def hospital_deaths(spells: DataFrame, cfg: StudyConfig) -> DataFrame:
         F.col("person_id").isNotNull()
         & (F.col("discharge_method") == DEATH_DISCHARGE_METHOD)
         & (F.col("discharge_date") <= F.lit(cfg.date_max))
-    ).select("person_id", F.col("discharge_date").alias("death_date")).distinct()
+    ).select("person_id", F.col("discharge_date").alias("death_date"))
 
 
 def death_cascade(sources: Sequence[DeathSource], dedupe: bool = False) -> DataFrame:
     """Each person's deaths from the first source that lists the person.
 
-    The best source per person is a small map-side-combined aggregate; the rows
-    then stream through a semi-join, so one person's many records never gather
-    in a window.
+    One row per person and death date: ``person_id, death_date, death_source,
+    copies``, where ``copies`` counts the records with that date.  All sources
+    are pre-aggregated in one shuffle, so the window that picks the best source
+    sees at most one row per person, source and date.
     """
     union = None
     for priority, source in enumerate(sources):
-        rows = source.rows.where(F.col("person_id").isNotNull()).select("person_id", "death_date")
-        if source.first_only:
-            rows = rows.groupBy("person_id").agg(F.min("death_date").alias("death_date"))
-        rows = rows.select("*", F.lit(priority).alias("priority"),
-                           F.lit(source.name).alias("death_source"))
+        rows = source.rows.where(F.col("person_id").isNotNull()).select(
+            "person_id", "death_date", F.lit(priority).alias("priority"),
+            F.lit(source.name).alias("death_source"), F.lit(source.first_only).alias("first"))
         union = rows if union is None else union.unionByName(rows)
-    best = union.groupBy("person_id").agg(F.min("priority").alias("priority"))
-    kept = union.join(best, ["person_id", "priority"], "left_semi").drop("priority")
+    dates = union.groupBy(
+        "person_id", "priority", "death_source", "first",
+        F.when(~F.col("first"), F.col("death_date")).alias("_date"),
+    ).agg(F.min("death_date").alias("death_date"), F.count(F.lit(1)).alias("copies"))
+    best = F.min("priority").over(Window.partitionBy("person_id"))
+    kept = dates.withColumn("_best", best).where("priority = _best").select(
+        "person_id", "death_date", "death_source",
+        F.when(F.col("first"), 1).otherwise(F.col("copies")).alias("copies"))
     if dedupe:
         kept = kept.groupBy("person_id", "death_source").agg(
-            F.min("death_date").alias("death_date"))
-    return kept.select("person_id", "death_date", "death_source")
+            F.min("death_date").alias("death_date"), F.lit(1).cast("long").alias("copies"))
+    return kept
+
+
+def death_records(deaths: DataFrame) -> DataFrame:
+    """One row per death record, as the sources list them."""
+    return repeat_rows(deaths, "copies")
 
 
-def all_deaths(tables: dict[str, DataFrame], cfg: StudyConfig,
+def all_deaths(tables: Mapping[str, DataFrame], cfg: StudyConfig,
                patterns: Sequence[str] = DEATH_CODE_PATTERNS) -> DataFrame:
     """The cascade over register, demographics, GP records and hospital stays."""
-    codes = discover_codes(
-        code_dictionary(tables["dictionary_a"], tables["dictionary_b"]), patterns)
+    codes = death_codes(tables["dictionary_a"], tables["dictionary_b"], patterns)
     return death_cascade([
         DeathSource(REGISTER, tables["death_register"]),
         DeathSource(DEMOGRAPHICS, tables["demographics"].where("death_date IS NOT NULL")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ OUTPATIENT_KEYS = ("unit", "available_date", "attendance_id", "case_no", "attend
 
 def tag(records: DataFrame, codeset: CodeSet, system: str,
         keep: Sequence[str | Column]) -> DataFrame:
-    """Distinct ``keep`` columns plus ``concept`` and ``code`` of records in the code set.
+    """``keep`` columns plus ``concept`` and ``code`` of records in the code set.
 
     The code condition is a plain predicate, so it reaches the scan.  The code
     is kept only for concepts whose events are told apart by code.
@@ -35,12 +35,11 @@ def tag(records: DataFrame, codeset: CodeSet, system: str,
         records.where(codeset.condition(system))
         .select(*keep, "code", F.explode(F.array_compact(hits)).alias("concept"))
         .withColumn("code", F.when(concept.isin(list(codeset.by_code)), F.col("code")))
-        .distinct()
     )
 
 
 def gp_events(events: DataFrame, codeset: CodeSet, cfg: StudyConfig) -> DataFrame:
-    """Tagged primary-care events of the study period."""
+    """Tagged primary-care events of the study period, repeats included."""
     linked = events.where(F.col("person_id").isNotNull() & in_study("event_date", cfg))
     return tag(linked, codeset, GP, ["person_id", "event_date"]) \
         .withColumn("source", F.lit(GP_SOURCE)).select(*EVENT_COLUMNS)
@@ -50,8 +49,9 @@ def inpatient_diagnoses(spells: DataFrame, episodes: DataFrame, tagged: DataFram
                         cfg: StudyConfig) -> DataFrame:
     """Tagged diagnoses with the person and admission of their spell.
 
-    Diagnoses are cut to the wanted codes and made distinct first; an episode
-    only has to exist, so it is a semi-join and cannot multiply rows.
+    Diagnoses are cut to the wanted codes first.  An episode only has to exist,
+    so it is a semi-join that streams them and cannot multiply rows; what is
+    left is made distinct per spell before it meets the spells.
     """
     stays = spells.where(F.col("person_id").isNotNull() & in_study("admission_date", cfg)) \
         .select(*SPELL_KEYS, "person_id", F.col("admission_date").alias("event_date"))
@@ -62,22 +62,22 @@ def inpatient_diagnoses(spells: DataFrame, episodes: DataFrame, tagged: DataFram
 
 def inpatient_events(spells: DataFrame, episodes: DataFrame, diagnoses: DataFrame,
                      codeset: CodeSet, cfg: StudyConfig) -> DataFrame:
-    """Tagged inpatient events, dated by admission."""
+    """Tagged inpatient events, dated by admission; a person may repeat an event."""
     tagged = tag(diagnoses, codeset, INPATIENT, EPISODE_KEYS)
     return inpatient_diagnoses(spells, episodes, tagged, cfg) \
-        .withColumn("source", F.lit(HOSPITAL_SOURCE)).select(*EVENT_COLUMNS).distinct()
+        .withColumn("source", F.lit(HOSPITAL_SOURCE)).select(*EVENT_COLUMNS)
 
 
 def outpatient_events(visits: DataFrame, diagnoses: DataFrame, codeset: CodeSet,
                       cfg: StudyConfig) -> DataFrame:
-    """Tagged outpatient events, dated by attendance."""
+    """Tagged outpatient events, dated by attendance; a person may repeat an event."""
     coded = diagnoses.where(in_study("attended_date", cfg)).withColumn(
         "code", F.concat("stem", F.coalesce("fourth", F.lit(""))))
-    tagged = tag(coded, codeset, OUTPATIENT, OUTPATIENT_KEYS)
+    tagged = tag(coded, codeset, OUTPATIENT, OUTPATIENT_KEYS).distinct()
     people = visits.where(F.col("person_id").isNotNull()).select(*OUTPATIENT_KEYS, "person_id")
     return people.join(tagged, list(OUTPATIENT_KEYS), "inner") \
-        .withColumn("event_date", F.col("attended_date")) \
-        .withColumn("source", F.lit(HOSPITAL_SOURCE)).select(*EVENT_COLUMNS).distinct()
+        .select("person_id", F.col("attended_date").alias("event_date"),
+                F.lit(HOSPITAL_SOURCE).alias("source"), "concept", "code")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def tag_all_sources(tables: dict[str, DataFrame], codeset: CodeSet,
+def tag_all_sources(tables: Mapping[str, DataFrame], codeset: CodeSet,
                     cfg: StudyConfig) -> DataFrame:
     """Every concept of the code set from all three sources, one pass per source."""
     return union_sources(
@@ -107,18 +107,18 @@ def attach_demographics(events: DataFrame, persons: DataFrame) -> DataFrame:
 def valid_events(events: DataFrame, persons: DataFrame, deaths: DataFrame) -> DataFrame:
     """Events of resolved persons that are neither before birth nor after death.
 
-    A person with several recorded deaths has each event once per distinct
-    death date; ``copies`` says how many death records share that date, so that
-    counts can follow the records without multiplying rows.
+    ``deaths`` has one row per person and death date.  A person with several
+    recorded deaths has each event once per distinct death date; ``copies``
+    says how many death records share that date, so that counts can follow the
+    records without multiplying rows.
     """
-    per_date = deaths.groupBy("person_id", "death_date").agg(F.count(F.lit(1)).alias("copies"))
     age = years_between(F.col("event_date"), F.col("birth_date"))
     after_death = truthy(F.col("death_date") < F.col("event_date"))
     return (
         attach_demographics(events, persons)
         .withColumn("event_age", age)
         .where("event_age >= 0")
-        .join(per_date, "person_id", "left")
+        .join(deaths.select("person_id", "death_date", "copies"), "person_id", "left")
         .where(~after_death)
         .withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
     )

@@ -10,6 +10,7 @@ from cohortspark.config import StudyConfig
 from cohortspark.functions.dates import years_between
 from cohortspark.functions.labels import GENDERS, decode
 from cohortspark.functions.rows import truthy
+from cohortspark.operators.deaths import death_records
 from cohortspark.operators.events import SOURCES
 
 HOUSEHOLD_COLUMNS = {
@@ -30,32 +31,39 @@ def known_persons(persons: DataFrame, contact: DataFrame) -> DataFrame:
         .withColumn("gender", decode(F.col("gender_cd"), GENDERS))
 
 
-def person_frame(persons: DataFrame, contact: DataFrame, features: DataFrame,
-                 deaths: DataFrame, location: DataFrame, cfg: StudyConfig,
+def person_base(persons: DataFrame, contact: DataFrame, deaths: DataFrame,
+                cfg: StudyConfig) -> DataFrame:
+    """Known persons with death, exit date and current age.
+
+    A person with several death records keeps a row per record.  People who
+    would leave before birth, or born after the ceiling year, are dropped.
+    """
+    death, last_day = F.col("death_date"), F.lit(cfg.date_max)
+    dead = truthy(death <= last_day)
+    exit_date = F.when(dead, death).otherwise(last_day)
+    return (
+        known_persons(persons, contact)
+        .join(death_records(deaths), "person_id", "left")
+        .withColumns({
+            "birth_year": F.year("birth_date"), "death_year": F.year("death_date"),
+            "dead": dead.cast("int"), "exit_date": exit_date,
+            "age_current": years_between(exit_date, F.col("birth_date")),
+        })
+        .where((F.col("age_current") >= 0) & (F.col("birth_year") < cfg.birth_year_ceiling))
+    )
+
+
+def person_frame(base: DataFrame, features: DataFrame, location: DataFrame,
                  household: DataFrame | None = None) -> DataFrame:
     """Demographics, onsets, death, exit date, age and location of every person.
 
     All inputs are keyed by the person, so their joins share one partitioning.
-    A person with several death records keeps a row per record.
     """
     core_counts = [f"{CORE}_{s.lower()}_count" for s in SOURCES]
     # counts only describe people who have a core event
     wanted = features.select("person_id", *FEATURE_COLUMNS, *(
         F.when(F.col("core_date").isNotNull(), F.col(c)).alias(c) for c in core_counts))
-    death = F.col("death_date")
-    dead = truthy(death <= F.lit(cfg.date_max))
-    frame = (
-        known_persons(persons, contact)
-        .withColumn("birth_year", F.year("birth_date"))
-        .join(wanted, "person_id", "left")
-        .join(deaths, "person_id", "left")
-        .withColumn("death_year", F.year("death_date"))
-        .withColumn("dead", dead.cast("int"))
-        .withColumn("exit_date", F.when(dead, death).otherwise(F.lit(cfg.date_max)))
-        .withColumn("age_current", years_between(F.col("exit_date"), F.col("birth_date")))
-        .where((F.col("age_current") >= 0) & (F.col("birth_year") < cfg.birth_year_ceiling))
-        .join(location, "person_id", "left")
-    )
+    frame = base.join(wanted, "person_id", "left").join(location, "person_id", "left")
     if household is not None:
         return frame.join(household.select("person_id", *HOUSEHOLD_COLUMNS), "person_id", "left")
     return frame.withColumns({c: F.lit(None).cast(t) for c, t in HOUSEHOLD_COLUMNS.items()})
@@ -74,30 +82,33 @@ def person_counts(persons: DataFrame, contact: DataFrame, features: DataFrame,
     return out.fillna("0", ["gender"]) if faithful else out
 
 
-def clean_population(frame: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """The person frame with study-end ages, less implausible and undetermined people.
+def plausible(people: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Deaths after the study count as alive; implausible and undetermined people go.
 
-    Deaths after the study count as alive.  People born before the floor year
-    without a death are taken to be lost records.
+    People born before the floor year without a death are taken to be lost records.
     """
-    last_day = F.lit(cfg.date_max)
-    birth, death = F.col("birth_date"), F.col("death_date")
+    died = F.col("death_date") <= F.lit(cfg.date_max)
     return (
-        frame
-        .withColumn("death_date", F.when(death <= last_day, death))
-        .withColumn("death_year", F.when(death.isNotNull(), F.col("death_year")))
-        .withColumns({
-            "core_year": F.year("core_date"),
-            "potential_year": F.year("potential_date"),
-            "core_count": F.col("core_gp_count") + F.col("core_hospital_count"),
-            "age_death": years_between(death, birth),
-            "age_end": F.when(death.isNull(), years_between(last_day, birth)),
-        })
-        .where(~truthy((F.col("birth_year") < cfg.birth_year_floor) & death.isNull()))
+        people.withColumns({"death_date": F.when(died, F.col("death_date")),
+                            "death_year": F.when(died, F.col("death_year"))})
+        .where(~truthy((F.col("birth_year") < cfg.birth_year_floor)
+                       & F.col("death_date").isNull()))
         .where(F.col("gender") != "Undetermined")
     )
 
 
+def clean_population(frame: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """The plausible people of the person frame with ages at death or at study end."""
+    birth, death = F.col("birth_date"), F.col("death_date")
+    return plausible(frame, cfg).withColumns({
+        "core_year": F.year("core_date"),
+        "potential_year": F.year("potential_date"),
+        "core_count": F.col("core_gp_count") + F.col("core_hospital_count"),
+        "age_death": years_between(death, birth),
+        "age_end": F.when(death.isNull(), years_between(F.lit(cfg.date_max), birth)),
+    })
+
+
 def alive_resident(population: DataFrame, residents: DataFrame) -> DataFrame:
     """People of a population who are alive and resident at the end of the study."""
     return population.where("dead = 0").join(residents, "person_id", "left_semi")

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.config import StudyConfig
 from cohortspark.functions.labels import (
     GENDERS,
-    MISSING,
     PRESENT,
     UNKNOWN,
     decode,
     merge_labels,
     presence,
 )
-from cohortspark.functions.rows import single_row_ids
+from cohortspark.functions.rows import repeat_rows, single_row_ids
 from cohortspark.operators.identity import with_surrogate_ids
 from cohortspark.operators.responses import diagnosed_in_study, with_answers
 
@@ -52,13 +51,35 @@ def match_miss(profile: DataFrame, cohort: DataFrame, group: str,
     return out.where(F.col("type_at_diagnosis") != UNKNOWN) if known_type_only else out
 
 
-def whole_profile(profile: DataFrame, group: str) -> DataFrame:
-    """The profile in the shape of ``match_miss``, as one undivided group."""
-    return profile.withColumns({
-        "diagnosis_year": F.lit(None).cast("int"), "diagnosis_age": F.lit(None).cast("double"),
-        "diagnosis_age_known": F.lit(MISSING), "sub_group": F.lit(""),
-        "group": F.lit(group), "all_group": F.lit(group),
-    })
+def match_own_cases(profile: DataFrame, group: str, whole: str | None = None) -> DataFrame:
+    """``match_miss`` against the cases of the profile's own population.
+
+    The profile already carries the verdict and the onset of each person, so no
+    second frame is needed.  As a join would, a person with several rows meets
+    each of them.  ``whole`` adds every profiled row once more as one undivided
+    group of that name, in the same pass.
+    """
+    found = F.col("is_case") == 1
+    label = F.when(found, FOUND).otherwise(MISSED)
+    rows = F.count(F.lit(1)).over(Window.partitionBy("person_id"))
+
+    def cell(year, age, sub_group, name, all_group, copies):
+        return F.struct(
+            year.cast("int").alias("diagnosis_year"), age.cast("double").alias("diagnosis_age"),
+            presence(age).alias("diagnosis_age_known"), sub_group.alias("sub_group"),
+            name.alias("group"), all_group.alias("all_group"),
+            copies.cast("long").alias("_copies"))
+
+    none, once = F.lit(None), F.lit(1)
+    cells = [cell(F.when(found, F.col("potential_year")), F.when(found, F.col("potential_age")),
+                  label, F.lit(group), F.concat_ws(" - ", F.lit(group), label),
+                  F.when(found, F.col("_rows")).otherwise(once))]
+    if whole is not None:
+        cells.append(cell(none, none, F.lit(""), F.lit(whole), F.lit(whole), once))
+    stacked = profile.withColumn("_rows", rows) \
+        .withColumn("_cell", F.explode(F.array(*cells))) \
+        .select(*profile.columns, "_cell.*")
+    return repeat_rows(stacked, "_copies")
 
 
 def with_progressive_groups(df: DataFrame) -> DataFrame:

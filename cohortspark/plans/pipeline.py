@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.codes import DEATH_CODE_PATTERNS, CodeSet, default_codeset
 from cohortspark.config import StudyConfig
+from cohortspark.functions.rows import repeat_rows, truthy
 from cohortspark.operators import (
     clinic,
     cohort,
@@ -29,7 +30,7 @@ from cohortspark.operators import (
 )
 from cohortspark.sources.stages import StageStore
 
-STAGES = ("persons", "deaths", "tagged", "features", "frame", "counts", "classified", "alive")
+STAGES = ("persons", "deaths", "tagged", "features", "base", "frame", "counts", "classified", "alive")
 ALL, ALIVE = "all", "alive"
 REGISTER_GROUP, WHOLE_REGISTER = "Algorithm", "All Register Population"
 STAGE_AGE_GROUPS = ("Register (All)", "Clinic List (All)", "Register (Matched)",
@@ -43,7 +44,7 @@ class CohortStudy:
                  codeset: CodeSet | None = None,
                  death_patterns: Sequence[str] = DEATH_CODE_PATTERNS,
                  stages: StageStore | None = None, refresh: bool = False) -> None:
-        self.tables = dict(tables)
+        self.tables = tables
         self.cfg = cfg or StudyConfig()
         self.codeset = codeset or default_codeset()
         self.death_patterns = tuple(death_patterns)
@@ -114,10 +115,13 @@ class CohortStudy:
 
     # one row per person
 
+    def base(self) -> DataFrame:
+        return self._step("base", lambda: person.person_base(
+            self.persons(), self.contact(), self.deaths(), self.cfg))
+
     def frame(self) -> DataFrame:
         return self._step("frame", lambda: person.person_frame(
-            self.persons(), self.contact(), self.features(), self.deaths(), self.location(),
-            self.cfg, self.household()))
+            self.base(), self.features(), self.location(), self.household()))
 
     def counts(self) -> DataFrame:
         return self._step("counts", lambda: person.person_counts(
@@ -141,22 +145,32 @@ class CohortStudy:
     def extra_only(self, which: str = ALIVE) -> DataFrame:
         return cohort.extra_only(self.population(which))
 
+    def memberships(self) -> DataFrame:
+        """Per person: in the population, alive and resident, with extra codes only."""
+        resident = self.residents().withColumn("_resident", F.lit(True))
+        alive = (F.col("dead") == 0) & F.col("_resident")
+        extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
+        return self.classified().join(resident, "person_id", "left").groupBy("person_id").agg(
+            F.lit(True).alias("everyone"), F.bool_or(alive).alias("alive"),
+            F.bool_or(extra).alias("extra"), F.bool_or(alive & extra).alias("extra_alive"))
+
     def code_totals(self) -> DataFrame:
-        everyone, alive = "Everyone", "Alive"
-        extra, extra_alive = "Extra Codes Only", "Extra Codes Only (Alive)"
-        return cohort.code_totals(
-            self.counts(),
-            {everyone: self.population(ALL), alive: self.population(ALIVE),
-             extra: self.extra_only(ALL), extra_alive: self.extra_only(ALIVE)},
-            grand_total={extra: False, extra_alive: False})
+        return cohort.code_totals(self.counts(), self.memberships(), {
+            "everyone": "Everyone", "alive": "Alive", "extra": "Extra Codes Only",
+            "extra_alive": "Extra Codes Only (Alive)",
+        }, without_total=("extra", "extra_alive"))
 
     # register
 
     def register_demographics(self) -> DataFrame:
-        """Register records with birth dates reconciled against the whole population."""
+        """Register records with birth dates reconciled against the whole population.
+
+        Who is in the population does not depend on events or places, so those
+        are left out of this branch.
+        """
         return self._step("register_demographics", lambda: identity.reconcile_birth_dates(
             identity.register_demographics(self.tables["register_link"], self.cfg),
-            self.classified()))
+            person.plausible(self.base(), self.cfg)))
 
     def answers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Latest type now, onset and diagnosis per person."""
@@ -166,43 +180,61 @@ class CohortStudy:
                 self._step("diagnosis", lambda: responses.latest_diagnosis(
                     raw, people, self.cfg)))
 
+    def register_members(self) -> DataFrame:
+        return self._step("members", lambda: identity.register_cohort(
+            self.tables["register_link"], self.cfg, in_region=False).select("person_id"))
+
     def register_profile(self, which: str = ALIVE) -> DataFrame:
-        members = identity.register_cohort(self.tables["register_link"], self.cfg,
-                                           in_region=False)
         return self._step(f"profile_{which}", lambda: register.register_profile(
-            self.population(which), members, *self.answers(), self.cfg))
+            self.population(which), self.register_members(), *self.answers(), self.cfg))
 
     def match_miss(self, which: str = ALIVE) -> DataFrame:
-        return register.match_miss(self.register_profile(which), self.cases(which),
-                                   REGISTER_GROUP)
+        return register.match_own_cases(self.register_profile(which), REGISTER_GROUP)
 
     def register_comparison(self, which: str = ALIVE) -> DataFrame:
         """Found, missed and whole register groups, stacked."""
-        return register.with_progressive_groups(
-            self.match_miss(which).unionByName(
-                register.whole_profile(self.register_profile(which), WHOLE_REGISTER)))
+        return register.with_progressive_groups(register.match_own_cases(
+            self.register_profile(which), REGISTER_GROUP, WHOLE_REGISTER))
+
+    def _with_register(self, people: DataFrame) -> DataFrame:
+        """People with ``on_register`` (a member diagnosed in the study) and register ages."""
+        _, onset, diagnosis = self.answers()
+        member = self.register_members().withColumn("_member", F.lit(True))
+        in_time = F.col("_diagnosed").between(F.lit(self.cfg.diagnosis_min),
+                                              F.lit(self.cfg.diagnosis_max))
+        return (
+            people.join(member, "person_id", "left")
+            .join(onset.select("person_id", "age_onset"), "person_id", "left")
+            .join(diagnosis.select("person_id", F.col("diagnosis_date").alias("_diagnosed"),
+                                   "age_diagnosis"), "person_id", "left")
+            .withColumn("on_register", truthy(F.col("_member") & in_time))
+            .drop("_member", "_diagnosed")
+        )
 
     def table_one_rows(self, which: str = ALIVE) -> DataFrame:
+        """A row per person and group the person belongs to, in one pass."""
         names = describe.TABLE_ONE_GROUPS
-        shared = ["person_id", "gender", "dead", "age_end", "age_death"]
-        no_counts = {"core_gp_count": F.lit(None).cast("long"),
-                     "core_hospital_count": F.lit(None).cast("long")}
-
-        def rows(df: DataFrame, group: str) -> DataFrame:
-            return df.select(*shared, "diagnosis_age", "core_gp_count", "core_hospital_count",
-                             F.lit(names[group]).alias("group"))
-
-        whole = self.population(which).withColumns(
-            no_counts | {"diagnosis_age": F.lit(None).cast("double")})
-        listed = self.register_profile(which).withColumns(
-            no_counts | {"diagnosis_age": F.col("age_diagnosis")})
-        stacked = (
-            rows(whole, "population")
-            .unionByName(rows(self.extra_only(which).withColumns(no_counts), "extra_only"))
-            .unionByName(rows(listed, "register"))
-            .unionByName(rows(self.cases(which), "cases"))
-        )
-        return stacked.withColumn("dead", F.when(F.col("dead") == 1, "Dead").otherwise("Alive"))
+        core_counts = ("core_gp_count", "core_hospital_count")
+
+        def row(group: str, age: Column, counted: bool = False) -> Column:
+            return F.struct(F.lit(names[group]).alias("group"),
+                            age.cast("double").alias("diagnosis_age"),
+                            *((F.col(c) if counted else F.lit(None)).cast("long").alias(c)
+                              for c in core_counts))
+
+        potential = F.col("potential_age")
+        extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
+        groups = F.array_compact(F.array(
+            row("population", F.lit(None)),
+            F.when(extra, row("extra_only", potential)),
+            F.when(F.col("on_register"), row("register", F.col("age_diagnosis"))),
+            F.when(F.col("is_case") == 1, row("cases", potential, counted=True)),
+        ))
+        return self._with_register(self.population(which)).select(
+            "person_id", "gender", "age_end", "age_death",
+            F.when(F.col("dead") == 1, "Dead").otherwise("Alive").alias("dead"),
+            F.explode(groups).alias("_row"),
+        ).select("*", "_row.*").drop("_row")
 
     def table_one(self, which: str = ALIVE) -> DataFrame:
         return describe.describe(
@@ -245,17 +277,29 @@ class CohortStudy:
         return clinic.confusion(self.flags().where("in_area = 1"), "algorithm", "clinic_area")
 
     def stage_age_rows(self) -> DataFrame:
-        """Ages by register and clinic group, all and matched."""
+        """Ages by register and clinic group, all and matched, in one pass."""
         register_all, clinic_all, register_found, clinic_found = STAGE_AGE_GROUPS
-        matched = self.match_miss(ALIVE)
-        found = matched.where(F.col("sub_group") == register.FOUND)
-        on_list = self.flags().where("clinic = 1")
-        ages = ("age_onset", "age_diagnosis")
-        list_ages = ("list_age_onset", "list_age_diagnosis")
-        return (
-            clinic.stage_ages(found, register_found, *ages, case_only=False)
-            .unionByName(clinic.stage_ages(on_list.where("is_case = 1"), clinic_found,
-                                           *list_ages, case_only=False))
-            .unionByName(clinic.stage_ages(on_list, clinic_all, *list_ages))
-            .unionByName(clinic.stage_ages(matched, register_all, *ages))
-        )
+        case, listed = F.col("is_case") == 1, F.col("clinic") == 1
+        people = self._with_register(self.flags()).withColumn(
+            "_rows", F.count(F.lit(1)).over(Window.partitionBy("person_id")))
+
+        def row(group: str, onset: str, diagnosis: str, copies: Column) -> Column:
+            return F.struct(
+                F.lit(group).alias("group"),
+                F.when(case, F.col("potential_age")).alias("potential_age"),
+                F.col(onset).alias("age_onset"), F.col(diagnosis).alias("age_diagnosis"),
+                (F.col(diagnosis) - F.col(onset)).alias("onset_to_diagnosis"),
+                copies.cast("long").alias("_copies"))
+
+        # a matched register person meets each of the cohort's rows for that person
+        ages, list_ages = ("age_onset", "age_diagnosis"), ("list_age_onset", "list_age_diagnosis")
+        once, met = F.lit(1), F.when(case, F.col("_rows")).otherwise(1)
+        groups = F.array_compact(F.array(
+            F.when(F.col("on_register") & case, row(register_found, *ages, met)),
+            F.when(F.col("on_register"), row(register_all, *ages, met)),
+            F.when(listed & case, row(clinic_found, *list_ages, once)),
+            F.when(listed, row(clinic_all, *list_ages, once)),
+        ))
+        stacked = people.select("person_id", "age_current", F.explode(groups).alias("_row")) \
+            .select("person_id", "age_current", "_row.*")
+        return repeat_rows(stacked, "_copies")

@@ -108,14 +108,14 @@ def regex_codes(s: CohortStudy) -> DataFrame:
 @query
 def inpatient_events(s: CohortStudy) -> DataFrame:
     t = s.tables
-    return events.inpatient_events(t["inpatient_spell"], t["inpatient_episode"],
-                                   t["inpatient_diagnosis"], CODES, CFG)
+    return events.union_sources(events.inpatient_events(
+        t["inpatient_spell"], t["inpatient_episode"], t["inpatient_diagnosis"], CODES, CFG))
 
 
 @query
 def outpatient_events(s: CohortStudy) -> DataFrame:
-    return events.outpatient_events(s.tables["outpatient"], s.tables["outpatient_diagnosis"],
-                                    CODES, CFG)
+    return events.union_sources(events.outpatient_events(
+        s.tables["outpatient"], s.tables["outpatient_diagnosis"], CODES, CFG))
 
 
 @query
@@ -189,7 +189,7 @@ def person_features(s: CohortStudy) -> DataFrame:
 
 @query
 def death_cascade(s: CohortStudy) -> DataFrame:
-    return s.deaths()
+    return deaths.death_records(s.deaths())
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 # nothing in the library forces a broadcast of data that can grow.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # call-site capture costs several milliseconds per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -9,6 +9,8 @@ sample of its table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,9 +86,46 @@ def _variants(df: DataFrame, *rows: tuple[Column | None, dict[str, Column]]) ->
     return df.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.*")
 
 
-def load_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+# Columns the views use; a declared schema spares the inference job per table.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "part": "p_partkey long, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, props string",
+}
+
+
+class StarTables(Mapping[str, DataFrame]):
+    """Tables of the star schema and the study inputs on them, each built on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+        self._built: dict[str, DataFrame] = {}
+
+    def star(self, name: str) -> DataFrame:
+        return self._once(f"star/{name}", lambda: self._spark.read.schema(
+            STAR_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet"))
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        view, sources = VIEWS[name]
+        return self._once(name, lambda: view(*(self.star(s) for s in sources)))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(VIEWS)
+
+    def __len__(self) -> int:
+        return len(VIEWS)
 
 
 def person_source(customer: DataFrame) -> DataFrame:
@@ -194,13 +233,13 @@ def demographics(customer: DataFrame) -> DataFrame:
         F.when(F.col("c_acctbal") < -20, died).alias("death_date"))
 
 
-def dictionary_a(events: DataFrame) -> DataFrame:
-    return events.select("code", F.substring("code", 1, 1).alias("description")).distinct()
+def dictionary_a(orders: DataFrame) -> DataFrame:
+    return gp_event(orders).select("code", F.substring("code", 1, 1).alias("description")).distinct()
 
 
-def dictionary_b(events: DataFrame) -> DataFrame:
+def dictionary_b(orders: DataFrame) -> DataFrame:
     status = F.substring("code", 2, 1)
-    return events.select(
+    return gp_event(orders).select(
         "code", F.when(status != "O", F.substring("code", 1, 2)).alias("long_term"),
         status.alias("short_term")).distinct()
 
@@ -317,29 +356,32 @@ def clinic_details(customer: DataFrame) -> DataFrame:
                      (_between("c_acctbal", 8000, 8500), earlier))
 
 
-def study_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All inputs of a study, lazily, from a folder of star-schema Parquet files."""
-    s = load_star(spark, folder)
-    gp = gp_event(s["orders"])
-    homes = residence(s["lineitem"], s["orders"], s["supplier"])
-    return {
-        "person_source": person_source(s["customer"]),
-        "gp_event": gp,
-        "inpatient_spell": inpatient_spell(s["orders"]),
-        "inpatient_episode": inpatient_episode(s["lineitem"]),
-        "inpatient_diagnosis": inpatient_diagnosis(s["lineitem"], s["part"]),
-        "outpatient": outpatient(s["lineitem"], s["orders"]),
-        "outpatient_diagnosis": outpatient_diagnosis(s["lineitem"], s["part"]),
-        "death_register": death_register(s["customer"]),
-        "demographics": demographics(s["customer"]),
-        "dictionary_a": dictionary_a(gp),
-        "dictionary_b": dictionary_b(gp),
-        "residence": homes, "residence_area": homes, "residence_household": homes,
-        "area_lookup": area_lookup(s["nation"]),
-        "board_lookup": board_lookup(s["region"]),
-        "provider_unit": provider_unit(s["region"]),
-        "register_link": register_link(s["customer"]),
-        "questionnaire": questionnaire(s["events"]),
-        "clinic_link": clinic_link(s["customer"]),
-        "clinic_details": clinic_details(s["customer"]),
-    }
+# Each study input: its view and the star tables it reads.
+VIEWS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "person_source": (person_source, ("customer",)),
+    "gp_event": (gp_event, ("orders",)),
+    "inpatient_spell": (inpatient_spell, ("orders",)),
+    "inpatient_episode": (inpatient_episode, ("lineitem",)),
+    "inpatient_diagnosis": (inpatient_diagnosis, ("lineitem", "part")),
+    "outpatient": (outpatient, ("lineitem", "orders")),
+    "outpatient_diagnosis": (outpatient_diagnosis, ("lineitem", "part")),
+    "death_register": (death_register, ("customer",)),
+    "demographics": (demographics, ("customer",)),
+    "dictionary_a": (dictionary_a, ("orders",)),
+    "dictionary_b": (dictionary_b, ("orders",)),
+    "residence": (residence, ("lineitem", "orders", "supplier")),
+    "residence_area": (residence, ("lineitem", "orders", "supplier")),
+    "residence_household": (residence, ("lineitem", "orders", "supplier")),
+    "area_lookup": (area_lookup, ("nation",)),
+    "board_lookup": (board_lookup, ("region",)),
+    "provider_unit": (provider_unit, ("region",)),
+    "register_link": (register_link, ("customer",)),
+    "questionnaire": (questionnaire, ("events",)),
+    "clinic_link": (clinic_link, ("customer",)),
+    "clinic_details": (clinic_details, ("customer",)),
+}
+
+
+def study_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
+    """All inputs of a study from a folder of star-schema Parquet files."""
+    return StarTables(spark, folder)
