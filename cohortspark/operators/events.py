@@ -33,7 +33,8 @@ def tag(records: DataFrame, codeset: CodeSet, system: str,
     concept = F.col("concept")
     return (
         records.where(codeset.condition(system))
-        .select(*keep, "code", F.explode(F.array_compact(hits)).alias("concept"))
+        .select(*keep, "code", F.explode(hits).alias("concept"))
+        .where(concept.isNotNull())
         .withColumn("code", F.when(concept.isin(list(codeset.by_code)), F.col("code")))
     )
 

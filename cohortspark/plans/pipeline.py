@@ -224,17 +224,17 @@ class CohortStudy:
 
         potential = F.col("potential_age")
         extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
-        groups = F.array_compact(F.array(
+        groups = F.array(
             row("population", F.lit(None)),
             F.when(extra, row("extra_only", potential)),
             F.when(F.col("on_register"), row("register", F.col("age_diagnosis"))),
             F.when(F.col("is_case") == 1, row("cases", potential, counted=True)),
-        ))
+        )
         return self._with_register(self.population(which)).select(
             "person_id", "gender", "age_end", "age_death",
             F.when(F.col("dead") == 1, "Dead").otherwise("Alive").alias("dead"),
             F.explode(groups).alias("_row"),
-        ).select("*", "_row.*").drop("_row")
+        ).where("_row IS NOT NULL").select("*", "_row.*").drop("_row")
 
     def table_one(self, which: str = ALIVE) -> DataFrame:
         return describe.describe(
@@ -294,12 +294,12 @@ class CohortStudy:
         # a matched register person meets each of the cohort's rows for that person
         ages, list_ages = ("age_onset", "age_diagnosis"), ("list_age_onset", "list_age_diagnosis")
         once, met = F.lit(1), F.when(case, F.col("_rows")).otherwise(1)
-        groups = F.array_compact(F.array(
+        groups = F.array(
             F.when(F.col("on_register") & case, row(register_found, *ages, met)),
             F.when(F.col("on_register"), row(register_all, *ages, met)),
             F.when(listed & case, row(clinic_found, *list_ages, once)),
             F.when(listed, row(clinic_all, *list_ages, once)),
-        ))
+        )
         stacked = people.select("person_id", "age_current", F.explode(groups).alias("_row")) \
-            .select("person_id", "age_current", "_row.*")
+            .where("_row IS NOT NULL").select("person_id", "age_current", "_row.*")
         return repeat_rows(stacked, "_copies")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.codes import (
@@ -34,8 +34,8 @@ STUDY = StudyConfig(
 )
 CODES = CodeSet((
     *rules(CORE, GP, ["1PA..", "1PB..", "1OC.."]),
-    *rules(CORE, INPATIENT, ["E07", "M11"], prefix=True),
-    *rules(CORE, OUTPATIENT, ["E07", "M11"], field="stem"),
+    *rules(CORE, INPATIENT, ["E07", "M11", "L22", "P05"], prefix=True),
+    *rules(CORE, OUTPATIENT, ["E07", "M11", "L22", "P05"], field="stem"),
     *rules(EXTRA, GP, ["2FA..", "2FB..", "3OC..", "4PD..", "1OE.."]),
     *hospital(EXTRA, ["S30"], field="stem"),
     *hospital(EXTRA, ["L103", "P109", "P108", "L108"]),
@@ -56,34 +56,26 @@ CODES = CodeSet((
 DEATH_PATTERNS = (r"^5O[A].{2}$", r"^5P[J].{2}$")
 
 
-def _day(column: str) -> Column:
-    return F.col(column).cast("date")
+BIRTH = "date_add(DATE'1900-01-01', CAST({key} * 7919 % 36500 AS INT))"
+CUSTOMER_BIRTH, ORDER_BIRTH = BIRTH.format(key="c_custkey"), BIRTH.format(key="o_custkey")
+LINK = ("CAST(CASE WHEN {untrusted} THEN 99 WHEN c_nationkey % 3 = 0 THEN 1 "
+        "WHEN c_nationkey % 3 = 1 THEN 4 ELSE 39 END AS INT)")
+AREA = "concat(IF({nation} < 22, 'A', 'Z'), lpad(CAST({nation} AS STRING), 2, '0'))"
+UNIT = "concat('U', CAST({key} % 7 AS STRING))"
 
 
-def _plus_days(start: str, days: Column) -> Column:
-    return F.date_add(F.to_date(F.lit(start)), days.cast("int"))
+def _variants(df: DataFrame, base: dict[str, str],
+              *others: tuple[str, dict[str, str]]) -> DataFrame:
+    """The base row of each record, and further rows where a condition holds, in one scan.
 
+    Each variant names only the columns in which it differs from the base.
+    """
+    def cell(columns: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in columns.items()) + ")"
 
-def _birth(key: str) -> Column:
-    return _plus_days("1900-01-01", F.col(key) * 7919 % 36500)
-
-
-def _between(column: str, low: float, high: float) -> Column:
-    return (F.col(column) >= low) & (F.col(column) < high)
-
-
-def _link(trusted_unless: Column) -> Column:
-    third = F.col("c_nationkey") % 3
-    return F.when(trusted_unless, 99).when(third == 0, 1).when(third == 1, 4).otherwise(39)
-
-
-def _variants(df: DataFrame, *rows: tuple[Column | None, dict[str, Column]]) -> DataFrame:
-    """One output row per variant whose condition holds, from a single scan."""
-    cells = []
-    for condition, columns in rows:
-        cell = F.struct(*(c.alias(n) for n, c in columns.items()))
-        cells.append(cell if condition is None else F.when(condition, cell))
-    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.*")
+    cells = [cell(base)] + [f"CASE WHEN {c} THEN {cell(base | diff)} END" for c, diff in others]
+    return df.selectExpr(f"explode(array({', '.join(cells)})) AS v") \
+        .where("v IS NOT NULL").select("v.*")
 
 
 # Columns the views use; a declared schema spares the inference job per table.
@@ -129,231 +121,197 @@ class StarTables(Mapping[str, DataFrame]):
 
 
 def person_source(customer: DataFrame) -> DataFrame:
-    gender = (F.when(F.col("c_acctbal") < -900, 9).when(F.col("c_acctbal") < -800, 3)
-              .otherwise(1 + F.col("c_custkey") % 2)).cast("int")
-    base = {"person_id": F.col("c_custkey"), "birth_date": _birth("c_custkey"),
-            "gender_cd": gender, "link_status": _link(F.col("c_nationkey") == 24).cast("int")}
-    sure = F.lit(1)
+    base = {
+        "person_id": "c_custkey", "birth_date": CUSTOMER_BIRTH,
+        "gender_cd": "CAST(CASE WHEN c_acctbal < -900 THEN 9 WHEN c_acctbal < -800 THEN 3 "
+                     "ELSE 1 + c_custkey % 2 END AS INT)",
+        "link_status": LINK.format(untrusted="c_nationkey = 24"),
+    }
     return _variants(
-        customer, (None, base),
-        (_between("c_acctbal", 9000, 9100),
-         base | {"birth_date": F.date_add(_birth("c_custkey"), 7), "link_status": sure}),
-        (_between("c_acctbal", 8000, 8100),
-         base | {"gender_cd": (2 - F.col("c_custkey") % 2).cast("int"), "link_status": sure}),
-        (_between("c_acctbal", 7000, 7100),
-         base | {"birth_date": F.lit(None).cast("date"), "link_status": sure}),
-        (_between("c_acctbal", 6000, 6050), base | {"person_id": F.lit(None).cast("long")}),
-        (_between("c_acctbal", 5000, 5100), base),
+        customer, base,
+        ("c_acctbal >= 9000 AND c_acctbal < 9100",
+         {"birth_date": f"date_add({CUSTOMER_BIRTH}, 7)", "link_status": "1"}),
+        ("c_acctbal >= 8000 AND c_acctbal < 8100",
+         {"gender_cd": "CAST(2 - c_custkey % 2 AS INT)", "link_status": "1"}),
+        ("c_acctbal >= 7000 AND c_acctbal < 7100",
+         {"birth_date": "CAST(NULL AS DATE)", "link_status": "1"}),
+        ("c_acctbal >= 6000 AND c_acctbal < 6050", {"person_id": "CAST(NULL AS BIGINT)"}),
+        ("c_acctbal >= 5000 AND c_acctbal < 5100", {}),
     )
 
 
 def gp_event(orders: DataFrame) -> DataFrame:
-    band = F.chr((65 + F.floor(F.col("o_totalprice") / 50000)).cast("long"))
-    return orders.select(
-        F.when(F.col("o_totalprice") >= 3000, F.col("o_custkey")).alias("person_id"),
-        _day("o_orderdate").alias("event_date"),
-        F.year("o_orderdate").alias("event_year"),
-        F.concat(F.substring("o_orderpriority", 1, 1), "o_orderstatus", band, F.lit(".."))
-        .alias("code"),
-        F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("sequence"),
-        _birth("o_custkey").alias("birth_date"),
-        F.when(F.col("o_totalprice") > 495000, 99).otherwise(1).alias("link_status"),
+    return orders.selectExpr(
+        "IF(o_totalprice >= 3000, o_custkey, NULL) AS person_id",
+        "CAST(o_orderdate AS DATE) AS event_date", "year(o_orderdate) AS event_year",
+        "concat(substring(o_orderpriority, 1, 1), o_orderstatus, "
+        "chr(65 + floor(o_totalprice / 50000)), '..') AS code",
+        "o_totalprice AS value", "o_orderkey AS sequence", f"{ORDER_BIRTH} AS birth_date",
+        "IF(o_totalprice > 495000, 99, 1) AS link_status",
     )
 
 
-def _unit(key: str) -> Column:
-    return F.concat(F.lit("U"), (F.col(key) % 7).cast("string"))
-
-
 def inpatient_spell(orders: DataFrame) -> DataFrame:
-    fatal = ((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F")
-             & (F.col("o_totalprice") < 60000))
-    return orders.select(
-        _unit("o_orderkey").alias("unit"), F.col("o_orderkey").alias("spell_no"),
-        F.col("o_custkey").alias("person_id"),
-        F.date_add(_day("o_orderdate"), 10).alias("admission_date"),
-        F.date_add(_day("o_orderdate"), 15).alias("discharge_date"),
-        F.when(fatal, 4).otherwise(1).alias("discharge_method"),
+    return orders.selectExpr(
+        f"{UNIT.format(key='o_orderkey')} AS unit", "o_orderkey AS spell_no",
+        "o_custkey AS person_id", "date_add(CAST(o_orderdate AS DATE), 10) AS admission_date",
+        "date_add(CAST(o_orderdate AS DATE), 15) AS discharge_date",
+        "IF(o_orderpriority = '5-LOW' AND o_orderstatus = 'F' AND o_totalprice < 60000, 4, 1) "
+        "AS discharge_method",
     )
 
 
 def inpatient_episode(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        _unit("l_orderkey").alias("unit"), F.col("l_orderkey").alias("spell_no"),
-        F.col("l_linenumber").alias("episode_no")).distinct()
+    return lineitem.selectExpr(f"{UNIT.format(key='l_orderkey')} AS unit",
+                               "l_orderkey AS spell_no", "l_linenumber AS episode_no")
 
 
 def _diagnosed(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Line items with the diagnosis code of their part: stem and optional fourth character."""
-    brand = F.regexp_replace("p_brand", "Brand#", "").cast("int")
-    codes = part.select(
-        "p_partkey",
-        F.concat(F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"))
-        .alias("stem"),
-        F.when(brand > 5, (brand % 10).cast("string")).alias("fourth"))
+    codes = part.selectExpr(
+        "p_partkey", "CAST(substring(p_brand, 7) AS INT) AS brand",
+        "concat(substring(p_type, 1, 1), lpad(CAST(p_size AS STRING), 2, '0')) AS stem",
+    ).selectExpr("p_partkey", "stem", "IF(brand > 5, CAST(brand % 10 AS STRING), NULL) AS fourth")
     return lineitem.join(codes, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def inpatient_diagnosis(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    return _diagnosed(lineitem, part).select(
-        _unit("l_orderkey").alias("unit"), F.col("l_orderkey").alias("spell_no"),
-        F.col("l_linenumber").alias("episode_no"), "stem",
-        F.concat("stem", F.coalesce("fourth", F.lit("X"))).alias("code"))
+    return _diagnosed(lineitem, part).selectExpr(
+        f"{UNIT.format(key='l_orderkey')} AS unit", "l_orderkey AS spell_no",
+        "l_linenumber AS episode_no", "stem", "concat(stem, coalesce(fourth, 'X')) AS code")
 
 
-def _visit_keys() -> list[Column]:
-    return [F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("unit"),
-            _day("l_shipdate").alias("available_date"),
-            F.col("l_orderkey").alias("attendance_id"),
-            F.col("l_linenumber").cast("long").alias("case_no"),
-            _day("l_shipdate").alias("attended_date")]
+VISIT_KEYS = (
+    "concat('P', CAST(l_suppkey AS STRING)) AS unit",
+    "CAST(l_shipdate AS DATE) AS available_date", "l_orderkey AS attendance_id",
+    "CAST(l_linenumber AS BIGINT) AS case_no", "CAST(l_shipdate AS DATE) AS attended_date",
+)
 
 
 def outpatient(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *_visit_keys(), F.col("o_custkey").alias("person_id"))
+    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")) \
+        .selectExpr(*VISIT_KEYS, "o_custkey AS person_id")
 
 
 def outpatient_diagnosis(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    return _diagnosed(lineitem, part).select(*_visit_keys(), "stem", "fourth")
+    return _diagnosed(lineitem, part).selectExpr(*VISIT_KEYS, "stem", "fourth")
 
 
 def death_register(customer: DataFrame) -> DataFrame:
-    row = {"person_id": F.col("c_custkey"),
-           "death_date": _plus_days("1999-01-01", F.col("c_custkey") * 31 % 900)}
-    later = row | {"death_date": F.date_add(row["death_date"], 40)}
-    return _variants(customer.where(_between("c_acctbal", -700, -300)), (None, row),
-                     (F.col("c_acctbal") >= -350, later))
+    died = "date_add(DATE'1999-01-01', CAST(c_custkey * 31 % 900 AS INT))"
+    return _variants(
+        customer.where("c_acctbal >= -700 AND c_acctbal < -300"),
+        {"person_id": "c_custkey", "death_date": died},
+        ("c_acctbal >= -350", {"death_date": f"date_add({died}, 40)"}))
 
 
 def demographics(customer: DataFrame) -> DataFrame:
-    died = _plus_days("1998-06-01", F.col("c_custkey") * 17 % 900)
-    return customer.where(_between("c_acctbal", -400, 0)).select(
-        F.col("c_custkey").alias("person_id"),
-        F.when(F.col("c_acctbal") < -20, died).alias("death_date"))
+    return customer.where("c_acctbal >= -400 AND c_acctbal < 0").selectExpr(
+        "c_custkey AS person_id",
+        "CASE WHEN c_acctbal < -20 THEN date_add(DATE'1998-06-01', "
+        "CAST(c_custkey * 17 % 900 AS INT)) END AS death_date")
 
 
 def dictionary_a(orders: DataFrame) -> DataFrame:
-    return gp_event(orders).select("code", F.substring("code", 1, 1).alias("description")).distinct()
+    return gp_event(orders).selectExpr("code", "substring(code, 1, 1) AS description").distinct()
 
 
 def dictionary_b(orders: DataFrame) -> DataFrame:
-    status = F.substring("code", 2, 1)
-    return gp_event(orders).select(
-        "code", F.when(status != "O", F.substring("code", 1, 2)).alias("long_term"),
-        status.alias("short_term")).distinct()
+    return gp_event(orders).selectExpr(
+        "code", "IF(substring(code, 2, 1) <> 'O', substring(code, 1, 2), NULL) AS long_term",
+        "substring(code, 2, 1) AS short_term").distinct()
 
 
 def residence(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame) -> DataFrame:
-    nation = F.col("s_nationkey")
-    open_ended = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1)
-    start = _day("l_shipdate")
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("o_custkey").alias("person_id"), start.alias("start_date"),
-            F.when(open_ended, F.lit(STUDY.open_end))
-            .otherwise(F.date_add(start, (F.col("l_quantity") * 20).cast("int")))
-            .alias("end_date"),
-            F.when(F.col("l_quantity") < 50, _area(nation)).alias("area_code"),
-            (nation < 20).cast("int").alias("in_region"),
-            F.col("l_suppkey").alias("household_id"))
+        .selectExpr(
+            "o_custkey AS person_id", "CAST(l_shipdate AS DATE) AS start_date",
+            f"CASE WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN DATE'{STUDY.open_end}' "
+            "ELSE date_add(CAST(l_shipdate AS DATE), CAST(l_quantity * 20 AS INT)) END "
+            "AS end_date",
+            f"IF(l_quantity < 50, {AREA.format(nation='s_nationkey')}, NULL) AS area_code",
+            "IF(s_nationkey < 20, 1, 0) AS in_region", "l_suppkey AS household_id")
     )
 
 
-def _area(nation: Column) -> Column:
-    return F.concat(F.when(nation < 22, "A").otherwise("Z"),
-                    F.lpad(nation.cast("string"), 2, "0"))
-
-
 def area_lookup(nation: DataFrame) -> DataFrame:
     """The current district of each area and an outdated one."""
-    row = {"area_code": _area(F.col("n_nationkey")),
-           "district_code": F.concat(F.lit("D"), F.col("n_regionkey").cast("string")),
-           "is_latest": F.lit(1)}
-    stale = row | {
-        "district_code": F.concat(F.lit("D"), ((F.col("n_regionkey") + 1) % 5).cast("string")),
-        "is_latest": F.lit(0)}
-    return _variants(nation, (None, row), (F.lit(True), stale))
+    return _variants(
+        nation,
+        {"area_code": AREA.format(nation="n_nationkey"),
+         "district_code": "concat('D', CAST(n_regionkey AS STRING))", "is_latest": "1"},
+        ("TRUE", {"district_code": "concat('D', CAST((n_regionkey + 1) % 5 AS STRING))",
+                  "is_latest": "0"}))
 
 
 def board_lookup(region: DataFrame) -> DataFrame:
-    return region.select(
-        F.concat(F.lit("D"), F.col("r_regionkey").cast("string")).alias("district_code"),
-        F.col("r_name").alias("board"))
+    return region.selectExpr("concat('D', CAST(r_regionkey AS STRING)) AS district_code",
+                             "r_name AS board")
 
 
 def provider_unit(region: DataFrame) -> DataFrame:
-    return region.select(
-        F.concat(F.lit("U"), F.col("r_regionkey").cast("string")).alias("unit"),
-        F.col("r_name").alias("unit_name"))
+    return region.selectExpr("concat('U', CAST(r_regionkey AS STRING)) AS unit",
+                             "r_name AS unit_name")
 
 
 def register_link(customer: DataFrame) -> DataFrame:
-    birth = _birth("c_custkey")
-    row = {
-        "user_id": F.col("c_custkey"), "person_id": F.col("c_custkey"),
-        "link_status": _link(F.col("c_mktsegment") == "FURNITURE").cast("int"),
-        "birth_date": F.when(_between("c_acctbal", 2000, 2500), F.date_add(birth, 3))
-        .when(~_between("c_acctbal", 2500, 2600), birth),
-        "gender_cd": F.when(_between("c_acctbal", 2600, 2700), 9)
-        .otherwise(1 + F.col("c_custkey") % 2).cast("int"),
-        "area_code": _area(F.col("c_nationkey")),
+    base = {
+        "user_id": "c_custkey", "person_id": "c_custkey",
+        "link_status": LINK.format(untrusted="c_mktsegment = 'FURNITURE'"),
+        "birth_date": "CASE WHEN c_acctbal >= 2000 AND c_acctbal < 2500 "
+                      f"THEN date_add({CUSTOMER_BIRTH}, 3) "
+                      "WHEN c_acctbal >= 2500 AND c_acctbal < 2600 THEN NULL "
+                      f"ELSE {CUSTOMER_BIRTH} END",
+        "gender_cd": "CAST(CASE WHEN c_acctbal >= 2600 AND c_acctbal < 2700 THEN 9 "
+                     "ELSE 1 + c_custkey % 2 END AS INT)",
+        "area_code": AREA.format(nation="c_nationkey"),
     }
-    other = row | {"gender_cd": (2 - F.col("c_custkey") % 2).cast("int")}
-    return _variants(customer, (None, row), (_between("c_acctbal", 3000, 3300), other))
+    return _variants(customer, base, ("c_acctbal >= 3000 AND c_acctbal < 3300",
+                                      {"gender_cd": "CAST(2 - c_custkey % 2 AS INT)"}))
 
 
 def questionnaire(events: DataFrame) -> DataFrame:
-    n = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    tenth = n % 10
-
-    def text(value: Column) -> Column:
-        return value.cast("string")
-
-    return events.select(
-        "user_id", F.col("ts").alias("completed"), F.col("event_id").alias("group_id"),
-        F.when(kind == "error", "NA").when(kind == "view", "X").otherwise(text(1960 + n % 45))
-        .alias("onset_year"),
-        F.when(kind == "signup", "NA").otherwise(text(n % 15)).alias("onset_month"),
-        F.when(kind == "view", "X9").otherwise(text(1990 + n % 20)).alias("now_year"),
-        text(n % 13).alias("now_month"),
-        F.when(tenth == 0, "3").when(tenth != 9, "NA").alias("now_unsure"),
-        F.when(tenth.isin(1, 2), "0").otherwise("NA").alias("now_primary"),
-        F.when(tenth.isin(3, 4, 5), "1").when(tenth == 6, "4").otherwise("NA")
-        .alias("now_relapsing"),
-        F.when(tenth.isin(7, 9), "2").otherwise("NA").alias("now_secondary"),
-        F.when(kind == "error", "NA").otherwise(text(1992 + n % 12)).alias("diagnosis_year"),
-        F.when(kind == "signup", "NA").when(kind != "view", text(n % 14))
-        .alias("diagnosis_month"),
-        F.when(n % 6 == 4, "NA").when(n % 6 == 5, "7").otherwise(text(n % 6))
-        .alias("type_at_diagnosis"),
+    answered = events.selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS n")
+    return answered.selectExpr(
+        "user_id", "ts AS completed", "event_id AS group_id",
+        "CASE event_type WHEN 'error' THEN 'NA' WHEN 'view' THEN 'X' "
+        "ELSE CAST(1960 + n % 45 AS STRING) END AS onset_year",
+        "IF(event_type = 'signup', 'NA', CAST(n % 15 AS STRING)) AS onset_month",
+        "IF(event_type = 'view', 'X9', CAST(1990 + n % 20 AS STRING)) AS now_year",
+        "CAST(n % 13 AS STRING) AS now_month",
+        "CASE n % 10 WHEN 0 THEN '3' WHEN 9 THEN NULL ELSE 'NA' END AS now_unsure",
+        "IF(n % 10 IN (1, 2), '0', 'NA') AS now_primary",
+        "CASE WHEN n % 10 IN (3, 4, 5) THEN '1' WHEN n % 10 = 6 THEN '4' ELSE 'NA' END "
+        "AS now_relapsing",
+        "IF(n % 10 IN (7, 9), '2', 'NA') AS now_secondary",
+        "IF(event_type = 'error', 'NA', CAST(1992 + n % 12 AS STRING)) AS diagnosis_year",
+        "CASE event_type WHEN 'signup' THEN 'NA' WHEN 'view' THEN NULL "
+        "ELSE CAST(n % 14 AS STRING) END AS diagnosis_month",
+        "CASE n % 6 WHEN 4 THEN 'NA' WHEN 5 THEN '7' ELSE CAST(n % 6 AS STRING) END "
+        "AS type_at_diagnosis",
     )
 
 
 def clinic_link(customer: DataFrame) -> DataFrame:
-    return customer.select(
-        F.col("c_custkey").alias("system_id"),
-        F.when(F.col("c_acctbal") <= 9900, F.col("c_custkey")).alias("person_id"),
-        _birth("c_custkey").alias("birth_date"), _area(F.col("c_nationkey")).alias("area_code"),
-        (1 + F.col("c_custkey") % 2).cast("int").alias("gender_cd"))
+    return customer.selectExpr(
+        "c_custkey AS system_id", "IF(c_acctbal <= 9900, c_custkey, NULL) AS person_id",
+        f"{CUSTOMER_BIRTH} AS birth_date", f"{AREA.format(nation='c_nationkey')} AS area_code",
+        "CAST(1 + c_custkey % 2 AS INT) AS gender_cd")
 
 
 def clinic_details(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    when = F.when(~_between("c_acctbal", 7900, 8000), _plus_days("1994-06-01", key * 13 % 2400))
-    row = {
-        "system_id": key,
-        "diagnosis": F.when(F.col("c_mktsegment").isin("MACHINERY", "AUTOMOBILE"), "MS")
-        .otherwise("OTHER"),
-        "diagnosis_date": when,
-        "onset_date": F.date_sub(when, (key % 1000).cast("int")),
-    }
-    earlier = row | {"diagnosis": F.lit("MS"), "diagnosis_date": F.date_sub(when, 30)}
-    return _variants(customer.where("c_acctbal >= 2000"), (None, row),
-                     (_between("c_acctbal", 8000, 8500), earlier))
+    when = ("CASE WHEN c_acctbal < 7900 OR c_acctbal >= 8000 THEN "
+            "date_add(DATE'1994-06-01', CAST(c_custkey * 13 % 2400 AS INT)) END")
+    return _variants(
+        customer.where("c_acctbal >= 2000"),
+        {"system_id": "c_custkey",
+         "diagnosis": "IF(c_mktsegment IN ('MACHINERY', 'AUTOMOBILE'), 'MS', 'OTHER')",
+         "diagnosis_date": when,
+         "onset_date": f"date_sub({when}, CAST(c_custkey % 1000 AS INT))"},
+        ("c_acctbal >= 8000 AND c_acctbal < 8500",
+         {"diagnosis": "'MS'", "diagnosis_date": f"date_sub({when}, 30)"}))
 
 
 # Each study input: its view and the star tables it reads.
