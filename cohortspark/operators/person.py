@@ -53,20 +53,29 @@ def person_base(persons: DataFrame, contact: DataFrame, deaths: DataFrame,
     )
 
 
-def person_frame(base: DataFrame, features: DataFrame, location: DataFrame,
-                 household: DataFrame | None = None) -> DataFrame:
-    """Demographics, onsets, death, exit date, age and location of every person.
+def person_frame(base: DataFrame, features: DataFrame) -> DataFrame:
+    """Known persons with onsets, nth events and core event counts.
 
-    All inputs are keyed by the person, so their joins share one partitioning.
+    Both inputs are keyed by the person, so the join needs no shuffle of its own.
     """
     core_counts = [f"{CORE}_{s.lower()}_count" for s in SOURCES]
     # counts only describe people who have a core event
     wanted = features.select("person_id", *FEATURE_COLUMNS, *(
         F.when(F.col("core_date").isNotNull(), F.col(c)).alias(c) for c in core_counts))
-    frame = base.join(wanted, "person_id", "left").join(location, "person_id", "left")
+    return base.join(wanted, "person_id", "left")
+
+
+def with_places(people: DataFrame, location: DataFrame,
+                household: DataFrame | None = None) -> DataFrame:
+    """Add area, district, board and household; typed nulls where households are not held.
+
+    Kept apart from the event frame, so that results which do not ask where
+    people live never read the address tables.
+    """
+    placed = people.join(location, "person_id", "left")
     if household is not None:
-        return frame.join(household.select("person_id", *HOUSEHOLD_COLUMNS), "person_id", "left")
-    return frame.withColumns({c: F.lit(None).cast(t) for c, t in HOUSEHOLD_COLUMNS.items()})
+        return placed.join(household.select("person_id", *HOUSEHOLD_COLUMNS), "person_id", "left")
+    return placed.withColumns({c: F.lit(None).cast(t) for c, t in HOUSEHOLD_COLUMNS.items()})
 
 
 def person_counts(persons: DataFrame, contact: DataFrame, features: DataFrame,

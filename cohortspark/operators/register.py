@@ -18,7 +18,7 @@ from cohortspark.functions.labels import (
 )
 from cohortspark.functions.rows import repeat_rows, single_row_ids
 from cohortspark.operators.identity import with_surrogate_ids
-from cohortspark.operators.responses import diagnosed_in_study, with_answers
+from cohortspark.operators.responses import diagnosed_in_study, join_answers, with_answers
 
 # Labels of results and the placeholder birth date of unusable records.
 FOUND = "Disease Present and Tested Positive"
@@ -26,12 +26,11 @@ MISSED = "Disease Present and Tested Negative"
 PLACEHOLDER_BIRTH = date(1900, 1, 1)
 
 
-def register_profile(population: DataFrame, members: DataFrame, now: DataFrame,
-                     onset: DataFrame, diagnosis: DataFrame, cfg: StudyConfig,
-                     diagnosed_only: bool = True) -> DataFrame:
+def register_profile(population: DataFrame, members: DataFrame, answers: DataFrame,
+                     cfg: StudyConfig, diagnosed_only: bool = True) -> DataFrame:
     """Register members found in the population, with their latest answers."""
     found = population.join(members.select("person_id"), "person_id", "left_semi")
-    profile = with_answers(found, now, onset, diagnosis)
+    profile = with_answers(found, answers)
     return diagnosed_in_study(profile, cfg) if diagnosed_only else profile
 
 
@@ -90,26 +89,17 @@ def with_progressive_groups(df: DataFrame) -> DataFrame:
     })
 
 
-def valid_users(demographics: DataFrame, now: DataFrame, onset: DataFrame,
-                diagnosis: DataFrame) -> DataFrame:
+def valid_users(demographics: DataFrame, answers: DataFrame) -> DataFrame:
     """Register users with exactly one distinct record, and whether it is usable."""
     usable = (F.col("diagnosis_date").isNotNull() & F.col("birth_date").isNotNull()
               & (F.col("birth_date") != F.lit(PLACEHOLDER_BIRTH)) & F.col("gender_cd").isin(1, 2))
     # the usability flag sees the gender code, the single-record check only its label
+    gender = decode(F.col("gender_cd"), {k: GENDERS[k] for k in (1, 2)}, UNKNOWN)
     shown = with_surrogate_ids(demographics).select(
-        "person_id", "birth_date", "gender_cd",
-        decode(F.col("gender_cd"), {k: GENDERS[k] for k in (1, 2)}, UNKNOWN).alias("gender"))
-    joined = (
-        shown
-        .join(now.select("person_id", "type_now", "now_date"), "person_id", "left")
-        .join(diagnosis.select("person_id", "type_at_diagnosis", "diagnosis_date",
-                               "age_diagnosis"), "person_id", "left")
-        .join(onset.select("person_id", "onset_date", "age_onset", "age_onset_known"),
-              "person_id", "left")
-        .withColumn("invalid_user", F.when(usable, 0).otherwise(1))
-        .select("person_id", "birth_date", "gender", "onset_date", "age_onset",
-                "age_onset_known", "type_now", "type_at_diagnosis", "diagnosis_date",
-                "age_diagnosis", "invalid_user")
-    )
+        "person_id", "birth_date", "gender_cd", gender.alias("gender"))
+    joined = join_answers(shown, answers).select(
+        "person_id", "birth_date", "gender", "onset_date", "age_onset", "age_onset_known",
+        "type_now", "type_at_diagnosis", "diagnosis_date", "age_diagnosis",
+        F.when(usable, 0).otherwise(1).alias("invalid_user"))
     return single_row_ids(joined, "person_id") \
         .withColumn("age_diagnosis_known", F.lit(PRESENT))

@@ -680,7 +680,7 @@ def one_total(population: str, ids: str, grand: bool) -> str:
 VIEWS["extra_alive"] = "SELECT * FROM alive WHERE core_date IS NULL AND potential_date IS NOT NULL"
 
 COHORT_COLUMNS = ("person_id, gender, birth_date, first_contact, core_date, potential_date, "
-                  "core_count, potential_age AS diagnosis_age, age_current, board")
+                  "core_count, potential_age AS diagnosis_age, age_current")
 PROFILE_COLUMNS = ("person_id, gender, birth_date, age_current, potential_date, type_now, "
                    "now_date, onset_date, age_onset, age_onset_known, type_at_diagnosis, "
                    "diagnosis_date, age_diagnosis")

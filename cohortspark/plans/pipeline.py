@@ -30,7 +30,7 @@ from cohortspark.operators import (
 )
 from cohortspark.sources.stages import StageStore
 
-STAGES = ("persons", "deaths", "tagged", "features", "base", "frame", "counts", "classified", "alive")
+STAGES = ("persons", "deaths", "tagged", "features", "base", "counts", "people", "alive")
 ALL, ALIVE = "all", "alive"
 REGISTER_GROUP, WHOLE_REGISTER = "Algorithm", "All Register Population"
 STAGE_AGE_GROUPS = ("Register (All)", "Clinic List (All)", "Register (Matched)",
@@ -119,25 +119,40 @@ class CohortStudy:
         return self._step("base", lambda: person.person_base(
             self.persons(), self.contact(), self.deaths(), self.cfg))
 
+    def event_frame(self) -> DataFrame:
+        return self._step("event_frame", lambda: person.person_frame(
+            self.base(), self.features()))
+
     def frame(self) -> DataFrame:
-        return self._step("frame", lambda: person.person_frame(
-            self.base(), self.features(), self.location(), self.household()))
+        """The person master frame."""
+        return self._step("frame", lambda: self._placed(self.event_frame()))
+
+    def _placed(self, people: DataFrame) -> DataFrame:
+        return person.with_places(people, self.location(), self.household())
 
     def counts(self) -> DataFrame:
         return self._step("counts", lambda: person.person_counts(
             self.persons(), self.contact(), self.features()))
 
+    def people(self) -> DataFrame:
+        """The cleaned, classified population, without places."""
+        return self._step("people", lambda: cohort.classify_cases(
+            person.clean_population(self.event_frame(), self.cfg), self.cfg))
+
     def classified(self) -> DataFrame:
-        return self._step("classified", lambda: cohort.classify_cases(
-            person.clean_population(self.frame(), self.cfg), self.cfg))
+        """The cleaned, classified population with places."""
+        return self._step("classified", lambda: self._placed(self.people()))
 
     def alive(self) -> DataFrame:
         return self._step("alive", lambda: person.alive_resident(
-            self.classified(), self.residents()))
+            self.people(), self.residents()))
+
+    def located_alive(self) -> DataFrame:
+        return self.alive().join(self.location(), "person_id", "left")
 
     def population(self, which: str = ALIVE) -> DataFrame:
         """Everyone, or the people alive and resident at the end of the study."""
-        return self.alive() if which == ALIVE else self.classified()
+        return self.alive() if which == ALIVE else self.people()
 
     def cases(self, which: str = ALIVE) -> DataFrame:
         return cohort.case_cohort(self.population(which), self.cfg)
@@ -150,7 +165,7 @@ class CohortStudy:
         resident = self.residents().withColumn("_resident", F.lit(True))
         alive = (F.col("dead") == 0) & F.col("_resident")
         extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
-        return self.classified().join(resident, "person_id", "left").groupBy("person_id").agg(
+        return self.people().join(resident, "person_id", "left").groupBy("person_id").agg(
             F.lit(True).alias("everyone"), F.bool_or(alive).alias("alive"),
             F.bool_or(extra).alias("extra"), F.bool_or(alive & extra).alias("extra_alive"))
 
@@ -172,13 +187,10 @@ class CohortStudy:
             identity.register_demographics(self.tables["register_link"], self.cfg),
             person.plausible(self.base(), self.cfg)))
 
-    def answers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Latest type now, onset and diagnosis per person."""
-        raw, people = self.tables["questionnaire"], self.register_demographics()
-        return (self._step("now", lambda: responses.latest_type_now(raw, people, self.cfg)),
-                self._step("onset", lambda: responses.latest_onset(raw, people, self.cfg)),
-                self._step("diagnosis", lambda: responses.latest_diagnosis(
-                    raw, people, self.cfg)))
+    def answers(self) -> DataFrame:
+        """Latest questionnaire answers per person."""
+        return self._step("answers", lambda: responses.latest_answers(
+            self.tables["questionnaire"], self.register_demographics(), self.cfg))
 
     def register_members(self) -> DataFrame:
         return self._step("members", lambda: identity.register_cohort(
@@ -186,7 +198,7 @@ class CohortStudy:
 
     def register_profile(self, which: str = ALIVE) -> DataFrame:
         return self._step(f"profile_{which}", lambda: register.register_profile(
-            self.population(which), self.register_members(), *self.answers(), self.cfg))
+            self.population(which), self.register_members(), self.answers(), self.cfg))
 
     def match_miss(self, which: str = ALIVE) -> DataFrame:
         return register.match_own_cases(self.register_profile(which), REGISTER_GROUP)
@@ -198,18 +210,11 @@ class CohortStudy:
 
     def _with_register(self, people: DataFrame) -> DataFrame:
         """People with ``on_register`` (a member diagnosed in the study) and register ages."""
-        _, onset, diagnosis = self.answers()
         member = self.register_members().withColumn("_member", F.lit(True))
-        in_time = F.col("_diagnosed").between(F.lit(self.cfg.diagnosis_min),
-                                              F.lit(self.cfg.diagnosis_max))
-        return (
-            people.join(member, "person_id", "left")
-            .join(onset.select("person_id", "age_onset"), "person_id", "left")
-            .join(diagnosis.select("person_id", F.col("diagnosis_date").alias("_diagnosed"),
-                                   "age_diagnosis"), "person_id", "left")
-            .withColumn("on_register", truthy(F.col("_member") & in_time))
-            .drop("_member", "_diagnosed")
-        )
+        in_time = F.col("diagnosis_date").between(F.lit(self.cfg.diagnosis_min),
+                                                  F.lit(self.cfg.diagnosis_max))
+        return responses.join_answers(people.join(member, "person_id", "left"), self.answers()) \
+            .withColumn("on_register", truthy(F.col("_member") & in_time)).drop("_member")
 
     def table_one_rows(self, which: str = ALIVE) -> DataFrame:
         """A row per person and group the person belongs to, in one pass."""
@@ -251,7 +256,7 @@ class CohortStudy:
 
     def flags(self) -> DataFrame:
         return self._step("flags", lambda: clinic.area_flags(
-            self.alive(), self.first_diagnosis(), self.cfg))
+            self.located_alive(), self.first_diagnosis(), self.cfg))
 
     def site_dates(self) -> DataFrame:
         def build() -> DataFrame:

@@ -222,18 +222,19 @@ def clean_population(s: CohortStudy) -> DataFrame:
 
 @query
 def classify_cases(s: CohortStudy) -> DataFrame:
-    return s.classified().groupBy("gender", "dead", "is_case").agg(
+    return s.people().groupBy("gender", "dead", "is_case").agg(
         F.count(F.lit(1)).alias("people"), F.min("potential_date").alias("first_onset"),
         F.max("core_count").alias("most_events"))
 
 
 @query
 def alive_resident(s: CohortStudy) -> DataFrame:
-    return s.alive().select("person_id", "gender", "birth_date", "age_current", "board", "is_case")
+    return s.located_alive().select("person_id", "gender", "birth_date", "age_current", "board",
+                                    "is_case")
 
 
 COHORT_COLUMNS = ("person_id", "gender", "birth_date", "first_contact", "core_date",
-                  "potential_date", "core_count", "diagnosis_age", "age_current", "board")
+                  "potential_date", "core_count", "diagnosis_age", "age_current")
 
 
 @query
@@ -244,7 +245,7 @@ def case_cohort(s: CohortStudy) -> DataFrame:
 
 @query
 def age_brackets(s: CohortStudy) -> DataFrame:
-    return s.frame().select(age_bracket(F.col("potential_age")).alias("bracket")) \
+    return s.event_frame().select(age_bracket(F.col("potential_age")).alias("bracket")) \
         .groupBy("bracket").agg(F.count(F.lit(1)).alias("people"))
 
 
@@ -262,40 +263,40 @@ def code_totals(s: CohortStudy) -> DataFrame:
 
 @query
 def partial_dates(s: CohortStudy) -> DataFrame:
-    raw = s.tables["questionnaire"]
-    return responses.onset_answers(raw, CFG).drop("completed").join(
-        responses.diagnosis_answers(raw, CFG).select(
-            "group_id", "diagnosis_year", "diagnosis_month", "diagnosis_date"), "group_id")
+    return responses.typed_answers(s.tables["questionnaire"], CFG).select(
+        "user_id", "group_id", "onset_year", "onset_month", "onset_date", "diagnosis_year",
+        "diagnosis_month", "diagnosis_date")
 
 
 @query
 def questionnaire_decode(s: CohortStudy) -> DataFrame:
-    raw = s.tables["questionnaire"]
-    return responses.type_now_answers(raw, CFG).drop("completed").join(
-        responses.diagnosis_answers(raw, CFG).select("group_id", "type_at_diagnosis"), "group_id")
+    return responses.typed_answers(s.tables["questionnaire"], CFG).select(
+        "user_id", "group_id", "type_now", "now_year", "now_month", "now_date",
+        "type_at_diagnosis")
+
+
+def _latest(s: CohortStudy, part: str) -> DataFrame:
+    return responses.latest_part(s.answers(), part).withColumn("completed", F.to_date("completed"))
 
 
 @query
 def latest_response(s: CohortStudy) -> DataFrame:
-    now, _, _ = s.answers()
-    return now.withColumn("completed", F.to_date("completed"))
+    return _latest(s, "now")
 
 
 @query
 def latest_onset(s: CohortStudy) -> DataFrame:
-    _, onset, _ = s.answers()
-    return onset.withColumn("completed", F.to_date("completed"))
+    return _latest(s, "onset")
 
 
 @query
 def latest_diagnosis(s: CohortStudy) -> DataFrame:
-    _, _, diagnosis = s.answers()
-    return diagnosis.withColumn("completed", F.to_date("completed"))
+    return _latest(s, "diagnosis")
 
 
 @query
 def singleton_groups(s: CohortStudy) -> DataFrame:
-    return register.valid_users(s.register_demographics(), *s.answers())
+    return register.valid_users(s.register_demographics(), s.answers())
 
 
 PROFILE_COLUMNS = ("person_id", "gender", "birth_date", "age_current", "potential_date",
@@ -389,7 +390,7 @@ def table_one(s: CohortStudy) -> DataFrame:
 
 @query
 def group_tests(s: CohortStudy) -> DataFrame:
-    people = s.classified().where("board IS NOT NULL")
+    people = s.people().join(s.location(), "person_id").where("board IS NOT NULL")
     return describe.group_tests(people, "board", ["age_current", "potential_age", "core_count"],
                                 ["gender", "dead", "is_case"])
 
