@@ -56,8 +56,9 @@ def inpatient_diagnoses(spells: DataFrame, episodes: DataFrame, tagged: DataFram
     """
     stays = spells.where(F.col("person_id").isNotNull() & in_study("admission_date", cfg)) \
         .select(*SPELL_KEYS, "person_id", F.col("admission_date").alias("event_date"))
-    found = tagged.join(episodes.select(*EPISODE_KEYS), list(EPISODE_KEYS), "left_semi") \
-        .drop("episode_no").distinct()
+    # the distinct shares its partitioning with the join and collapses repeated episodes early
+    known = episodes.select(*EPISODE_KEYS).distinct()
+    found = tagged.join(known, list(EPISODE_KEYS), "left_semi").drop("episode_no").distinct()
     return stays.join(found, list(SPELL_KEYS), "inner")
 
 

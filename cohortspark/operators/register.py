@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.config import StudyConfig
@@ -16,7 +16,7 @@ from cohortspark.functions.labels import (
     merge_labels,
     presence,
 )
-from cohortspark.functions.rows import repeat_rows, single_row_ids
+from cohortspark.functions.rows import single_row_ids
 from cohortspark.operators.identity import with_surrogate_ids
 from cohortspark.operators.responses import diagnosed_in_study, join_answers, with_answers
 
@@ -36,16 +36,20 @@ def register_profile(population: DataFrame, members: DataFrame, answers: DataFra
 
 def match_miss(profile: DataFrame, cohort: DataFrame, group: str,
                known_type_only: bool = False) -> DataFrame:
-    """Every profiled person, labelled found or missed by the cohort, in one join."""
-    diagnosed = cohort.select("person_id", "diagnosis_year", "diagnosis_age",
-                              F.lit(True).alias("_found"))
+    """Every profiled row once, labelled found or missed by the cohort, in one join.
+
+    A cohort person with several rows counts as one, so records are never paired.
+    """
+    diagnosed = cohort.select("person_id", "diagnosis_year", "diagnosis_age").distinct()
     label = F.when(F.col("_found"), FOUND).otherwise(MISSED)
     out = (
-        profile.join(diagnosed, "person_id", "left")
-        .withColumn("diagnosis_age_known", presence(F.col("diagnosis_age")))
+        profile.join(diagnosed.withColumn("_found", F.lit(True)), "person_id", "left")
         .withColumn("sub_group", label).drop("_found")
-        .withColumn("group", F.lit(group))
-        .withColumn("all_group", F.concat_ws(" - ", "group", "sub_group"))
+        .withColumns({
+            "diagnosis_age_known": presence(F.col("diagnosis_age")),
+            "group": F.lit(group),
+            "all_group": F.concat_ws(" - ", F.lit(group), F.col("sub_group")),
+        })
     )
     return out.where(F.col("type_at_diagnosis") != UNKNOWN) if known_type_only else out
 
@@ -54,31 +58,26 @@ def match_own_cases(profile: DataFrame, group: str, whole: str | None = None) ->
     """``match_miss`` against the cases of the profile's own population.
 
     The profile already carries the verdict and the onset of each person, so no
-    second frame is needed.  As a join would, a person with several rows meets
-    each of them.  ``whole`` adds every profiled row once more as one undivided
-    group of that name, in the same pass.
+    second frame is needed.  ``whole`` adds every profiled row once more as one
+    undivided group of that name, in the same pass.
     """
     found = F.col("is_case") == 1
     label = F.when(found, FOUND).otherwise(MISSED)
-    rows = F.count(F.lit(1)).over(Window.partitionBy("person_id"))
 
-    def cell(year, age, sub_group, name, all_group, copies):
+    def cell(year: Column, age: Column, sub_group: Column, name: str,
+             all_group: Column) -> Column:
         return F.struct(
             year.cast("int").alias("diagnosis_year"), age.cast("double").alias("diagnosis_age"),
             presence(age).alias("diagnosis_age_known"), sub_group.alias("sub_group"),
-            name.alias("group"), all_group.alias("all_group"),
-            copies.cast("long").alias("_copies"))
+            F.lit(name).alias("group"), all_group.alias("all_group"))
 
-    none, once = F.lit(None), F.lit(1)
+    none = F.lit(None)
     cells = [cell(F.when(found, F.col("potential_year")), F.when(found, F.col("potential_age")),
-                  label, F.lit(group), F.concat_ws(" - ", F.lit(group), label),
-                  F.when(found, F.col("_rows")).otherwise(once))]
+                  label, group, F.concat_ws(" - ", F.lit(group), label))]
     if whole is not None:
-        cells.append(cell(none, none, F.lit(""), F.lit(whole), F.lit(whole), once))
-    stacked = profile.withColumn("_rows", rows) \
-        .withColumn("_cell", F.explode(F.array(*cells))) \
+        cells.append(cell(none, none, F.lit(""), whole, F.lit(whole)))
+    return profile.withColumn("_cell", F.explode(F.array(*cells))) \
         .select(*profile.columns, "_cell.*")
-    return repeat_rows(stacked, "_copies")
 
 
 def with_progressive_groups(df: DataFrame) -> DataFrame:

@@ -489,10 +489,10 @@ WHERE p.person_id IN (SELECT person_id FROM register_members)
 VIEWS["profile_all"] = profile("classified")
 VIEWS["profile_alive"] = profile("alive")
 VIEWS["matched"] = """
-SELECT p.*, c.potential_year AS diagnosis_year, c.potential_age AS diagnosis_age,
-  CASE WHEN c.potential_age IS NULL THEN 'Missing' ELSE 'Present' END AS diagnosis_age_known,
-  'Disease Present and Tested Positive' AS sub_group
-FROM profile_alive p JOIN (SELECT * FROM alive WHERE is_case = 1) c ON p.person_id = c.person_id
+SELECT p.*, p.potential_year AS diagnosis_year, p.potential_age AS diagnosis_age,
+  CASE WHEN p.potential_age IS NULL THEN 'Missing' ELSE 'Present' END AS diagnosis_age_known,
+  'Disease Present and Tested Positive' AS sub_group FROM profile_alive p
+WHERE person_id IN (SELECT person_id FROM alive WHERE is_case = 1)
 UNION ALL
 SELECT p.*, NULL, NULL, 'Missing', 'Disease Present and Tested Negative' FROM profile_alive p
 WHERE person_id NOT IN (SELECT person_id FROM alive WHERE is_case = 1)"""

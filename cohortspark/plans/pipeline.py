@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.codes import DEATH_CODE_PATTERNS, CodeSet, default_codeset
 from cohortspark.config import StudyConfig
-from cohortspark.functions.rows import repeat_rows, truthy
+from cohortspark.functions.rows import truthy
 from cohortspark.operators import (
     clinic,
     cohort,
@@ -285,26 +285,21 @@ class CohortStudy:
         """Ages by register and clinic group, all and matched, in one pass."""
         register_all, clinic_all, register_found, clinic_found = STAGE_AGE_GROUPS
         case, listed = F.col("is_case") == 1, F.col("clinic") == 1
-        people = self._with_register(self.flags()).withColumn(
-            "_rows", F.count(F.lit(1)).over(Window.partitionBy("person_id")))
 
-        def row(group: str, onset: str, diagnosis: str, copies: Column) -> Column:
+        def row(group: str, onset: str, diagnosis: str) -> Column:
             return F.struct(
                 F.lit(group).alias("group"),
                 F.when(case, F.col("potential_age")).alias("potential_age"),
                 F.col(onset).alias("age_onset"), F.col(diagnosis).alias("age_diagnosis"),
-                (F.col(diagnosis) - F.col(onset)).alias("onset_to_diagnosis"),
-                copies.cast("long").alias("_copies"))
+                (F.col(diagnosis) - F.col(onset)).alias("onset_to_diagnosis"))
 
-        # a matched register person meets each of the cohort's rows for that person
         ages, list_ages = ("age_onset", "age_diagnosis"), ("list_age_onset", "list_age_diagnosis")
-        once, met = F.lit(1), F.when(case, F.col("_rows")).otherwise(1)
         groups = F.array(
-            F.when(F.col("on_register") & case, row(register_found, *ages, met)),
-            F.when(F.col("on_register"), row(register_all, *ages, met)),
-            F.when(listed & case, row(clinic_found, *list_ages, once)),
-            F.when(listed, row(clinic_all, *list_ages, once)),
+            F.when(F.col("on_register") & case, row(register_found, *ages)),
+            F.when(F.col("on_register"), row(register_all, *ages)),
+            F.when(listed & case, row(clinic_found, *list_ages)),
+            F.when(listed, row(clinic_all, *list_ages)),
         )
-        stacked = people.select("person_id", "age_current", F.explode(groups).alias("_row")) \
+        return self._with_register(self.flags()) \
+            .select("person_id", "age_current", F.explode(groups).alias("_row")) \
             .where("_row IS NOT NULL").select("person_id", "age_current", "_row.*")
-        return repeat_rows(stacked, "_copies")
