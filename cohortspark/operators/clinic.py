@@ -120,6 +120,14 @@ def in_site(cfg: StudyConfig) -> Column:
     return flag(F.col("unit").isin(list(cfg.site_units)))
 
 
+def site_admissions(ids: DataFrame, spells: DataFrame, units: DataFrame,
+                    cfg: StudyConfig) -> DataFrame:
+    """Units that admitted each checked person, with unit name and a site flag."""
+    seen = spells.join(ids.select("person_id"), "person_id", "left_semi") \
+        .select("person_id", "unit").distinct().join(units, "unit", "left")
+    return seen.join(ids, "person_id").withColumn("in_site", in_site(cfg))
+
+
 def site_check(ids: DataFrame, spells: DataFrame, cfg: StudyConfig) -> DataFrame:
     """One row per checked person with any admission: was one of them at the sites?
 

@@ -533,14 +533,17 @@ VIEWS["checked"] = top(
     f"""(SELECT i.person_id, i."group", CASE WHEN s.unit IN ({SITES}) THEN 1 ELSE 0 END AS in_site
  FROM check_ids i JOIN spell s ON i.person_id = s.person_id)""",
     "person_id", '"group", in_site DESC', 'person_id, "group", in_site')
-VIEWS["core_admission"] = f"""
+VIEWS["unit_of"] = """
+SELECT 'U' || CAST(r_regionkey AS VARCHAR) AS unit, r_name AS unit_name FROM region"""
+VIEWS["any_core_admission"] = f"""
 SELECT DISTINCT s.person_id, s.unit, s.admission_date AS event_date
 FROM spell s JOIN episode e ON s.unit = e.unit AND s.spell_no = e.spell_no
 JOIN inpatient_diag d ON e.unit = d.unit AND e.spell_no = d.spell_no
   AND e.episode_no = d.episode_no
 JOIN (SELECT * FROM codeset WHERE concept = 'core') c ON {code_match('d', 'INPATIENT')}
-WHERE s.admission_date BETWEEN {FROM} AND {TO}
-  AND s.person_id IN (SELECT person_id FROM alg_unlisted)"""
+WHERE s.admission_date BETWEEN {FROM} AND {TO}"""
+VIEWS["core_admission"] = """
+SELECT * FROM any_core_admission WHERE person_id IN (SELECT person_id FROM alg_unlisted)"""
 VIEWS["site_last"] = f"""
 SELECT person_id, max(event_date) AS site_date FROM core_admission WHERE unit IN ({SITES})
 GROUP BY person_id"""
@@ -821,6 +824,12 @@ GROUP BY person_id HAVING count(*) = 1""",
         f"SELECT '{n}' AS comparison, count(*) AS people FROM {v}" for n, v in SIZES.items()),
     "site_check": 'SELECT "group", in_site, count(*) AS people FROM checked '
                   'GROUP BY "group", in_site',
+    "site_admissions": f'SELECT DISTINCT i.person_id, i."group", s.unit, u.unit_name, '
+                       f"CASE WHEN s.unit IN ({SITES}) THEN 1 ELSE 0 END AS in_site "
+                       f"FROM check_ids i JOIN spell s ON i.person_id = s.person_id "
+                       f"LEFT JOIN unit_of u ON s.unit = u.unit",
+    "core_admissions": "SELECT a.*, u.unit_name FROM any_core_admission a "
+                       "LEFT JOIN unit_of u ON a.unit = u.unit",
     "disagreement_breakdown": "SELECT * FROM disagreement",
     "cohort_summary": summary("unlisted_gp", ["age_current", "potential_age", "core_gp_count"]),
     "recent_site_summary": summary(

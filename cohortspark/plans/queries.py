@@ -343,6 +343,19 @@ def site_check(s: CohortStudy) -> DataFrame:
     return clinic.site_tally(s.site_check())
 
 
+@query
+def site_admissions(s: CohortStudy) -> DataFrame:
+    return clinic.site_admissions(clinic.site_check_ids(s.flags()), s.tables["inpatient_spell"],
+                                  s.tables["provider_unit"], CFG)
+
+
+@query
+def core_admissions(s: CohortStudy) -> DataFrame:
+    t = s.tables
+    return clinic.core_admissions(t["inpatient_spell"], t["inpatient_episode"],
+                                  t["inpatient_diagnosis"], t["provider_unit"], CODES, CFG)
+
+
 @query
 def disagreement_breakdown(s: CohortStudy) -> DataFrame:
     return s.disagreement().select(

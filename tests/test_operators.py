@@ -313,3 +313,54 @@ def test_person_counts_fill(spark, people):
     assert tuples(got, "person_id", "core_gp_count", "gender") == [(1, 0, "0"), (2, 1, "Female")]
     strict = person.person_counts(unknown, contact, features, faithful=False)
     assert tuples(strict, "person_id", "gender") == [(1, None), (2, "Female")]
+
+
+def test_chi_squared_p_value(spark):
+    cells = {("x", "a"): 10, ("x", "b"): 20, ("y", "a"): 20, ("y", "b"): 10}
+    rows = [(g, c) for (g, c), n in cells.items() for _ in range(n)] + [("x", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    # statistic 60 * (100 - 400)^2 / 30^4 = 6.667 on one degree of freedom
+    assert describe.group_tests(df, "g", [], ["c"]).first().statistic == 6.6667
+    assert describe.chi_squared_p(df, "g", ["c"]).first().p_value == pytest.approx(0.00982, abs=1e-5)
+
+
+# one person, user or unit holding most rows
+
+
+def test_hot_person_is_bounded_by_days(spark):
+    """A person with very many repeated events reaches the window as one row per day."""
+    hot = spark.range(60_000).selectExpr(
+        "IF(id % 3 < 2, 1L, id) AS person_id",
+        "date_add(DATE'2000-01-01', CAST(id % 10 AS INT)) AS event_date",
+        "'F20..' AS code")
+    tagged = events.union_sources(events.gp_events(hot, default_codeset(), CFG))
+    assert tagged.where("person_id = 1").count() == 10
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    shuffle = plan.index("Exchange hashpartitioning")
+    assert "HashAggregate" in plan[shuffle:]
+    everyone = tagged.select("person_id").distinct().selectExpr(
+        "person_id", "DATE'1960-01-01' AS birth_date", "1 AS gender_cd")
+    valid = events.valid_events(tagged, everyone, death_rows(spark))
+    features = timeline.person_features(valid).where("person_id = 1").first()
+    assert features.core_gp_count == 10 and features.core_event_7_date == date(2000, 1, 7)
+
+
+def test_hot_user_and_unlinked_records(spark):
+    """One user with most questionnaires, and a third of the register unlinked."""
+    forms = spark.range(30_000).selectExpr(
+        "IF(id % 3 < 2, 1L, id) AS user_id",
+        "timestamp_seconds(id) AS completed", "id AS group_id", "CAST(id % 50 + 1970 AS STRING) AS y")
+    raw = frames(spark)["questionnaire"].drop("user_id", "completed", "group_id")
+    raw = forms.selectExpr("user_id", "completed", "group_id",
+                           *(f"y AS {c}" if c == "diagnosis_year" else f"'NA' AS {c}"
+                             for c in raw.columns))
+    people = spark.range(30_000).selectExpr(
+        "id AS user_id", "IF(id % 3 = 2, NULL, id + 100000) AS person_id",
+        "DATE'1950-01-01' AS birth_date", "1 AS gender_cd")
+    got = responses.latest_answers(raw, people, CFG)
+    users = forms.select("user_id").distinct().count()
+    assert got.count() == users
+    # the last form of user 1 is number 29998
+    row = got.where("user_id = 1").first()
+    assert row.group_id == 29998 and row.diagnosis_date.year == 29998 % 50 + 1970
+    assert got.where("person_id < 0").count() == users - 1
