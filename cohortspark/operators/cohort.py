@@ -64,16 +64,14 @@ def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str,
     of the parts.  All numbers come from one global aggregate, whose single row
     is then unpivoted, so no person row is ever multiplied.
     """
-    each = {c: sum((F.col(f"{c}_{s.lower()}_count") for s in SOURCES), F.lit(0))
-            for c in COUNTED_CONCEPTS}
-    each[GRAND_TOTAL] = sum((F.least(n, F.lit(1)) for n in each.values()), F.lit(0))
+    each = {c: " + ".join(f"{c}_{s.lower()}_count" for s in SOURCES) for c in COUNTED_CONCEPTS}
+    each[GRAND_TOTAL] = " + ".join(each.values())
     cells = [(column, label, kind) for column, label in populations.items() for kind in each
              if kind != GRAND_TOTAL or column not in without_total]
     totals = counts.join(members, "person_id").agg(*(
-        F.sum(F.when(F.col(column), F.least(each[kind], F.lit(1)))).alias(f"_{i}")
+        F.expr(f"sum(least({each[kind]}, 1)) FILTER (WHERE {column})").alias(f"_{i}")
         for i, (column, _, kind) in enumerate(cells)))
-    rows = F.array(*(
-        F.struct(F.lit(label).alias("population"), F.lit(kind).alias("code_type"),
-                 F.col(f"_{i}").cast("long").alias("people"))
-        for i, (_, label, kind) in enumerate(cells)))
-    return totals.select(F.inline(rows)).where("people > 0")
+    rows = ", ".join(
+        f"named_struct('population', '{label}', 'code_type', '{kind}', 'people', _{i})"
+        for i, (_, label, kind) in enumerate(cells))
+    return totals.selectExpr(f"inline(array({rows}))").where("people > 0")

@@ -69,29 +69,24 @@ def person_features(events: DataFrame) -> DataFrame:
     are distinct per person, day, source, concept and code, which bounds the
     rows a single person can bring to a task.
     """
-    concept, when = F.col("concept"), F.col("event_date")
-
-    def of(*names: str) -> Column:
-        return concept.isin(list(names))
-
-    counts = []
-    for name in COUNTED_CONCEPTS:
-        for source in SOURCES:
-            hit = of(name) & (F.col("source") == source)
-            counts.append(F.coalesce(F.sum(F.when(hit, F.col("copies"))), F.lit(0))
-                          .alias(f"{name}_{source.lower()}_count"))
+    potential = ", ".join(f"'{c}'" for c in POTENTIAL_CONCEPTS)
+    core, nmo, history = (f"concept = '{c}'" for c in (CORE, NMO, FAMILY_HISTORY))
+    onset = f"concept IN ({potential})"
+    features = {
+        "core_date": f"min(event_date) FILTER (WHERE {core})",
+        "core_age": f"min(event_age) FILTER (WHERE {core})",
+        **{f"core_event_{n}_date": f"min(event_date) FILTER (WHERE {core} AND _rank = {n})"
+           for n in NTH_EVENTS},
+        "potential_date": f"min(event_date) FILTER (WHERE {onset})",
+        "potential_age": f"min(event_age) FILTER (WHERE {onset})",
+        "nmo_date": f"min(event_date) FILTER (WHERE {nmo})",
+        "nmo_age": f"min(event_age) FILTER (WHERE {nmo})",
+        "nmo_last_date": f"max(event_date) FILTER (WHERE {nmo})",
+        "family_history_date": f"min(event_date) FILTER (WHERE {history})",
+        "family_history_age": f"min(event_age) FILTER (WHERE {history})",
+        **{f"{name}_{source.lower()}_count":
+           f"coalesce(sum(copies) FILTER (WHERE concept = '{name}' AND source = '{source}'), 0)"
+           for name in COUNTED_CONCEPTS for source in SOURCES},
+    }
     ranked = events.withColumn("_rank", _event_rank(["person_id", "concept"]))
-    return ranked.groupBy("person_id").agg(
-        F.min(F.when(of(CORE), when)).alias("core_date"),
-        F.min(F.when(of(CORE), F.col("event_age"))).alias("core_age"),
-        *(F.min(F.when(of(CORE) & (F.col("_rank") == n), when)).alias(f"core_event_{n}_date")
-          for n in NTH_EVENTS),
-        F.min(F.when(of(*POTENTIAL_CONCEPTS), when)).alias("potential_date"),
-        F.min(F.when(of(*POTENTIAL_CONCEPTS), F.col("event_age"))).alias("potential_age"),
-        F.min(F.when(of(NMO), when)).alias("nmo_date"),
-        F.min(F.when(of(NMO), F.col("event_age"))).alias("nmo_age"),
-        F.max(F.when(of(NMO), when)).alias("nmo_last_date"),
-        F.min(F.when(of(FAMILY_HISTORY), when)).alias("family_history_date"),
-        F.min(F.when(of(FAMILY_HISTORY), F.col("event_age"))).alias("family_history_age"),
-        *counts,
-    )
+    return ranked.groupBy("person_id").agg(*(F.expr(e).alias(n) for n, e in features.items()))

@@ -824,10 +824,10 @@ GROUP BY person_id HAVING count(*) = 1""",
         f"SELECT '{n}' AS comparison, count(*) AS people FROM {v}" for n, v in SIZES.items()),
     "site_check": 'SELECT "group", in_site, count(*) AS people FROM checked '
                   'GROUP BY "group", in_site',
-    "site_admissions": f'SELECT DISTINCT i.person_id, i."group", s.unit, u.unit_name, '
+    "site_admissions": f'SELECT i.person_id, i."group", s.unit, u.unit_name, '
                        f"CASE WHEN s.unit IN ({SITES}) THEN 1 ELSE 0 END AS in_site "
-                       f"FROM check_ids i JOIN spell s ON i.person_id = s.person_id "
-                       f"LEFT JOIN unit_of u ON s.unit = u.unit",
+                       f"FROM check_ids i JOIN (SELECT DISTINCT person_id, unit FROM spell) s "
+                       f"ON i.person_id = s.person_id LEFT JOIN unit_of u ON s.unit = u.unit",
     "core_admissions": "SELECT a.*, u.unit_name FROM any_core_admission a "
                        "LEFT JOIN unit_of u ON a.unit = u.unit",
     "disagreement_breakdown": "SELECT * FROM disagreement",
