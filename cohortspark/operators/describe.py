@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,9 +57,13 @@ def with_order(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
 
 
 def mean_sd_text(df: DataFrame, digits: int = 1) -> DataFrame:
-    """``mean (sd), n`` as text for a report."""
-    number = f"%.{digits}f"
-    return df.withColumn("shown", F.format_string(f"{number} ({number}), %d", "mean", "sd", "n"))
+    """``mean (sd), n`` as text for a report; a single value has ``NA`` for its sd."""
+    def number(column: str) -> Column:
+        return F.when(F.col(column).isNull(), "NA").otherwise(
+            F.format_string(f"%.{digits}f", column))
+
+    shown = F.concat(number("mean"), F.lit(" ("), number("sd"), F.lit("), "), F.col("n"))
+    return df.withColumn("shown", shown)
 
 
 def group_tests(df: DataFrame, by: str, numeric: Sequence[str], categorical: Sequence[str],

@@ -663,8 +663,9 @@ SELECT *, age_diagnosis - age_onset AS onset_to_diagnosis FROM stage_rows"""
 
 
 def shown(c: str) -> str:
-    return (f"SELECT \"group\", '{c}' AS variable, printf('%.1f (%.1f), %d', "
-            f"round(avg({c}), 1), round(stddev_samp({c}), 1), count({c})) AS shown "
+    return (f"SELECT \"group\", '{c}' AS variable, printf('%.1f (%s), %d', "
+            f"round(avg({c}), 1), coalesce(printf('%.1f', round(stddev_samp({c}), 1)), 'NA'), "
+            f"count({c})) AS shown "
             f"FROM stage_ages WHERE {c} IS NOT NULL GROUP BY 1")
 
 
