@@ -182,3 +182,25 @@ def test_conform_trims_and_casts(spark):
                                 "person_id string, event_date string, code string")
     row = tables.conform(raw, "gp_event").first()
     assert (row.person_id, row.event_date, row.code, row.value) == (7, d("2001-02-03"), "G35", None)
+
+
+def test_person_joins_share_one_partitioning(spark):
+    """Without broadcasts, features join the base with no shuffle of their own."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        s = study(spark, SMALL)
+        features = s.features()._jdf.queryExecution().executedPlan().toString()
+        base = s.base()._jdf.queryExecution().executedPlan().toString()
+        both = s.event_frame()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+    def shuffles(plan):
+        return plan.count("Exchange hashpartitioning(person_id#")
+
+    assert shuffles(both) <= shuffles(features) + shuffles(base)
+    # the events meet persons and deaths, are ranked and aggregated on one shuffle each
+    assert shuffles(features) <= 4
