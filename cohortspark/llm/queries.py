@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup
+from cohortspark.llm import exact_dedup, packing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer file on this machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
     return build
@@ -36,3 +42,42 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"))
+
+
+# the general globs as LIKE patterns on host and path
+ORACLES["op7_url_filter"] = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+rules(rule, says, rule_host, rule_path) AS (VALUES
+  ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+  ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'),
+  ('com/de/', 'block', 'com', '/de/')),
+fitting AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+                       AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT p.page_id, host, path, rule,
+       coalesce(says, CASE WHEN host = '' OR host LIKE '%casino%' OR host LIKE '%cheap-pills%'
+         OR host LIKE '%spam%' OR host LIKE '%porn%' OR host LIKE '%xxx%'
+         OR path LIKE '%/wp-login%' OR path LIKE '%/cgi-bin/%' OR path LIKE '%/cart/%'
+         OR path LIKE '%/login%' OR path LIKE '%.exe' THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
+"""
+
+
+@query
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
