@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup, packing, url_filter
+from cohortspark.llm import bpe, exact_dedup, packing, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))
+
+
 @query
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"))
@@ -81,3 +86,9 @@ FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, folder, "documents"),
+                                 tokenizer_path("byte_bpe_50k.json"), with_outputs=False)
