@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import bpe, exact_dedup, packing, quality, url_filter
+from cohortspark.llm import bpe, exact_dedup, packing, pii, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
