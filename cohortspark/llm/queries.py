@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import bpe, exact_dedup, packing, pii, quality, url_filter
+from cohortspark.llm import bpe, exact_dedup, language_id, packing, pii, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,12 @@ FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
 """
 
 
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"),
+                                tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
