@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import bpe, exact_dedup, language_id, licenses, packing, pii, quality, url_filter
+from cohortspark.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    licenses,
+    packing,
+    pii,
+    quality,
+    shingle_join,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +59,11 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.link_components(table(spark, folder, "documents"))
+
+
 @query
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
