@@ -12,6 +12,7 @@ from cohortspark.llm import (
     language_id,
     licenses,
     packing,
+    phrase_dedup,
     pii,
     quality,
     shingle_join,
@@ -123,3 +124,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, folder, "documents"),
                                  tokenizer_path("byte_bpe_50k.json"), with_outputs=False)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_dedup.repeated(table(spark, folder, "documents"))
