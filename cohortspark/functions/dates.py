@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +13,6 @@ def years_between(later: Column, earlier: Column) -> Column:
     return F.round(F.datediff(later, earlier) / F.lit(DAYS_PER_YEAR), 2)
 
 
-def day(value: date) -> Column:
-    return F.lit(value).cast("date")
-
-
 def whole_number(text: Column) -> Column:
     """Integer for text made of digits only, otherwise null."""
     return F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
@@ -31,7 +25,7 @@ def partial_date(year: Column, month: Column, year_max: int, *,
     Null when the year is outside ``1..year_max`` or the month is not ``0..12``.
     """
     # make_date raises on bad input, so it only ever sees a month forced into range
-    known = F.make_date(year, F.greatest(month, F.lit(1)), F.lit(1))
+    known = F.make_date(year, F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))
     usable = (year > 0) & (year <= year_max)
     result = F.when(usable & month.between(0, 12), known)
     if missing_month_is_january:

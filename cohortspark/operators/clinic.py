@@ -36,14 +36,6 @@ def first_diagnosis(links: DataFrame, details: DataFrame, area_lookup: DataFrame
     return top_row(listed, ["person_id"], [F.col("diagnosis_date").asc_nulls_last()])
 
 
-def disease_only(first: DataFrame) -> DataFrame:
-    """People whose first diagnosis is the disease, with ages at diagnosis and onset."""
-    return first.where(F.col("diagnosis") == DISEASE).drop("area_code", "district_code") \
-        .withColumn("list_age_diagnosis", years_between(F.col("diagnosis_date"),
-                                                        F.col("birth_date"))) \
-        .withColumn("list_age_onset", years_between(F.col("onset_date"), F.col("birth_date")))
-
-
 def area_flags(population: DataFrame, first: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The alive, resident, classified population with set-membership flags.
 
@@ -123,9 +115,8 @@ def in_site(cfg: StudyConfig) -> Column:
 def site_admissions(ids: DataFrame, spells: DataFrame, units: DataFrame,
                     cfg: StudyConfig) -> DataFrame:
     """Units that admitted each checked person, with unit name and a site flag."""
-    seen = spells.join(ids.select("person_id"), "person_id", "left_semi") \
-        .select("person_id", "unit").distinct().join(units, "unit", "left")
-    return seen.join(ids, "person_id").withColumn("in_site", in_site(cfg))
+    seen = spells.select("person_id", "unit").join(ids, "person_id").distinct()
+    return seen.join(units, "unit", "left").withColumn("in_site", in_site(cfg))
 
 
 def site_check(ids: DataFrame, spells: DataFrame, cfg: StudyConfig) -> DataFrame:

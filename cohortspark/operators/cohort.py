@@ -60,8 +60,8 @@ def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str,
 
     ``members`` has one row per person with a boolean column per population;
     ``populations`` gives each column its label.  A person counts once per
-    type.  The grand total is the number of people with any type, not the sum
-    of the parts.  All numbers come from one global aggregate, whose single row
+    type; types nobody has are left out.  The grand total is the number of
+    people with any type, 0 included, not the sum of the parts.  All numbers come from one global aggregate, whose single row
     is then unpivoted, so no person row is ever multiplied.
     """
     each = {c: " + ".join(f"{c}_{s.lower()}_count" for s in SOURCES) for c in COUNTED_CONCEPTS}
@@ -74,4 +74,6 @@ def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str,
     rows = ", ".join(
         f"named_struct('population', '{label}', 'code_type', '{kind}', 'people', _{i})"
         for i, (_, label, kind) in enumerate(cells))
-    return totals.selectExpr(f"inline(array({rows}))").where("people > 0")
+    return totals.selectExpr(f"inline(array({rows}))").where(
+        (F.col("people") > 0) | (F.col("code_type") == GRAND_TOTAL)) \
+        .withColumn("people", F.coalesce("people", F.lit(0).cast("long")))

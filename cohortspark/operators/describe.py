@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,26 +107,6 @@ def group_tests(df: DataFrame, by: str, numeric: Sequence[str], categorical: Seq
     return chi.unionByName(anova).withColumn("statistic", F.round("statistic", digits))
 
 
-def chi_squared_p(df: DataFrame, by: str, categorical: Sequence[str]) -> DataFrame:
-    """p-values of the chi-squared tests: ``variable, p_value``.
-
-    Levels become indices ordered by label; rows without the variable are left
-    out of its test, as in ``group_tests``.
-    """
-    out = None
-    for c in categorical:
-        known = df.select(F.col(by).cast("string").alias("_by"),
-                          F.col(c).cast("string").alias("_level")).dropna()
-        indexed = StringIndexer(
-            inputCols=["_by", "_level"], outputCols=["_label", "_index"],
-            stringOrderType="alphabetAsc").fit(known).transform(known)
-        vectors = VectorAssembler(inputCols=["_index"], outputCol="_features").transform(indexed)
-        p = ChiSquareTest.test(vectors, "_features", "_label", flatten=True).select(
-            F.lit(c).alias("variable"), F.col("pValue").alias("p_value"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 # Groups of the first comparison table.
 TABLE_ONE_GROUPS: Mapping[str, str] = {
     "population": "All Population",

@@ -50,15 +50,16 @@ def inpatient_diagnoses(spells: DataFrame, episodes: DataFrame, tagged: DataFram
                         cfg: StudyConfig) -> DataFrame:
     """Tagged diagnoses with the person and admission of their spell.
 
-    Diagnoses are cut to the wanted codes first.  An episode only has to exist,
-    so it is a semi-join that streams them and cannot multiply rows; what is
-    left is made distinct per spell before it meets the spells.
+    Diagnoses are cut to the wanted codes first, and episodes to the keys of
+    those, a small side that Spark can broadcast; only then are episodes made
+    distinct and joined, so that none of the others is shuffled.  What is left
+    is distinct per spell before it meets the spells.
     """
     stays = spells.where(F.col("person_id").isNotNull() & in_study("admission_date", cfg)) \
         .select(*SPELL_KEYS, "person_id", F.col("admission_date").alias("event_date"))
-    # the distinct shares its partitioning with the join and collapses repeated episodes early
-    known = episodes.select(*EPISODE_KEYS).distinct()
-    found = tagged.join(known, list(EPISODE_KEYS), "left_semi").drop("episode_no").distinct()
+    wanted = tagged.select(*EPISODE_KEYS).distinct()
+    known = episodes.select(*EPISODE_KEYS).join(wanted, list(EPISODE_KEYS), "left_semi").distinct()
+    found = tagged.join(known, list(EPISODE_KEYS)).drop("episode_no").distinct()
     return stays.join(found, list(SPELL_KEYS), "inner")
 
 

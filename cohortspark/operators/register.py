@@ -80,6 +80,19 @@ def match_own_cases(profile: DataFrame, group: str, whole: str | None = None) ->
         .select(*profile.columns, "_cell.*")
 
 
+def type_tallies(profile: DataFrame) -> DataFrame:
+    """People per current type and per type at diagnosis, in one pass."""
+    cells = F.array(*(F.struct(F.lit(c).alias("question"), F.col(c).alias("type"))
+                      for c in ("type_now", "type_at_diagnosis")))
+    return profile.select(F.explode(cells).alias("cell")).groupBy("cell.question", "cell.type") \
+        .agg(F.count(F.lit(1)).alias("people"))
+
+
+def usable_users(users: DataFrame) -> DataFrame:
+    """The users of ``valid_users`` with a usable record."""
+    return users.where("invalid_user = 0")
+
+
 def with_progressive_groups(df: DataFrame) -> DataFrame:
     """Add type columns with the two progressive types counted together."""
     return df.withColumns({

@@ -474,7 +474,8 @@ FROM (SELECT user_id, CAST(completed AS DATE) AS completed, group_id,
       WHERE diagnosis_date IS NULL OR diagnosis_date <= {TO})"""
 
 
-def profile(population: str) -> str:
+def profile(population: str, members: str = "register_members", diagnosed: bool = True) -> str:
+    within = f"AND d.diagnosis_date BETWEEN {DIAG_FROM} AND {DIAG_TO}" if diagnosed else ""
     return f"""
 SELECT p.*, coalesce(n.type_now, 'Unknown') AS type_now, n.now_date, o.onset_date, o.age_onset,
   o.age_onset_known, coalesce(d.type_at_diagnosis, 'Unknown') AS type_at_diagnosis,
@@ -482,11 +483,15 @@ SELECT p.*, coalesce(n.type_now, 'Unknown') AS type_now, n.now_date, o.onset_dat
 FROM {population} p LEFT JOIN answer_now n ON p.person_id = n.person_id
 LEFT JOIN answer_onset o ON p.person_id = o.person_id
 LEFT JOIN answer_diag d ON p.person_id = d.person_id
-WHERE p.person_id IN (SELECT person_id FROM register_members)
-  AND d.diagnosis_date BETWEEN {DIAG_FROM} AND {DIAG_TO}"""
+WHERE p.person_id IN (SELECT person_id FROM {members}) {within}"""
 
 
 VIEWS["profile_all"] = profile("classified")
+VIEWS["register_in_region"] = """
+SELECT person_id FROM (SELECT DISTINCT person_id, birth_date, gender_cd FROM register_all
+  WHERE in_region) GROUP BY person_id HAVING count(*) = 1"""
+VIEWS["profile_in_region"] = profile("classified", "register_in_region")
+VIEWS["profile_unfiltered"] = profile("classified", diagnosed=False)
 VIEWS["profile_alive"] = profile("alive")
 VIEWS["matched"] = """
 SELECT p.*, p.potential_year AS diagnosis_year, p.potential_age AS diagnosis_age,
@@ -496,6 +501,36 @@ WHERE person_id IN (SELECT person_id FROM alive WHERE is_case = 1)
 UNION ALL
 SELECT p.*, NULL, NULL, 'Missing', 'Disease Present and Tested Negative' FROM profile_alive p
 WHERE person_id NOT IN (SELECT person_id FROM alive WHERE is_case = 1)"""
+VIEWS["single_users"] = """
+SELECT person_id, any_value(birth_date) AS birth_date, any_value(gender) AS gender,
+  any_value(onset_date) AS onset_date, any_value(age_onset) AS age_onset,
+  any_value(age_onset_known) AS age_onset_known, any_value(type_now) AS type_now,
+  any_value(type_at_diagnosis) AS type_at_diagnosis,
+  any_value(diagnosis_date) AS diagnosis_date, any_value(age_diagnosis) AS age_diagnosis,
+  any_value(invalid_user) AS invalid_user, 'Present' AS age_diagnosis_known
+FROM (SELECT DISTINCT r.person_id, r.birth_date, r.gender, o.onset_date, o.age_onset,
+        o.age_onset_known, n.type_now, d.type_at_diagnosis, d.diagnosis_date, d.age_diagnosis,
+        CASE WHEN d.diagnosis_date IS NOT NULL AND r.birth_date IS NOT NULL
+             AND r.birth_date <> DATE '1900-01-01' AND r.gender_cd IN (1, 2)
+             THEN 0 ELSE 1 END AS invalid_user
+      FROM (SELECT *  EXCLUDE (person_id), coalesce(person_id, -user_id) AS person_id,
+              CASE gender_cd WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Unknown' END AS gender
+            FROM reconciled) r
+      LEFT JOIN answer_now n ON r.person_id = n.person_id
+      LEFT JOIN answer_onset o ON r.person_id = o.person_id
+      LEFT JOIN answer_diag d ON r.person_id = d.person_id)
+GROUP BY person_id HAVING count(*) = 1"""
+VIEWS["looser_cases"] = f"""
+SELECT person_id, potential_year, potential_age FROM alive WHERE core_date IS NOT NULL
+  AND (potential_date - first_contact >= {queries.LOOSER.min_gap_days}
+       OR core_count >= {queries.LOOSER.min_events})"""
+VIEWS["looser_matched"] = """
+SELECT p.*, c.potential_year AS diagnosis_year, c.potential_age AS diagnosis_age,
+  CASE WHEN c.potential_age IS NULL THEN 'Missing' ELSE 'Present' END AS diagnosis_age_known,
+  'Disease Present and Tested ' || CASE WHEN c.person_id IS NULL THEN 'Negative' ELSE 'Positive' END
+    AS sub_group
+FROM profile_alive p
+LEFT JOIN (SELECT DISTINCT * FROM looser_cases) c ON p.person_id = c.person_id"""
 
 # clinic list
 
@@ -623,7 +658,7 @@ SELECT '{c}' AS variable, 'F' AS test,
         / (sum((x - gm) * (x - gm)) / (count(*) - count(DISTINCT g))), 4) AS statistic,
   count(DISTINCT g) - 1 AS df1, count(*) - count(DISTINCT g) AS df2
 FROM (SELECT {by} AS g, {c} AS x, avg({c}) OVER (PARTITION BY {by}) AS gm, avg({c}) OVER () AS m
-      FROM {source} WHERE {c} IS NOT NULL)"""
+      FROM {source} WHERE {c} IS NOT NULL) HAVING count(*) > 0"""
 
 
 VIEWS["table_one_rows"] = """
@@ -781,7 +816,8 @@ RESULTS: dict[str, str] = {
     "code_totals": "SELECT * FROM (" + " UNION ALL ".join([
         one_total("Everyone", "classified", True), one_total("Alive", "alive", True),
         one_total("Extra Codes Only", "extra_people", False),
-        one_total("Extra Codes Only (Alive)", "extra_alive", False)]) + ") WHERE people > 0",
+        one_total("Extra Codes Only (Alive)", "extra_alive", False)])
+                   + ") WHERE people > 0 OR code_type = 'Grand Total (All MS)'",
     "partial_dates": "SELECT o.user_id, o.group_id, o.y AS onset_year, o.m AS onset_month, "
                      "o.onset_date, d.y AS diagnosis_year, d.m AS diagnosis_month, "
                      "d.diagnosis_date FROM onset_typed o JOIN diag_typed d "
@@ -792,29 +828,33 @@ RESULTS: dict[str, str] = {
     "latest_response": "SELECT * FROM answer_now",
     "latest_onset": "SELECT * FROM answer_onset",
     "latest_diagnosis": "SELECT * FROM answer_diag",
-    "singleton_groups": """
-SELECT person_id, any_value(birth_date) AS birth_date, any_value(gender) AS gender,
-  any_value(onset_date) AS onset_date, any_value(age_onset) AS age_onset,
-  any_value(age_onset_known) AS age_onset_known, any_value(type_now) AS type_now,
-  any_value(type_at_diagnosis) AS type_at_diagnosis,
-  any_value(diagnosis_date) AS diagnosis_date, any_value(age_diagnosis) AS age_diagnosis,
-  any_value(invalid_user) AS invalid_user, 'Present' AS age_diagnosis_known
-FROM (SELECT DISTINCT r.person_id, r.birth_date, r.gender, o.onset_date, o.age_onset,
-        o.age_onset_known, n.type_now, d.type_at_diagnosis, d.diagnosis_date, d.age_diagnosis,
-        CASE WHEN d.diagnosis_date IS NOT NULL AND r.birth_date IS NOT NULL
-             AND r.birth_date <> DATE '1900-01-01' AND r.gender_cd IN (1, 2)
-             THEN 0 ELSE 1 END AS invalid_user
-      FROM (SELECT *  EXCLUDE (person_id), coalesce(person_id, -user_id) AS person_id,
-              CASE gender_cd WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Unknown' END AS gender
-            FROM reconciled) r
-      LEFT JOIN answer_now n ON r.person_id = n.person_id
-      LEFT JOIN answer_onset o ON r.person_id = o.person_id
-      LEFT JOIN answer_diag d ON r.person_id = d.person_id)
-GROUP BY person_id HAVING count(*) = 1""",
+    "singleton_groups": "SELECT * FROM single_users",
+    "usable_users": "SELECT * FROM single_users WHERE invalid_user = 0",
     "register_profile": f"SELECT {PROFILE_COLUMNS}, submitted FROM profile_all",
     "match_miss": f"SELECT {PROFILE_COLUMNS}, diagnosis_year, diagnosis_age, "
                   f"diagnosis_age_known, sub_group, 'Algorithm - ' || sub_group AS all_group "
                   f"FROM matched",
+    "register_profile_in_region": f"SELECT {PROFILE_COLUMNS} FROM profile_in_region",
+    "register_profile_unfiltered": f"SELECT {PROFILE_COLUMNS} FROM profile_unfiltered",
+    "register_diagnosed": "SELECT person_id, diagnosis_date, age_diagnosis FROM answer_diag "
+                          "WHERE person_id IN (SELECT person_id FROM register_in_region) "
+                          f"AND diagnosis_date BETWEEN {DIAG_FROM} AND {DIAG_TO}",
+    "register_type_tallies": " UNION ALL ".join(
+        f"SELECT '{c}' AS question, {c} AS type, count(*) AS people FROM profile_all GROUP BY 2"
+        for c in ("type_now", "type_at_diagnosis")),
+    **{name: f"SELECT {PROFILE_COLUMNS}, diagnosis_year, diagnosis_age, diagnosis_age_known, "
+             f"sub_group, 'Looser - ' || sub_group AS all_group FROM looser_matched {where}"
+       for name, where in (("match_miss_cohort", ""),
+                           ("match_miss_known_type", "WHERE type_at_diagnosis <> 'Unknown'"))},
+    "register_group_tests": " UNION ALL ".join(
+        [anova("register_grouped", "all_group", c) for c in queries.ACCURACY_AGES]
+        + [chi_squared("register_grouped", "all_group", c) for c in queries.ACCURACY_LEVELS]),
+    "conform_events": """
+SELECT CASE WHEN event_id % 7 > 1 THEN user_id END AS person_id,
+  CASE WHEN event_id % 5 > 2 THEN CAST(ts AS DATE) END AS event_date,
+  CASE WHEN event_id % 3 > 0 THEN CAST(year(ts) AS INTEGER) END AS event_year,
+  event_type AS code, CASE WHEN event_id % 4 > 0 THEN value END AS value, event_id AS sequence
+FROM events""",
     "accuracy_table": described(
         "register_grouped", "all_group",
         ["age_onset", "diagnosis_age", "age_diagnosis", "age_end", "age_death"],

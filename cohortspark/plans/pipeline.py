@@ -28,7 +28,7 @@ from cohortspark.operators import (
     responses,
     timeline,
 )
-from cohortspark.sources.stages import StageStore
+from cohortspark.sources.stages import StageStore, input_identity
 
 STAGES = ("persons", "deaths", "tagged", "features", "base", "counts", "people", "alive")
 ALL, ALIVE = "all", "alive"
@@ -48,7 +48,9 @@ class CohortStudy:
         self.cfg = cfg or StudyConfig()
         self.codeset = codeset or default_codeset()
         self.death_patterns = tuple(death_patterns)
-        self.stages = stages
+        # stages of another configuration, code set or input are never taken for this study's
+        self.stages = stages and stages.keyed(self.cfg, self.codeset, self.death_patterns,
+                                              input_identity(tables))
         self.refresh = refresh
         self._built: dict[str, DataFrame] = {}
 
@@ -192,13 +194,25 @@ class CohortStudy:
         return self._step("answers", lambda: responses.latest_answers(
             self.tables["questionnaire"], self.register_demographics(), self.cfg))
 
-    def register_members(self) -> DataFrame:
-        return self._step("members", lambda: identity.register_cohort(
-            self.tables["register_link"], self.cfg, in_region=False).select("person_id"))
-
-    def register_profile(self, which: str = ALIVE) -> DataFrame:
-        return self._step(f"profile_{which}", lambda: register.register_profile(
-            self.population(which), self.register_members(), self.answers(), self.cfg))
+    def register_members(self, in_region: bool = False) -> DataFrame:
+        return self._step(f"members_{in_region}", lambda: identity.register_cohort(
+            self.tables["register_link"], self.cfg, in_region=in_region).select("person_id"))
+
+    def register_profile(self, which: str = ALIVE, diagnosed_only: bool = True,
+                         in_region: bool = False) -> DataFrame:
+        return self._step(f"profile_{which}_{diagnosed_only}_{in_region}",
+                          lambda: register.register_profile(
+                              self.population(which), self.register_members(in_region),
+                              self.answers(), self.cfg, diagnosed_only))
+
+    def register_diagnosed(self) -> DataFrame:
+        """Members of the region whose own diagnosis lies in the study, in records or not."""
+        told = responses.join_answers(self.register_members(in_region=True), self.answers())
+        return responses.diagnosed_in_study(told, self.cfg)
+
+    def other_cases(self, cfg: StudyConfig, which: str = ALIVE) -> DataFrame:
+        """The cases of the same population by the rule of another configuration."""
+        return cohort.case_cohort(cohort.classify_cases(self.population(which), cfg), cfg)
 
     def match_miss(self, which: str = ALIVE) -> DataFrame:
         return register.match_own_cases(self.register_profile(which), REGISTER_GROUP)

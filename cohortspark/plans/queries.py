@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from cohortspark.operators import (
 from cohortspark.plans.pipeline import ALIVE, ALL, STAGE_AGE_GROUPS, CohortStudy
 from cohortspark.sources import analogs
 from cohortspark.sources.sinks import ROW_BUDGET, within_budget
-from cohortspark.sources.tables import scan_coded_events
+from cohortspark.sources.tables import conform, scan_coded_events
 
 CFG, CODES = analogs.STUDY, analogs.CODES
 EVENT_COLUMNS = ("person_id", "event_date", "event_year", "code", "value", "sequence")
@@ -63,6 +64,12 @@ def prefix_codes(s: CohortStudy) -> DataFrame:
     return scan_coded_events(s.tables["gp_event"], CFG, prefixes=PREFIXES, columns=EVENT_COLUMNS)
 
 
+@query
+def conform_events(s: CohortStudy) -> DataFrame:
+    """A text extract with padded codes, blanks and bad numbers and dates, at its schema."""
+    return conform(s.tables["raw_event"], "gp_event").select(*EVENT_COLUMNS)
+
+
 @query
 def event_count_guard(s: CohortStudy) -> DataFrame:
     return within_budget(scan_coded_events(s.tables["gp_event"], CFG, gp_codes()), ROW_BUDGET)
@@ -317,13 +324,65 @@ def match_miss(s: CohortStudy) -> DataFrame:
         "all_group")
 
 
+@query
+def register_profile_in_region(s: CohortStudy) -> DataFrame:
+    return s.register_profile(ALL, in_region=True).select(*PROFILE_COLUMNS)
+
+
+@query
+def register_profile_unfiltered(s: CohortStudy) -> DataFrame:
+    return s.register_profile(ALL, diagnosed_only=False).select(*PROFILE_COLUMNS)
+
+
+@query
+def register_diagnosed(s: CohortStudy) -> DataFrame:
+    return s.register_diagnosed().select("person_id", "diagnosis_date", "age_diagnosis")
+
+
+@query
+def register_type_tallies(s: CohortStudy) -> DataFrame:
+    return register.type_tallies(s.register_profile(ALL))
+
+
+@query
+def usable_users(s: CohortStudy) -> DataFrame:
+    return register.usable_users(register.valid_users(s.register_demographics(), s.answers()))
+
+
+# a cohort by another rule, compared with the same register profile
+LOOSER = replace(CFG, min_events=2, min_gap_days=30)
+MATCH_COLUMNS = (*PROFILE_COLUMNS, "diagnosis_year", "diagnosis_age", "diagnosis_age_known",
+                 "sub_group", "all_group")
+
+
+@query
+def match_miss_cohort(s: CohortStudy) -> DataFrame:
+    return register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser") \
+        .select(*MATCH_COLUMNS)
+
+
+@query
+def match_miss_known_type(s: CohortStudy) -> DataFrame:
+    return register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser",
+                               known_type_only=True).select(*MATCH_COLUMNS)
+
+
+@query
+def register_group_tests(s: CohortStudy) -> DataFrame:
+    return describe.group_tests(s.register_comparison(), "all_group", ACCURACY_AGES,
+                                ACCURACY_LEVELS)
+
+
+ACCURACY_AGES = ["age_onset", "diagnosis_age", "age_diagnosis", "age_end", "age_death"]
+ACCURACY_LEVELS = ["gender", "type_at_diagnosis_group", "type_now_group", "age_onset_known",
+                   "diagnosis_age_known", "age_diagnosis_known"]
+
+
 @query
 def accuracy_table(s: CohortStudy) -> DataFrame:
     return describe.describe(
-        s.register_comparison(), "all_group",
-        ["age_onset", "diagnosis_age", "age_diagnosis", "age_end", "age_death"],
-        ["gender", "type_at_diagnosis_group", "type_now_group", "age_onset_known",
-         "diagnosis_age_known", "age_diagnosis_known"], hide_level="Missing")
+        s.register_comparison(), "all_group", ACCURACY_AGES, ACCURACY_LEVELS,
+        hide_level="Missing")
 
 
 # clinic list

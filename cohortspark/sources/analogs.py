@@ -89,7 +89,8 @@ STAR_SCHEMAS = {
               "o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
                 "l_quantity double, l_linestatus string, l_shipdate timestamp_ntz",
-    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, props string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+              "value double, props string",
 }
 
 
@@ -294,6 +295,19 @@ def questionnaire(events: DataFrame) -> DataFrame:
     )
 
 
+def raw_event(events: DataFrame) -> DataFrame:
+    """User events as a text extract: padded codes, blanks, bad numbers and dates."""
+    return events.selectExpr(
+        "CASE event_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN '' ELSE CAST(user_id AS STRING) END "
+        "AS person_id",
+        "CASE event_id % 5 WHEN 0 THEN '2000-13-40' WHEN 1 THEN '' WHEN 2 THEN 'X' "
+        "ELSE date_format(ts, 'yyyy-MM-dd') END AS event_date",
+        "IF(event_id % 3 = 0, 'NA', CAST(year(ts) AS STRING)) AS event_year",
+        "concat(event_type, '   ') AS code",
+        "IF(event_id % 4 = 0, 'X', CAST(value AS STRING)) AS value",
+        "CAST(event_id AS STRING) AS sequence")
+
+
 def clinic_link(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(
         "c_custkey AS system_id", "IF(c_acctbal <= 9900, c_custkey, NULL) AS person_id",
@@ -335,6 +349,7 @@ VIEWS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "provider_unit": (provider_unit, ("region",)),
     "register_link": (register_link, ("customer",)),
     "questionnaire": (questionnaire, ("events",)),
+    "raw_event": (raw_event, ("events",)),
     "clinic_link": (clinic_link, ("customer",)),
     "clinic_details": (clinic_details, ("customer",)),
 }

@@ -25,13 +25,16 @@ def within_budget(df: DataFrame, max_rows: int = ROW_BUDGET) -> DataFrame:
 
 
 def guarded(df: DataFrame, max_rows: int = ROW_BUDGET) -> DataFrame:
-    """``df`` itself, or an error before anything large leaves the cluster."""
-    rows = event_count(df).first()["event_count"]
-    if rows > max_rows:
-        raise RowBudgetExceeded(f"{rows} rows exceed the budget of {max_rows}")
+    """``df`` itself, or an error before anything large leaves the cluster.
+
+    Counting stops one row above the budget.
+    """
+    if event_count(df.limit(max_rows + 1)).first()["event_count"] > max_rows:
+        raise RowBudgetExceeded(f"more than {max_rows} rows")
     return df
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = ROW_BUDGET) -> None:
-    """One CSV file with a header, for results small enough to be read by people."""
-    guarded(df, max_rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, max_rows: int | None = None) -> None:
+    """A folder of CSV files with headers, of any size unless the caller sets a budget."""
+    checked = df if max_rows is None else guarded(df, max_rows)
+    checked.write.mode("overwrite").option("header", True).csv(path)

@@ -5,26 +5,43 @@ A stage is a Parquet table in shared storage, so it outlives lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Mapping
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The folder the cluster names for checkpoints; ``fallback`` only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def input_identity(tables: Mapping[str, DataFrame]) -> list[tuple]:
+    """What tells one set of inputs from another: names, schemas and files.
+
+    A frame without files is told by its plan.
+    """
+    return [(name, df.schema.simpleString(), sorted(df.inputFiles()) or df.semanticHash())
+            for name, df in sorted(tables.items())]
 
 
 class StageStore:
     """Named Parquet stages under one run folder."""
 
-    def __init__(self, spark: SparkSession, run: str, fallback: str | None = None) -> None:
-        folder = shared_folder(spark, fallback)
+    def __init__(self, spark: SparkSession, run: str) -> None:
+        folder = shared_folder(spark)
         if folder is None:
-            raise ValueError("set spark.checkpoint.dir or give a folder for stages")
+            raise ValueError("set spark.checkpoint.dir, a folder that all machines share")
         self.spark = spark
         self.root = f"{folder.rstrip('/')}/{run}"
 
+    def keyed(self, *parts: object) -> StageStore:
+        """The stages of what ``parts`` describe, apart from those of anything else."""
+        store = copy(self)
+        store.root = f"{self.root}/{hashlib.sha256(repr(parts).encode()).hexdigest()[:16]}"
+        return store
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

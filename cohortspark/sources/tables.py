@@ -55,6 +55,8 @@ def schema_of(name: str) -> T.StructType:
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Bring a raw extract to its declared schema: cast types, drop code padding.
 
+    Text that is no value of its column's type becomes null.
+
     Meant for ingest.  Doing it once, ahead of a stored table, keeps later
     filters on the bare columns so that they reach the Parquet scan.
     """
@@ -63,6 +65,8 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
         if isinstance(f.dataType, T.StringType):
             value = F.rtrim(value.cast("string"))
+        if f.name in df.columns and isinstance(df.schema[f.name].dataType, T.StringType):
+            value = value.try_cast(f.dataType)
         columns.append(value.cast(f.dataType).alias(f.name))
     return df.select(*columns)
 

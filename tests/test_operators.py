@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.codes import default_codeset
+from cohortspark.codes import COUNTED_CONCEPTS, default_codeset
 from cohortspark.config import StudyConfig
 from cohortspark.operators import (
     clinic,
@@ -315,13 +315,21 @@ def test_person_counts_fill(spark, people):
     assert tuples(strict, "person_id", "gender") == [(1, None), (2, "Female")]
 
 
-def test_chi_squared_p_value(spark):
+def test_chi_squared_statistic(spark):
     cells = {("x", "a"): 10, ("x", "b"): 20, ("y", "a"): 20, ("y", "b"): 10}
     rows = [(g, c) for (g, c), n in cells.items() for _ in range(n)] + [("x", None)]
     df = spark.createDataFrame(rows, "g string, c string")
     # statistic 60 * (100 - 400)^2 / 30^4 = 6.667 on one degree of freedom
     assert describe.group_tests(df, "g", [], ["c"]).first().statistic == 6.6667
-    assert describe.chi_squared_p(df, "g", ["c"]).first().p_value == pytest.approx(0.00982, abs=1e-5)
+
+
+def test_empty_population_keeps_its_total(spark):
+    counts = spark.createDataFrame([(1, *([0] * 2 * len(COUNTED_CONCEPTS)))], "person_id long, " + ", ".join(
+        f"{c}_{s}_count long" for c in COUNTED_CONCEPTS for s in ("gp", "hospital")))
+    members = spark.createDataFrame([(1, True)], "person_id long, everyone boolean")
+    for some in (members, members.where("false")):
+        rows = cohort.code_totals(counts, some, {"everyone": "Everyone"}).collect()
+        assert [tuple(r) for r in rows] == [("Everyone", cohort.GRAND_TOTAL, 0)]
 
 
 # one person, user or unit holding most rows

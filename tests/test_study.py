@@ -106,30 +106,51 @@ def test_grand_total_is_not_above_the_sum(star):
 # sources, stages, sinks
 
 
-def test_staged_study_gives_the_same_cohort(spark, tmp_path, clinical):
-    store = stages.StageStore(spark, "run", fallback=str(tmp_path))
-    staged = CohortStudy(frames(spark, **study_rows()), StudyConfig(), stages=store)
-    want = {r.person_id for r in clinical.cases(ALIVE).collect()}
-    assert {r.person_id for r in staged.cases(ALIVE).collect()} == want
-    assert store.has("people") and store.has("features") and not store.has("nothing")
-    # a second study reads the stages and does not look at its tables
-    reused = CohortStudy({}, StudyConfig(), stages=store)
-    assert {r.person_id for r in reused.cases(ALIVE).collect()} == want
-
-
-def test_stage_is_reused_until_refreshed(spark, tmp_path):
-    store = stages.StageStore(spark, "run", fallback=str(tmp_path))
+@pytest.fixture
+def store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "shared_folder", lambda session: str(tmp_path))
+    return stages.StageStore(spark, "run")
+
+
+def case_ids(s):
+    return {r.person_id for r in s.cases(ALIVE).collect()}
+
+
+def test_staged_study_gives_the_same_cohort(spark, store, clinical):
+    rows = frames(spark, **study_rows())
+    staged = CohortStudy(rows, StudyConfig(), stages=store)
+    want = case_ids(clinical)
+    assert want and case_ids(staged) == want
+    assert staged.stages.has("people") and staged.stages.has("features")
+    assert not staged.stages.has("nothing") and not store.has("people")
+    # the same study again finds its stages
+    again = CohortStudy(rows, StudyConfig(), stages=store)
+    assert again.stages.root == staged.stages.root and case_ids(again) == want
+
+
+def test_another_study_has_stages_of_its_own(spark, store, clinical):
+    rows = frames(spark, **study_rows())
+    assert case_ids(CohortStudy(rows, StudyConfig(), stages=store)) == case_ids(clinical)
+    never = StudyConfig(min_events=10 ** 6, min_gap_days=10 ** 6)
+    assert case_ids(CohortStudy(rows, never, stages=store)) == set()
+    fewer = {**rows, "gp_event": rows["gp_event"].where("false")}
+    roots = {CohortStudy(t, c, stages=store, death_patterns=p).stages.root for t, c, p in (
+        (rows, StudyConfig(), ("a",)), (rows, StudyConfig(), ("b",)), (rows, never, ("a",)),
+        (fewer, StudyConfig(), ("a",)))}
+    assert len(roots) == 4
+
+
+def test_stage_is_reused_until_refreshed(spark, store):
     assert store.run("a", lambda: spark.range(3)).count() == 3
     assert store.run("a", lambda: spark.range(5)).count() == 3
     assert store.run("a", lambda: spark.range(5), refresh=True).count() == 5
 
 
-def test_stage_folder_comes_from_the_session(spark, tmp_path):
-    assert stages.shared_folder(spark, "x") == \
-        (spark.conf.get("spark.checkpoint.dir", None) or "x")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        with pytest.raises(ValueError):
-            stages.StageStore(spark, "run")
+def test_stage_folder_comes_from_the_session(spark, monkeypatch):
+    assert stages.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir", None)
+    monkeypatch.setattr(stages, "shared_folder", lambda session: None)
+    with pytest.raises(ValueError):
+        stages.StageStore(spark, "run")
 
 
 def test_bucketed_table_joins_without_shuffling_it(spark):
@@ -157,8 +178,13 @@ def test_guard_and_report(spark, tmp_path):
         {"event_count": 10, "within_budget": 0}
     path = str(tmp_path / "report")
     sinks.write_report(small, path)
-    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
     assert spark.read.csv(path, header=True).count() == 10
+    with pytest.raises(sinks.RowBudgetExceeded):
+        sinks.write_report(small, path, max_rows=9)
+    # a report has no budget of its own
+    many = spark.range(sinks.ROW_BUDGET + 1)
+    sinks.write_report(many, path)
+    assert spark.read.csv(path, header=True).count() == sinks.ROW_BUDGET + 1
 
 
 def test_lookup_csv(spark, tmp_path):
@@ -184,6 +210,18 @@ def test_conform_trims_and_casts(spark):
     assert (row.person_id, row.event_date, row.code, row.value) == (7, d("2001-02-03"), "G35", None)
 
 
+@pytest.mark.parametrize("bad", ["NA", "", "2000-13-40", "X"])
+def test_conform_nulls_bad_text(spark, bad):
+    raw = spark.createDataFrame([(bad, bad, bad)],
+                                "user_id string, completed string, group_id string")
+    row = tables.conform(raw, "questionnaire").first()
+    assert (row.user_id, row.completed, row.group_id) == (None, None, None)
+    person = spark.createDataFrame([("5", bad, bad)],
+                                   "person_id string, birth_date string, gender_cd string")
+    row = tables.conform(person, "person_source").first()
+    assert (row.person_id, row.birth_date, row.gender_cd) == (5, None, None)
+
+
 def test_person_joins_share_one_partitioning(spark):
     """Without broadcasts, features join the base with no shuffle of their own."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
