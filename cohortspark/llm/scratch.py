@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # folders made here, by application
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is made only where none is set (tests)."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set(SETTING, folder)
+        run = spark.sparkContext.applicationId
+        if run not in _own:
+            _own[run] = "file://" + tempfile.mkdtemp(prefix="llm-")
+        folder = _own[run]
     return folder.rstrip("/")
 
 

@@ -450,5 +450,5 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text: s
                      key: str = "doc_id") -> DataFrame:
     """``docs`` with the smallest key of each component; rows without a key stay."""
     found = link_components(docs, width, percent, text, key)
-    gone = found.where(f"`{key}` <> component_id").select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("gone"), "left_anti")
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
