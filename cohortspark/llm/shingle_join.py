@@ -14,7 +14,8 @@ never forms all pairs of a group:
 * Inverted lists: prefix filtering over a global order of shingles (frequent ones last) gives
   lists of stars. A list is ordered by size; within it a star looks only at the block of
   sizes that can still reach the threshold, and skips entries whose positions leave too few
-  shingles behind them.
+  shingles behind them. Of two linking sets, all but a few of the prefix shingles that come
+  first in the order are common, so pairs that meet on too few lists are dropped.
 * Star pairs that share a list are compared by their centres. Where the bound leaves members
   open, members are compared with the other centre first, and only pairs of stars that are
   then still in different components compare members with each other, through lists again.
@@ -291,7 +292,7 @@ def first_in_order(s: np.ndarray, take: int, known: np.ndarray, order: np.ndarra
 
 
 def list_pairs(lists: DataFrame, rule: Rule, columns: tuple[str, ...]) -> DataFrame:
-    """Pairs of owners on one list that sizes and positions allow.
+    """Pairs of owners that sizes and positions allow, with the number of lists they share.
 
     ``lists``: token, the owner columns, least and most (sizes), rest. Lists are read in order
     of size; a block of later entries is left as soon as sizes are too far apart.
@@ -324,19 +325,45 @@ def list_pairs(lists: DataFrame, rule: Rule, columns: tuple[str, ...]) -> DataFr
             at, there = at[alive], there[alive]
             if not len(at):
                 break
-            # common <= what is left from this shingle on; a link needs this much in common
-            need = ratio / (1 + ratio) * (least[at] + least[there])
-            good = (star[at] != star[there]) & (np.minimum(rest[at], rest[there]) + 1e-9 >= need)
-            i, j = at[good], there[good]
-            found.append(np.stack([np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])]))
+            other = star[at] != star[there]
+            i, j = at[other], there[other]
+            # from its first common shingle on, a link has this much in common
+            need = ratio / (1 + ratio) * (least[i] + least[j])
+            early = np.minimum(rest[i], rest[j]) + 1e-9 >= need
+            found.append(np.stack([np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]),
+                                   early]))
             step += 1
-        every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), int)
-        return pa.RecordBatch.from_arrays([pa.array(every[0], pa.int64()),
-                                           pa.array(every[1], pa.int64())], names=["a", "b"])
+        a, b, early = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.lexsort((b, a))
+        a, b, early = a[order], b[order], early[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(first)
+        times = np.diff(np.append(at, len(a)))
+        early = np.add.reduceat(early, at) if len(at) else early
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
+            a[at], b[at], times, early)], names=["a", "b", "lists", "early"])
 
     owner, star = columns
     return ordered.select("token", owner, F.col(star).alias("own_star"), "least", "most",
-                          "rest").mapInArrow(run, "a long, b long").distinct()
+                          "rest").mapInArrow(
+        run, "a long, b long, lists long, early long").groupBy("a", "b").agg(
+        F.sum("lists").alias("lists"), F.sum("early").alias("early")).where("early > 0").drop("early")
+
+
+def enough_lists(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that share as many lists as any link needs; ``sizes``: owner, least, most.
+
+    A link has t / (1 + t) of both sizes in common, so the set whose prefix ends first in the
+    order has all but its size less that many of its prefix shingles in the other's prefix.
+    """
+    t = rule.percent / 100
+    side = lambda x: sizes.select(F.col("owner").alias(x), F.col("least").alias(f"least_{x}"),
+                                  F.col("most").alias(f"most_{x}"))
+    need = lambda x, y: (t / (1 + t) * (F.col(f"most_{x}") + F.col(f"least_{y}"))
+                         - t * F.col(f"most_{x}") - 1e-6)
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(F.col("lists") >= F.least(need("a", "b"), need("b", "a"))).select("a", "b"))
 
 
 def star_lists(posted: DataFrame) -> DataFrame:
@@ -394,12 +421,15 @@ def centre_checks(open_pairs: DataFrame, starred: DataFrame, rule: Rule) -> Data
         F.col("node").alias("a"), "b")
 
 
-def member_checks(open_pairs: DataFrame, posted: DataFrame, rule: Rule) -> DataFrame:
+def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame,
+                  rule: Rule) -> DataFrame:
     """Members of open star pairs that share a list with members of the other star."""
     stars_open = open_pairs.select(F.explode(F.array("a", "b")).alias("star")).distinct()
     lists = posted.join(stars_open, "star", "left_semi").select(
         "token", "node", "star", F.col("n").alias("least"), F.col("n").alias("most"), "rest")
-    return list_pairs(lists, rule, ("node", "star"))
+    by_node = sizes.groupBy(F.col("node").alias("owner")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    return enough_lists(list_pairs(lists, rule, ("node", "star")), by_node, rule)
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
@@ -410,7 +440,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     frequent = frequent_shingles(described)
     rows = described.where("item IS NULL").select("doc_key", "n", "digest", "keys", "sketch")
     by_set = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_key").alias("node"), F.first("keys").alias("keys"),
+        F.min("doc_key").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.first("sketch").alias("sketch")), "join-classes")
     classes = by_set.where("node IS NOT NULL")
 
@@ -420,7 +450,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     starred = stored(stars(nodes, found), "join-stars")
 
     posted = stored(postings(docs, starred, frequent, rule, text, key), "join-postings")
-    met = list_pairs(star_lists(posted), rule, ("star", "star"))
+    by_star = starred.join(classes.select("node", "n"), "node").groupBy(
+        F.col("star").alias("owner")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    met = enough_lists(list_pairs(star_lists(posted), rule, ("star", "star")), by_star, rule)
     compared = compare(met, docs, rule, text, key)
     edges = found.select("a", "b").unionByName(links(compared, rule).select("a", "b"))
     label = components(edges)
@@ -432,7 +464,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         label = components(edges)
         still = stored(open_star_pairs(compared, starred, label, rule), "join-open")
         if not still.isEmpty():
-            checked = compare(member_checks(still, posted, rule), docs, rule, text, key)
+            checked = compare(member_checks(still, posted, classes, rule), docs, rule, text, key)
             label = components(edges.unionByName(links(checked, rule).select("a", "b")))
 
     of_set = by_set.join(label, "node", "left").select(
