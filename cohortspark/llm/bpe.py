@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 # white space that bytes.split and friends do not know
 OTHER_SPACE = regex.compile(r"[^\P{White_Space}\t-\r ]")
 CUT = regex.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+\z".replace(rb"\z", rb"\Z"))
-REMEMBERED = 250_000
+# an optional line end, a word of ASCII or Latin-1 letters, a full stop or comma: cut as it stands
+SIMPLE = re.compile(rb"(\n?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 40
 SLICE_BYTES = 1_000_000
 TREE_CELLS = 1 << 21  # leaves handled at once
@@ -78,8 +82,9 @@ class ByteBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.marks = [s.encode() for s in self.special]
+        self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
+        # ids of words and cuts, little-endian 32-bit and in decimal with commas
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.word_ids: dict[bytes, np.ndarray] = {}
 
     @classmethod
     def shared(cls, path: str) -> ByteBpe:
@@ -93,9 +98,9 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.rank[at], NONE)
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words are grouped by the size of their trees."""
-        found: list[np.ndarray] = [None] * len(words)
+    def merge_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of each word in both forms; words are grouped by the size of their trees."""
+        found: list[tuple[bytes, bytes]] = [None] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_size.setdefault(1 << max(1, (len(w) - 1).bit_length()), []).append(i)
@@ -107,7 +112,7 @@ class ByteBpe:
                     found[i] = ids
         return found
 
-    def _merge(self, words: list[bytes], size: int) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], size: int) -> list[tuple[bytes, bytes]]:
         n = len(words)
         lengths = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8)
@@ -157,17 +162,23 @@ class ByteBpe:
                 leaf = leaf >> 1
                 tree[who, leaf] = np.minimum(tree[who, 2 * leaf], tree[who, 2 * leaf + 1])
             rows = rows[tree[rows, 1] < NONE]
-        return [sym[i, alive[i]] for i in range(n)]
+        flat, bounds = sym[alive], np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
+        raw, shown = flat.astype("<u4").tobytes(), [self.decimal[i] for i in flat.tolist()]
+        return [(raw[4 * a:4 * b], b",".join(shown[a:b]))
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def learn(self, cuts: set[bytes]) -> list[bytes]:
         """Remember the ids of new cuts; the long ones are returned, to be forgotten soon."""
-        words = {c: [w.encode() for w in self.words.findall(c.decode())] for c in cuts}
-        new = list({w for ws in words.values() for w in ws if w not in self.word_ids})
-        self.word_ids.update(zip(new, self.merge_words(new), strict=True))
-        for c, ws in words.items():
-            ids = np.concatenate([self.word_ids[w] for w in ws])
-            self.known[c] = (ids.astype("<u4").tobytes(), ",".join(map(str, ids)).encode())
-        return [w for w in (*new, *words) if len(w) > LONGEST_REMEMBERED]
+        known, simple, words = self.known, SIMPLE.fullmatch, self.words.findall
+        parts = {c: list(filter(None, m.groups())) if (m := simple(c))
+                 else [w.encode() for w in words(c.decode())] for c in cuts}
+        new = [w for w in set(chain.from_iterable(parts.values())) if w not in known]
+        known.update(zip(new, self.merge_words(new), strict=True))
+        for c, ws in parts.items():
+            if c not in known:
+                ids = [known[w] for w in ws]
+                known[c] = (b"".join([i[0] for i in ids]), b",".join([i[1] for i in ids]))
+        return [w for w in chain(new, parts) if len(w) > LONGEST_REMEMBERED]
 
     def cuts(self, text: bytes) -> list[bytes]:
         """The text in cuts that encode on their own."""
@@ -198,12 +209,11 @@ class ByteBpe:
         for ps in pieces:
             parts = [known[p] for p in ps]
             encoded.append((b"".join([p[0] for p in parts]), b",".join([p[1] for p in parts])))
-        if len(self.known) + len(self.word_ids) > REMEMBERED:
-            self.known, self.word_ids = {}, {}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
         else:
             for w in long_words:
                 self.known.pop(w, None)
-                self.word_ids.pop(w, None)
         return encoded
 
     def decode(self, ids: bytes) -> bytes:
