@@ -52,6 +52,7 @@ FREQUENT = 1 << 16
 SUMMARY = 1 << 15
 SKETCH = 64
 KEYS = 4
+SHARE = 10_000
 LIKELY = 0.7  # share of equal sketch cells from which a comparison is tried
 ORDER_BITS = np.uint64(1) << np.uint64(63)
 
@@ -170,8 +171,12 @@ def frequent_shingles(described: DataFrame) -> np.ndarray:
 
 # comparing sets
 
-def compare(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, key: str) -> DataFrame:
-    """Exact sizes for pairs of keys (a, b): a, b, common, total (sizes of both sets)."""
+def compare(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, key: str,
+            changes: bool = False) -> DataFrame:
+    """Exact sizes for pairs of keys (a, b): a, b, common, total (sizes of both sets).
+
+    With ``changes`` also what a's set has gained and lost against b's.
+    """
     pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_key")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("t")).where(
@@ -183,7 +188,7 @@ def compare(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, key: str)
         last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
         for batch in batches:
             a, b, ta, tb = batch.columns
-            common, total = [], []
+            common, total, gained, lost = [], [], [], []
             for row, sets in text_sets(ta, rule.width):
                 for i, s in enumerate(sets, row):
                     other = tb[i].as_py()
@@ -191,12 +196,17 @@ def compare(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, key: str)
                         last = (other, next(text_sets(pa.array([other]), rule.width))[1][0])
                     common.append(len(np.intersect1d(s, last[1], assume_unique=True)))
                     total.append(len(s) + len(last[1]))
-            yield pa.RecordBatch.from_arrays(
-                [a, b, pa.array(common, pa.int64()), pa.array(total, pa.int64())],
-                names=["a", "b", "common", "total"])
-
+                    if changes:
+                        gained.append(np.setdiff1d(s, last[1], assume_unique=True).tobytes())
+                        lost.append(np.setdiff1d(last[1], s, assume_unique=True).tobytes())
+            columns = [a, b, pa.array(common, pa.int64()), pa.array(total, pa.int64())]
+            columns += [pa.array(x, pa.binary()) for x in (gained, lost)] if changes else []
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["a", "b", "common", "total", *(["gained", "lost"] if changes else [])]
+    schema = "a long, b long, common long, total long"
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(
-        run, "a long, b long, common long, total long"), "join-compared")
+        run, schema + ", gained binary, lost binary" * changes), "join-compared")
 
 
 def links(compared: DataFrame, rule: Rule) -> DataFrame:
@@ -410,15 +420,111 @@ def open_star_pairs(compared: DataFrame, starred: DataFrame, label: DataFrame,
             .select("a", "b", "d", "reach_a", "reach_b"))
 
 
-def centre_checks(open_pairs: DataFrame, starred: DataFrame, rule: Rule) -> DataFrame:
-    """Members against the other star's centre, where the bound allows a link."""
-    most = 1 - rule.percent / 100
-    members = starred.where("node <> star").select(F.col("star").alias("a"), "node",
-                                                   F.col("d").alias("own"))
-    turned = open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
-    sides = open_pairs.select("a", "b", "d").unionByName(turned)
-    return sides.join(members, "a").where(F.col("d") <= F.col("own") + most + 1e-9).select(
-        F.col("node").alias("a"), "b")
+def set_rows(docs: DataFrame, nodes: DataFrame, rule: Rule, text: str, key: str) -> DataFrame:
+    """The whole sets of some documents: node, gained (sorted shingle hashes)."""
+    held = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where(
+        "t IS NOT NULL").join(nodes, "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in text_sets(batch.column(1), rule.width):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(sets)),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "gained"])
+
+    return held.mapInArrow(run, "node long, gained binary")
+
+
+def derived_links(open_pairs: DataFrame, starred: DataFrame, changes: DataFrame, docs: DataFrame,
+                  rule: Rule, text: str, key: str) -> DataFrame:
+    """Members of open stars that link with the other star's centre, one a star pair and share.
+
+    What a member has in common with a set follows from what its centre has, by the shingles it
+    gained and lost: so a star's answers need the other set and the members' few changes, not
+    the members. ``changes``: a (member), b (centre), gained, lost. A large star is dealt in
+    shares of ``SHARE`` members.
+    """
+    turned = open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    crowd = starred.where("node <> star").groupBy("star").agg(
+        F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    asked = stored(open_pairs.select("a", "b").unionByName(turned)
+                   .join(crowd, F.col("a") == F.col("star")).select("star", "b", "shares"),
+                   "join-asked")
+    wide = asked.select("star", "shares").distinct()
+    whole = stored(set_rows(docs, asked.select(F.explode(F.array("star", "b")).alias("node"))
+                            .distinct(), rule, text, key), "join-sets")
+    share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    none = F.lit(None).cast("binary").alias("lost")
+    centres = whole.join(wide, F.col("node") == F.col("star")).select(
+        "star", share, F.lit(0).alias("kind"), "node", "gained", none)
+    members = (changes.withColumnsRenamed({"a": "node", "b": "star"}).join(wide, "star")
+               .join(starred.where("node <> star").select("node", "star"), ["node", "star"], "left_semi")
+               .select("star", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"),
+                       F.lit(1).alias("kind"), "node", "gained", "lost"))
+    others = whole.join(asked, F.col("node") == F.col("b")).select(
+        "star", share, F.lit(2).alias("kind"), "node", "gained", none)
+    dealt = (centres.unionByName(members).unionByName(others).repartition("star", "share")
+             .sortWithinPartitions("star", "share", "kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, last = None, None
+        for batch in batches:
+            found = []
+            for s, share, kind, node, gained, lost in zip(
+                    *(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, share) != last:
+                    star, last = StarAnswers(rule), (s, share)
+                values = np.frombuffer(gained, np.uint64)
+                if kind == 0:
+                    star.centres.append(values)
+                elif kind == 1:
+                    star.add(node, values, np.frombuffer(lost, np.uint64))
+                else:
+                    member = star.linked(values)
+                    if member is not None:
+                        found.append((member, node))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return stored(dealt.mapInArrow(run, "a long, b long"), "join-derived")
+
+
+class StarAnswers:
+    """One share of a star: the centre's set and the members' changes."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
+        self.centres: list[np.ndarray] = []  # several where rows share the centre's key
+        self.nodes: list[int] = []
+        self.changed: list[np.ndarray] = []
+        self.gains: list[int] = []
+        self.flat = None
+
+    def add(self, node: int, gained: np.ndarray, lost: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.changed += [gained, lost]
+        self.gains.append(len(gained) - len(lost))
+
+    def linked(self, other: np.ndarray) -> int | None:
+        """The member most similar to ``other``, if it links."""
+        if not self.nodes or not len(other):
+            return None
+        if self.flat is None:
+            lengths = [len(c) for c in self.changed]
+            self.flat = np.concatenate(self.changed)
+            self.owner = np.repeat(np.arange(len(lengths)) // 2, lengths)
+            self.sign = np.repeat(np.tile([1, -1], len(self.nodes)), lengths)
+        at = np.minimum(np.searchsorted(other, self.flat), len(other) - 1)
+        hit = other[at] == self.flat
+        change = np.bincount(self.owner[hit], self.sign[hit], len(self.nodes))
+        for centre in self.centres:
+            common = len(np.intersect1d(centre, other, assume_unique=True)) + change
+            union = len(centre) + np.array(self.gains) + len(other) - common
+            ratio = common / np.maximum(union, 1)
+            best = int(ratio.argmax())
+            if 100 * int(common[best]) >= self.rule.percent * int(union[best]):
+                return self.nodes[best]
+        return None
 
 
 def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame,
@@ -444,7 +550,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         F.first("sketch").alias("sketch")), "join-classes")
     classes = by_set.where("node IS NOT NULL")
 
-    tried = compare(star_pairs(classes), docs, rule, text, key)
+    # a key with several sets stays out of stars: changes are told from one set
+    one_set = classes.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1")
+    tried = compare(star_pairs(classes.join(one_set, "node", "left_semi")), docs, rule, text, key, changes=True)
     found = links(tried, rule)
     nodes = classes.select("node").distinct()
     starred = stored(stars(nodes, found), "join-stars")
@@ -459,8 +567,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     still = stored(open_star_pairs(compared, starred, label, rule), "join-open")
     if not still.isEmpty():
-        checked = compare(centre_checks(still, starred, rule), docs, rule, text, key)
-        edges = edges.unionByName(links(checked, rule).select("a", "b"))
+        changes = tried.select("a", "b", "gained", "lost")
+        edges = edges.unionByName(derived_links(still, starred, changes, docs, rule, text, key))
         label = components(edges)
         still = stored(open_star_pairs(compared, starred, label, rule), "join-open")
         if not still.isEmpty():
