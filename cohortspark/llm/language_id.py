@@ -151,6 +151,7 @@ def training_words(docs: DataFrame, text: str, key: str, lang: str, train_rows:
     rows = docs.where(is_training(F.col(key)) & F.col(lang).isNotNull())
     shares = rows.groupBy(F.col(lang).alias("label")).agg(
         F.least(F.lit(1.0), F.lit(float(train_rows)) / F.count(F.lit(1))).alias("share"))
+    shares = F.broadcast(shares)  # one row a language
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) / 1_000_000
     chosen = (rows.select(F.col(lang).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("t"),
                           place.alias("place"))
