@@ -54,12 +54,12 @@ def extra_only(classified: DataFrame) -> DataFrame:
         .withColumnRenamed("potential_age", "diagnosis_age")
 
 
-def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str, str],
+def code_totals(people: DataFrame, populations: Mapping[str, str],
                 without_total: Sequence[str] = ()) -> DataFrame:
     """People per code type and population: ``population, code_type, people``.
 
-    ``members`` has one row per person with a boolean column per population;
-    ``populations`` gives each column its label.  A person counts once per
+    ``people`` has one row per person with the event counts and a boolean column
+    per population; ``populations`` gives each column its label.  A person counts once per
     type; types nobody has are left out.  The grand total is the number of
     people with any type, 0 included, not the sum of the parts.  All numbers come from one global aggregate, whose single row
     is then unpivoted, so no person row is ever multiplied.
@@ -68,7 +68,7 @@ def code_totals(counts: DataFrame, members: DataFrame, populations: Mapping[str,
     each[GRAND_TOTAL] = " + ".join(each.values())
     cells = [(column, label, kind) for column, label in populations.items() for kind in each
              if kind != GRAND_TOTAL or column not in without_total]
-    totals = counts.join(members, "person_id").agg(*(
+    totals = people.agg(*(
         F.expr(f"sum(least({each[kind]}, 1)) FILTER (WHERE {column})").alias(f"_{i}")
         for i, (column, _, kind) in enumerate(cells)))
     rows = ", ".join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -48,12 +49,31 @@ def death_codes(dictionary_a: DataFrame, dictionary_b: DataFrame,
                           patterns)
 
 
-def gp_deaths(events: DataFrame, codes: DataFrame, cfg: StudyConfig) -> DataFrame:
+def literal_prefixes(patterns: Sequence[str]) -> list[str]:
+    """What the matches of each pattern start with; none if one pattern leaves it open."""
+    found = []
+    for p in patterns:
+        start = re.match(r"\^([0-9A-Za-z]+)(.?)", p)
+        fixed = start and (start[1][:-1] if start[2] in tuple("?*{") else start[1])
+        if not fixed or "|" in p:
+            return []
+        found.append(fixed)
+    return found
+
+
+def gp_deaths(events: DataFrame, codes: DataFrame, cfg: StudyConfig,
+              prefixes: Sequence[str] = ()) -> DataFrame:
     """GP events that record a death.
 
     The code list comes from data, so it is semi-joined and Spark picks the
-    join from its measured size.
+    join from its measured size.  ``prefixes``, if given, start every code of
+    the list and reach the scan.
     """
+    if prefixes:
+        start = F.lit(False)
+        for p in prefixes:
+            start = start | F.col("code").startswith(p)
+        events = events.where(start)
     usable = events.where(F.col("person_id").isNotNull()
                           & (F.col("event_date") >= F.col("birth_date"))
                           & (F.col("event_date") <= F.lit(cfg.date_max)))
@@ -110,6 +130,7 @@ def all_deaths(tables: Mapping[str, DataFrame], cfg: StudyConfig,
     return death_cascade([
         DeathSource(REGISTER, tables["death_register"]),
         DeathSource(DEMOGRAPHICS, tables["demographics"].where("death_date IS NOT NULL")),
-        DeathSource(GP_RECORD, gp_deaths(tables["gp_event"], codes, cfg), first_only=True),
+        DeathSource(GP_RECORD, gp_deaths(
+            tables["gp_event"], codes, cfg, literal_prefixes(patterns)), first_only=True),
         DeathSource(HOSPITAL, hospital_deaths(tables["inpatient_spell"], cfg), first_only=True),
     ], cfg.dedupe_deaths)

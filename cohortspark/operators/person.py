@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +55,16 @@ def person_base(persons: DataFrame, contact: DataFrame, deaths: DataFrame,
     )
 
 
-def person_frame(base: DataFrame, features: DataFrame) -> DataFrame:
-    """Known persons with onsets, nth events and core event counts.
+def person_frame(base: DataFrame, features: DataFrame, counts: Sequence[str] = ()) -> DataFrame:
+    """Known persons with onsets, nth events, core event counts and any further ``counts``.
 
     Both inputs are keyed by the person, so the join needs no shuffle of its own.
     """
     core_counts = [f"{CORE}_{s.lower()}_count" for s in SOURCES]
     # counts only describe people who have a core event
     wanted = features.select("person_id", *FEATURE_COLUMNS, *(
-        F.when(F.col("core_date").isNotNull(), F.col(c)).alias(c) for c in core_counts))
+        F.when(F.col("core_date").isNotNull(), F.col(c)).alias(c) for c in core_counts),
+        *(c for c in counts if c not in core_counts))
     return base.join(wanted, "person_id", "left")
 
 

@@ -30,7 +30,8 @@ from cohortspark.operators import (
 )
 from cohortspark.sources.stages import StageStore, input_identity
 
-STAGES = ("persons", "deaths", "tagged", "features", "base", "counts", "people", "alive")
+STAGES = ("persons", "deaths", "tagged", "features", "base", "counts", "people", "alive",
+          "answers", "flags")
 ALL, ALIVE = "all", "alive"
 REGISTER_GROUP, WHOLE_REGISTER = "Algorithm", "All Register Population"
 STAGE_AGE_GROUPS = ("Register (All)", "Clinic List (All)", "Register (Matched)",
@@ -163,16 +164,22 @@ class CohortStudy:
         return cohort.extra_only(self.population(which))
 
     def memberships(self) -> DataFrame:
-        """Per person: in the population, alive and resident, with extra codes only."""
+        """Per person: event counts, and in the population, alive and resident, with extra codes only.
+
+        Counts and onsets come from one pass over the features.
+        """
+        counted = person.person_frame(self.base(), self.features(), person.COUNT_COLUMNS)
+        people = person.clean_population(counted, self.cfg)
         resident = self.residents().withColumn("_resident", F.lit(True))
         alive = (F.col("dead") == 0) & F.col("_resident")
         extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
-        return self.people().join(resident, "person_id", "left").groupBy("person_id").agg(
+        return people.join(resident, "person_id", "left").groupBy("person_id").agg(
+            *(F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in person.COUNT_COLUMNS),
             F.lit(True).alias("everyone"), F.bool_or(alive).alias("alive"),
             F.bool_or(extra).alias("extra"), F.bool_or(alive & extra).alias("extra_alive"))
 
     def code_totals(self) -> DataFrame:
-        return cohort.code_totals(self.counts(), self.memberships(), {
+        return cohort.code_totals(self.memberships(), {
             "everyone": "Everyone", "alive": "Alive", "extra": "Extra Codes Only",
             "extra_alive": "Extra Codes Only (Alive)",
         }, without_total=("extra", "extra_alive"))

@@ -315,6 +315,12 @@ def test_person_counts_fill(spark, people):
     assert tuples(strict, "person_id", "gender") == [(1, None), (2, "Female")]
 
 
+def test_literal_prefixes():
+    assert deaths.literal_prefixes([r"^5O[A].{2}$", r"^22J?.$", r"^94"]) == ["5O", "22", "94"]
+    assert deaths.literal_prefixes([r"^94", r"22J"]) == []
+    assert deaths.literal_prefixes([r"^94|95"]) == []
+
+
 def test_chi_squared_statistic(spark):
     cells = {("x", "a"): 10, ("x", "b"): 20, ("y", "a"): 20, ("y", "b"): 10}
     rows = [(g, c) for (g, c), n in cells.items() for _ in range(n)] + [("x", None)]
@@ -328,7 +334,7 @@ def test_empty_population_keeps_its_total(spark):
         f"{c}_{s}_count long" for c in COUNTED_CONCEPTS for s in ("gp", "hospital")))
     members = spark.createDataFrame([(1, True)], "person_id long, everyone boolean")
     for some in (members, members.where("false")):
-        rows = cohort.code_totals(counts, some, {"everyone": "Everyone"}).collect()
+        rows = cohort.code_totals(counts.join(some, "person_id"), {"everyone": "Everyone"}).collect()
         assert [tuple(r) for r in rows] == [("Everyone", cohort.GRAND_TOTAL, 0)]
 
 
