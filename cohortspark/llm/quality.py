@@ -40,7 +40,7 @@ STEPS = 3
 PRIOR_ROWS = 50.0
 # chi-squared with 5 degrees of freedom: 6.63 is the 0.75 quantile; P(chi2_7 <= 6.63) = 0.531
 CONSISTENCY = SHARE / 0.531
-CUTOFF = 25.74  # 0.9999 quantile of chi-squared with 5 degrees of freedom
+CUTOFF = 30.86  # 0.99999 quantile of chi-squared with 5 degrees of freedom
 SMOOTHING = 20.0
 TYPICAL_WORD = 5.5
 RATE_OFFSET = 0.03
