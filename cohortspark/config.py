@@ -30,8 +30,9 @@ class StudyConfig:
     undetermined_gender: int = 3
     # area rules
     region_prefix: str = "W"
-    area_name: str = "Cardiff and Vale University Health Board"
-    site_units: tuple[str, ...] = ("7A4", "RWM")
+    # the clinic's area and sites; nobody is in an area, nor a unit a site, until they are named
+    area_name: str = ""
+    site_units: tuple[str, ...] = ()
     recent_site_year: int = 2015
     # death rows are kept as recorded unless this is set
     dedupe_deaths: bool = False

@@ -46,15 +46,15 @@ def study_rows():
              gp(4, "2005-01-01", "F4H3."), gp(5, "2003-01-01", "F20.."),
              gp(5, "2011-01-01", "F20.."), gp(6, "2003-01-01", "F20.."),
              gp(7, "2003-01-01", "F20.."), gp(1, "2002-01-01", "1292.")]
-    spells = [("7A4", 10, 2, d("2000-04-01"), d("2000-04-03"), 1),
+    spells = [("A1", 10, 2, d("2000-04-01"), d("2000-04-03"), 1),
               ("RYC", 11, 1, d("2010-04-01"), d("2010-04-03"), 1)]
-    episodes = [("7A4", 10, 1), ("7A4", 10, 1), ("RYC", 11, 1)]
-    diagnoses = [("7A4", 10, 1, "G35", "G35X"), ("7A4", 10, 2, "G35", "G35X"),
+    episodes = [("A1", 10, 1), ("A1", 10, 1), ("RYC", 11, 1)]
+    diagnoses = [("A1", 10, 1, "G35", "G35X"), ("A1", 10, 2, "G35", "G35X"),
                  ("RYC", 11, 1, "G36", "G360"), ("RYC", 11, 9, "G35", "G35X")]
-    visits = [("7A4", d("2006-01-02"), 1, 1, d("2006-01-01"), 4),
-              ("7A4", d("2006-01-02"), 2, 1, d("2006-02-01"), 4)]
-    visit_codes = [("7A4", d("2006-01-02"), 1, 1, d("2006-01-01"), "H46", None),
-                   ("7A4", d("2006-01-02"), 2, 1, d("2006-02-01"), "H46", "X")]
+    visits = [("A1", d("2006-01-02"), 1, 1, d("2006-01-01"), 4),
+              ("A1", d("2006-01-02"), 2, 1, d("2006-02-01"), 4)]
+    visit_codes = [("A1", d("2006-01-02"), 1, 1, d("2006-01-01"), "H46", None),
+                   ("A1", d("2006-01-02"), 2, 1, d("2006-02-01"), "H46", "X")]
     return dict(
         person_source=persons, gp_event=contacts + coded, inpatient_spell=spells,
         inpatient_episode=episodes, inpatient_diagnosis=diagnoses, outpatient=visits,
@@ -63,5 +63,5 @@ def study_rows():
         residence=[(p, d("1990-01-01"), d("9999-01-01"), 1) for p in range(1, 10)],
         residence_area=[(p, d("1990-01-01"), d("9999-01-01"), "W01", 1) for p in range(1, 10)],
         area_lookup=[("W01", "D1", 1), ("W01", "D0", 0)],
-        board_lookup=[("D1", "Cardiff and Vale University Health Board")],
+        board_lookup=[("D1", "North")],
     )

@@ -22,7 +22,7 @@ from cohortspark.operators import (
 )
 from tests.clinical import d, frames, gp, study_rows
 
-CFG = StudyConfig()
+CFG = StudyConfig(area_name="North", site_units=("A1", "A2"))
 
 
 @pytest.fixture(scope="module")
@@ -264,7 +264,7 @@ def test_site_check_flag_wins_per_person(spark):
     ids = spark.createDataFrame([(1, "B"), (1, "A"), (2, "A"), (3, "A")],
                                 "person_id long, `group` string")
     spells = frames(spark, inpatient_spell=[
-        ("RYC", 1, 1, None, None, 1), ("7A4", 2, 1, None, None, 1), ("RYC", 3, 2, None, None, 1),
+        ("RYC", 1, 1, None, None, 1), ("A1", 2, 1, None, None, 1), ("RYC", 3, 2, None, None, 1),
         (None, 4, 2, None, None, 1)])["inpatient_spell"]
     got = clinic.site_check(ids, spells, CFG)
     assert tuples(got, "person_id", "group", "in_site") == [(1, "A", 1), (2, "A", 0)]
