@@ -28,6 +28,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Later jobs start from the files, so a lost executor costs only its own tasks. Like a
     checkpoint, the table stays until the folder is cleared.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark deletes the shuffle files of finished jobs when the driver collects its garbage;
+    # a long chain of stored tables would else hold the files of all of them on the executors' disks
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

@@ -179,8 +179,8 @@ def compare(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, key: str,
     """
     pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_key")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("t")).where(
-        "t IS NOT NULL").join(needed, "doc_key", "left_semi")
+    texts = stored(docs.select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("t")).where(
+        "t IS NOT NULL").join(needed, "doc_key", "left_semi"), "join-texts")
     left = pairs.join(texts.select(F.col("doc_key").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_key").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -405,8 +405,12 @@ def components(edges: DataFrame, name: str = "join-components") -> DataFrame:
 
 
 def open_star_pairs(compared: DataFrame, starred: DataFrame, label: DataFrame,
-                    rule: Rule) -> DataFrame:
-    """Star pairs in different components whose members may yet link."""
+                    rule: Rule, centres_done: bool = False) -> DataFrame:
+    """Star pairs in different components whose members may yet link.
+
+    ``centres_done``: members were compared with the other star's centre already, which
+    settles pairs with a star of one.
+    """
     reach = starred.groupBy("star").agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("size"))
     of = label.select(F.col("node").alias("star"), "component")
     known = reach.join(of, "star", "left").withColumn("component", F.coalesce("component", "star"))
@@ -415,7 +419,8 @@ def open_star_pairs(compared: DataFrame, starred: DataFrame, label: DataFrame,
     d = 1 - F.col("common") / (F.col("total") - F.col("common"))
     most = 1 - rule.percent / 100
     return (compared.join(side("a"), "a").join(side("b"), "b").withColumn("d", d)
-            .where("c_a <> c_b AND size_a + size_b > 2")
+            .where("c_a <> c_b AND size_a > 1 AND size_b > 1" if centres_done
+                   else "c_a <> c_b AND size_a + size_b > 2")
             .where(F.col("d") <= F.col("reach_a") + F.col("reach_b") + most + 1e-9)
             .select("a", "b", "d", "reach_a", "reach_b"))
 
@@ -570,7 +575,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         changes = tried.select("a", "b", "gained", "lost")
         edges = edges.unionByName(derived_links(still, starred, changes, docs, rule, text, key))
         label = components(edges)
-        still = stored(open_star_pairs(compared, starred, label, rule), "join-open")
+        still = stored(open_star_pairs(compared, starred, label, rule, True), "join-open")
         if not still.isEmpty():
             checked = compare(member_checks(still, posted, classes, rule), docs, rule, text, key)
             label = components(edges.unionByName(links(checked, rule).select("a", "b")))
