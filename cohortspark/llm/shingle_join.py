@@ -12,10 +12,15 @@ never forms all pairs of a group:
   of a link, members a and b of stars A and B can only link if
   d(A, B) <= d(A, a) + t + d(b, B).
 * Inverted lists: prefix filtering over a global order of shingles (frequent ones last) gives
-  lists of stars. A list is ordered by size; within it a star looks only at the block of
-  sizes that can still reach the threshold, and skips entries whose positions leave too few
-  shingles behind them. Of two linking sets, all but a few of the prefix shingles that come
-  first in the order are common, so pairs that meet on too few lists are dropped.
+  lists of stars. From the first common shingle of a link on, both sets hold t / (1 + t) of
+  both sizes; so a size and a position reach up to one largest size of a partner. A list is
+  kept in blocks of equal size and reach, and only blocks that reach each other are paired:
+  skipped entries cost nothing. Entries that do not reach their own size (beyond the index
+  prefix) meet smaller sets only. Lists of frequent shingles are planned from their counts per
+  size and reach, cut into parts of ``PART`` entries, and joined part by part in many tasks;
+  parts that reach no other part are left out before the join.
+* Of two linking sets, all but a few of the prefix shingles that come first in the order are
+  common. The other lists verify this: pairs that meet on too few lists are dropped.
 * Star pairs that share a list are compared by their centres. Where the bound leaves members
   open, members are compared with the other centre first, and only pairs of stars that are
   then still in different components compare members with each other, through lists again.
@@ -53,6 +58,8 @@ SUMMARY = 1 << 15
 SKETCH = 64
 KEYS = 4
 SHARE = 10_000
+PART = 4096
+SALTS = 32
 LIKELY = 0.7  # share of equal sketch cells from which a comparison is tried
 ORDER_BITS = np.uint64(1) << np.uint64(63)
 
@@ -68,6 +75,10 @@ class Rule:
         """How many shingles, in the global order, meet any linking set's."""
         return sizes - -(-sizes * self.percent // 100) + 1
 
+    def reach(self, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The largest linking set whose first common shingle has ``rest`` of ``n`` from it on."""
+        return rest * (100 + self.percent) // self.percent - n
+
 
 def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a slice, and each text's first place in them."""
@@ -161,12 +172,12 @@ def describe(docs: DataFrame, rule: Rule, text: str, key: str) -> DataFrame:
                                   "sketch binary, item long, times long")
 
 
-def frequent_shingles(described: DataFrame) -> np.ndarray:
-    """The most frequent shingles, rarest first; at most ``FREQUENT``."""
+def frequent_shingles(described: DataFrame, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, rarest first; at most ``FREQUENT``. And those of long lists."""
     found = (described.where("item IS NOT NULL").groupBy("item").agg(F.sum("times").alias("n"))
-             .where("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT)
-             .select("item").toArrow()["item"].to_numpy())
-    return found[::-1].view(np.uint64).copy()
+             .where("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT).toArrow())
+    item = found["item"].to_numpy()
+    return item[::-1].view(np.uint64).copy(), item[found["n"].to_numpy() > part]
 
 
 # comparing sets
@@ -256,9 +267,9 @@ def stars(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, rule: Rule, text: str,
              key: str, slack: bool = False) -> DataFrame:
-    """Prefix shingles of the documents in ``nodes`` (node, star): token, star, node, n, rest.
+    """Prefix shingles of the documents in ``nodes`` (node, star): token, star, node, n, reach.
 
-    ``rest`` is the number of shingles from this one on, itself included.
+    ``reach`` is the size of the largest set that links if this is the first common shingle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     held = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where(
@@ -269,11 +280,11 @@ def postings(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, rule: Rule
         known = sent.value[order]
         for batch in batches:
             for row, sets in text_sets(batch.column(1), rule.width):
-                tokens, rests = [], []
+                tokens, reaches = [], []
                 for s in sets:
                     take = int(rule.prefix(np.array(len(s)))) if len(s) else 0
                     tokens.append(first_in_order(s, take, known, order))
-                    rests.append(len(s) - np.arange(len(tokens[-1])))
+                    reaches.append(rule.reach(len(s), len(s) - np.arange(len(tokens[-1]))))
                 counts = [len(t) for t in tokens]
                 part = batch.slice(row, len(sets))
                 where = pa.array(np.repeat(np.arange(len(sets)), counts))
@@ -281,11 +292,11 @@ def postings(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, rule: Rule
                     [pa.array(np.concatenate(tokens).view(np.int64)), part.column(2).take(where),
                      part.column(0).take(where),
                      pa.array(np.repeat([len(s) for s in sets], counts), pa.int64()),
-                     pa.array(np.concatenate(rests), pa.int64())],
-                    names=["token", "star", "node", "n", "rest"])
+                     pa.array(np.concatenate(reaches), pa.int64())],
+                    names=["token", "star", "node", "n", "reach"])
 
     return held.select("node", "t", "star").mapInArrow(
-        run, "token long, star long, node long, n long, rest long")
+        run, "token long, star long, node long, n long, reach long")
 
 
 def first_in_order(s: np.ndarray, take: int, known: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -301,85 +312,220 @@ def first_in_order(s: np.ndarray, take: int, known: np.ndarray, order: np.ndarra
     return np.concatenate([rare, s[often][np.argsort(rank)][:take - len(rare)]])
 
 
-def list_pairs(lists: DataFrame, rule: Rule, columns: tuple[str, ...]) -> DataFrame:
-    """Pairs of owners that sizes and positions allow, with the number of lists they share.
+def reaching(group: np.ndarray, least: np.ndarray, reach: np.ndarray, most: int = 1 << 20
+             ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of entries of one group that reach each other, each pair once, in slices.
 
-    ``lists``: token, the owner columns, least and most (sizes), rest. Lists are read in order
-    of size; a block of later entries is left as soon as sizes are too far apart.
+    Entries come ordered by group, least and falling reach. Work is one step for each block of
+    equal least and reach and each size in its reach, and one for each pair given.
+    """
+    if not len(group):
+        return
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (least[1:] != least[:-1])
+    rung = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    deep = np.int64(1) << 32
+    place = rung * deep + (deep - 1 - np.clip(reach, 0, deep - 1))
+    # the last rung in reach of each entry, by group and size
+    groups = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+    sizes = groups[starts] * deep + least[starts]
+    last = np.searchsorted(sizes, groups * deep + np.clip(reach, 0, deep - 1), side="right") - 1
+    block = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    length = np.diff(np.append(block, len(group)))
+    active = last[block] >= rung[block]
+    block, length = block[active], length[active]
+    if not len(block):
+        return
+    # each block with each rung in reach, and what of the rung reaches back
+    spans = last[block] - rung[block] + 1
+    of = np.repeat(np.arange(len(block)), spans)
+    to = rung[block][of] + np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans)
+    until = np.searchsorted(place, to * deep + (deep - 1 - least[block][of]), side="right")
+    own = to == rung[block][of]
+    some = until > starts[to]
+    of, to, until, own = of[some], to[some], until[some], own[some]
+    # each entry of the block; within its own rung it meets those after it
+    times = length[of]
+    i = np.repeat(block[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    begin = np.where(np.repeat(own, times), i + 1, np.repeat(starts[to], times))
+    count = np.maximum(0, np.repeat(until, times) - begin)
+    total = np.cumsum(count)
+    at = 0
+    while at < len(i):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
+        n = count[at:end]
+        left = np.repeat(i[at:end], n)
+        right = np.repeat(begin[at:end], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        if len(left):
+            yield left, right
+        at = end
+
+
+def meetings(lists: DataFrame, by: list[str], rule: Rule) -> DataFrame:
+    """Pairs (a, b) of entries of one list that reach each other.
+
+    ``lists``: the columns ``by`` (the list), owner, own_star, side, least, reach. Entries of the
+    same side meet only where it is null.
     """
-    ratio, percent = rule.percent / 100, rule.percent
-    ordered = lists.repartition("token").sortWithinPartitions("token", "least")
+    ordered = lists.withColumn("back", -F.col("reach")).repartition(*by).sortWithinPartitions(
+        *by, "least", "back")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            token = now[0]
-            open_from = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            if not len(now[0]):
+                continue
+            changed = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now[:len(by)]], axis=0))
+            open_from = int(changed[-1]) + 1 if len(changed) else 0
             held = [x[open_from:] for x in now]
-            yield pairs([x[:open_from] for x in now])
+            yield from pairs([x[:open_from] for x in now])
         if held is not None:
-            yield pairs(held)
-
-    def pairs(c: list[np.ndarray]) -> pa.RecordBatch:
-        token, owner, star, least, most, rest = c
-        found = []
-        at = np.arange(len(token))
-        step = 1
-        while True:
-            # entries whose list goes on and whose block of sizes does not end before
-            at = at[at + step < len(token)]
-            there = at + step
-            alive = (token[at] == token[there]) & (least[there] * percent <= most[at] * 100)
-            at, there = at[alive], there[alive]
-            if not len(at):
-                break
-            other = star[at] != star[there]
-            i, j = at[other], there[other]
-            # from its first common shingle on, a link has this much in common
-            need = ratio / (1 + ratio) * (least[i] + least[j])
-            early = np.minimum(rest[i], rest[j]) + 1e-9 >= need
-            found.append(np.stack([np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]),
-                                   early]))
-            step += 1
-        a, b, early = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        order = np.lexsort((b, a))
-        a, b, early = a[order], b[order], early[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(first)
-        times = np.diff(np.append(at, len(a)))
-        early = np.add.reduceat(early, at) if len(at) else early
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
-            a[at], b[at], times, early)], names=["a", "b", "lists", "early"])
+            yield from pairs(held)
 
-    owner, star = columns
-    return ordered.select("token", owner, F.col(star).alias("own_star"), "least", "most",
-                          "rest").mapInArrow(
-        run, "a long, b long, lists long, early long").groupBy("a", "b").agg(
-        F.sum("lists").alias("lists"), F.sum("early").alias("early")).where("early > 0").drop("early")
+    def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owner, star, side, least, reach = c[len(by):]
+        changed = np.any([x[1:] != x[:-1] for x in c[:len(by)]], axis=0)
+        group = np.cumsum(np.append(True, changed)) if len(owner) else owner
+        for i, j in reaching(group, least, reach):
+            meet = (star[i] != star[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            i, j = owner[i[meet]], owner[j[meet]]
+            found = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
+    return ordered.select(*by, "owner", "own_star", "side", "least", "reach").mapInArrow(
+        run, "a long, b long")
 
-def enough_lists(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that share as many lists as any link needs; ``sizes``: owner, least, most.
 
-    A link has t / (1 + t) of both sizes in common, so the set whose prefix ends first in the
-    order has all but its size less that many of its prefix shingles in the other's prefix.
+def list_parts(cells: DataFrame, part: int) -> DataFrame:
+    """A plan of long lists from their ``cells``: token, least, reach and n entries.
+
+    Rows with chunks: the first part of a cell and over how many it is dealt. Rows with other:
+    two parts (part, other) that hold cells in reach of each other.
+    """
+    ordered = cells.withColumn("beyond", F.col("reach") < F.col("least")).repartition(
+        "token").sortWithinPartitions("token", "beyond", "least", "reach")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != last:
+                    yield plan(held)
+                    held = []
+                held.append(row)
+                last = row[0]
+        if held:
+            yield plan(held)
+
+    def plan(rows: list[tuple]) -> pa.RecordBatch:
+        first, chunks = [], []
+        at, filled, was = -1, part, None
+        for _, _, _, n, beyond in rows:
+            if filled + n > part or beyond != was:  # the next part
+                at, filled, was = at + 1, 0, beyond
+            first.append(at)
+            chunks.append(max(1, -(-n // part)))
+            at, filled = at + chunks[-1] - 1, filled + n
+        least, reach = (np.array([r[k] for r in rows]) for k in (1, 2))
+        first, chunks = np.array(first), np.array(chunks)
+        met: set[tuple[int, int]] = set()
+        for c in range(len(rows)):
+            others = np.flatnonzero((least <= reach[c]) & (least[c] <= reach) & (first >= first[c]))
+            for f, k in sorted({(int(first[o]), int(chunks[o])) for o in others}):
+                met |= {(min(x, y), max(x, y)) for x in range(first[c], first[c] + chunks[c])
+                        for y in range(f, f + k)}
+        pairs = np.array(sorted(met), np.int64).reshape(-1, 2)
+        none = lambda n: pa.nulls(n, pa.int64())
+        token = pa.array(np.full(len(rows) + len(pairs), rows[0][0]), pa.int64())
+        both = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())])
+        return pa.RecordBatch.from_arrays(
+            [token, both(least, none(len(pairs))), both(reach, none(len(pairs))),
+             both(first, pairs[:, 0]), both(chunks, none(len(pairs))),
+             both(none(len(rows)), pairs[:, 1])],
+            names=["token", "least", "reach", "part", "chunks", "other"])
+
+    return ordered.select("token", "least", "reach", "n", "beyond").mapInArrow(
+        run, "token long, least long, reach long, part long, chunks long, other long")
+
+
+def long_list_tasks(lists: DataFrame, part: int = PART) -> DataFrame:
+    """Entries of long lists once for each pair of parts they are needed in: token, one, two,
+    owner, own_star, side, least, reach. No list has to be in one task."""
+    lists = stored(lists, "join-long")
+    plan = stored(list_parts(lists.groupBy("token", "least", "reach").agg(
+        F.count(F.lit(1)).alias("n")), part), "join-parts")
+    cells = plan.where("chunks IS NOT NULL").select(
+        "token", "least", "reach", F.col("part").alias("first"), "chunks",
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mark = F.xxhash64("owner")
+    placed = (lists.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int"))
+              .join(cells, ["token", "least", "reach", "salt"])
+              .withColumn("part", F.col("first") + F.pmod(F.shiftright(mark, 8), "chunks"))
+              .drop("salt", "first", "chunks"))
+    pairs = plan.where("other IS NOT NULL").select("token", F.col("part").alias("one"),
+                                                   F.col("other").alias("two"))
+    needed = pairs.withColumn("part", F.col("one")).unionByName(
+        pairs.where("one <> two").withColumn("part", F.col("two")))
+    return placed.join(needed, ["token", "part"]).withColumn(
+        "side", F.when(F.col("one") == F.col("two"), F.lit(-1).cast("long")).otherwise(F.col("part")))
+
+
+def list_pairs(lists: DataFrame, long: np.ndarray, rule: Rule, columns: tuple[str, ...],
+               part: int = PART) -> DataFrame:
+    """Pairs of owners that may link for their sizes and positions on some list.
+
+    ``lists``: token, the owner columns, least (size) and reach; ``long``: tokens whose lists
+    are dealt over several tasks.
+    """
+    owner, star = columns
+    entries = lists.select("token", F.col(owner).alias("owner"), F.col(star).alias("own_star"),
+                           "least", "reach")
+    whole, session = entries, lists.sparkSession
+    if len(long):
+        tokens = F.broadcast(session.createDataFrame(pa.table({"token": pa.array(long, pa.int64())})))
+        whole = entries.join(tokens, "token", "left_anti")
+    found = meetings(whole.withColumn("side", F.lit(-1).cast("long")), ["token"], rule)
+    if len(long):
+        dealt = long_list_tasks(entries.join(tokens, "token", "left_semi"), part)
+        found = found.unionByName(meetings(dealt, ["token", "one", "two"], rule))
+    return found.distinct()
+
+
+def enough_lists(pairs: DataFrame, lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that share as many lists as any link needs.
+
+    ``lists``: token, owner; ``sizes``: owner, least, most. A link has t / (1 + t) of both sizes
+    in common, so the set whose prefix ends first in the order has all but its size less that
+    many of its prefix shingles in the other's prefix. The shingles of the owner on fewer lists
+    are looked up among the other's.
     """
     t = rule.percent / 100
-    side = lambda x: sizes.select(F.col("owner").alias(x), F.col("least").alias(f"least_{x}"),
-                                  F.col("most").alias(f"most_{x}"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("owner")).distinct()
+    lists = stored(lists.join(needed, "owner", "left_semi").distinct(), "join-shared")
+    counted = sizes.join(lists.groupBy("owner").agg(F.count(F.lit(1)).alias("lists")), "owner")
+    side = lambda x: counted.select(F.col("owner").alias(x), *(
+        F.col(c).alias(f"{c}_{x}") for c in ("least", "most", "lists")))
     need = lambda x, y: (t / (1 + t) * (F.col(f"most_{x}") + F.col(f"least_{y}"))
                          - t * F.col(f"most_{x}") - 1e-6)
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(F.col("lists") >= F.least(need("a", "b"), need("b", "a"))).select("a", "b"))
+    fewer = F.col("lists_a") <= F.col("lists_b")
+    asked = pairs.join(side("a"), "a").join(side("b"), "b").select(
+        F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("few"),
+        F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("many"),
+        F.least(need("a", "b"), need("b", "a")).alias("need"))
+    met = (asked.join(lists.withColumnRenamed("owner", "few"), "few")
+           .join(lists.withColumnRenamed("owner", "many"), ["token", "many"])
+           .groupBy("few", "many").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need")))
+    return met.where("met >= need").select(F.col("few").alias("a"), F.col("many").alias("b"))
 
 
 def star_lists(posted: DataFrame) -> DataFrame:
     """One entry a star and shingle, with the bounds of its members."""
-    return posted.groupBy("token", "star").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    return posted.groupBy("token", "star").agg(F.min("n").alias("least"),
+                                               F.max("reach").alias("reach"))
 
 
 # components
@@ -532,15 +678,16 @@ class StarAnswers:
         return None
 
 
-def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame,
+def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame, long: np.ndarray,
                   rule: Rule) -> DataFrame:
     """Members of open star pairs that share a list with members of the other star."""
     stars_open = open_pairs.select(F.explode(F.array("a", "b")).alias("star")).distinct()
     lists = posted.join(stars_open, "star", "left_semi").select(
-        "token", "node", "star", F.col("n").alias("least"), F.col("n").alias("most"), "rest")
+        "token", "node", "star", F.col("n").alias("least"), "reach")
     by_node = sizes.groupBy(F.col("node").alias("owner")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"))
-    return enough_lists(list_pairs(lists, rule, ("node", "star")), by_node, rule)
+    met = stored(list_pairs(lists, long, rule, ("node", "star")), "join-met")
+    return enough_lists(met, lists.select("token", F.col("node").alias("owner")), by_node, rule)
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
@@ -548,7 +695,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """One row per row of ``docs``: key, n_shingles, component_id. Keys must be integers."""
     rule = Rule(width, percent)
     described = stored(describe(docs, rule, text, key), "join-described")
-    frequent = frequent_shingles(described)
+    frequent, long = frequent_shingles(described)
     rows = described.where("item IS NULL").select("doc_key", "n", "digest", "keys", "sketch")
     by_set = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_key").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"),
@@ -565,7 +712,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     posted = stored(postings(docs, starred, frequent, rule, text, key), "join-postings")
     by_star = starred.join(classes.select("node", "n"), "node").groupBy(
         F.col("star").alias("owner")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = enough_lists(list_pairs(star_lists(posted), rule, ("star", "star")), by_star, rule)
+    met = stored(list_pairs(star_lists(posted), long, rule, ("star", "star")), "join-met")
+    met = enough_lists(met, posted.select("token", F.col("star").alias("owner")), by_star, rule)
     compared = compare(met, docs, rule, text, key)
     edges = found.select("a", "b").unionByName(links(compared, rule).select("a", "b"))
     label = components(edges)
@@ -577,7 +725,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         label = components(edges)
         still = stored(open_star_pairs(compared, starred, label, rule, True), "join-open")
         if not still.isEmpty():
-            checked = compare(member_checks(still, posted, classes, rule), docs, rule, text, key)
+            checked = compare(member_checks(still, posted, classes, long, rule), docs, rule, text, key)
             label = components(edges.unionByName(links(checked, rule).select("a", "b")))
 
     of_set = by_set.join(label, "node", "left").select(

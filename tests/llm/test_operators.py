@@ -187,6 +187,47 @@ def test_open_stars_are_compared(spark):
     assert got == want and got[4] == 0
 
 
+def test_positions_skip_list_pairs(spark):
+    """Texts of one hot source that share boilerplate only meet on no list."""
+    common = " ".join(f"c{i}" for i in range(100))
+    rows = [(i, common + " " + " ".join(f"own{i}x{j}" for j in range(10))) for i in range(80)]
+    docs, rule = documents(spark, rows), shingle_join.Rule()
+    frequent, long = shingle_join.frequent_shingles(shingle_join.describe(docs, rule, "text", "doc_id"), 50)
+    nodes = docs.selectExpr("doc_id AS node", "doc_id AS star")
+    posted = shingle_join.postings(docs, nodes, frequent, rule, "text", "doc_id")
+    lists = shingle_join.star_lists(posted)
+    assert lists.groupBy("token").count().where("count = 80").count() >= 5 and len(long) == 97
+    met = spark.createDataFrame([], "a long, b long")
+    for tokens in (long, long[:0]):
+        met = met.unionByName(shingle_join.list_pairs(lists, tokens, rule, ("star", "star")))
+        given = lists.withColumnsRenamed({"star": "owner"}).selectExpr(
+            "token", "owner", "owner AS own_star", "-1L AS side", "least", "reach")
+        assert shingle_join.meetings(given, ["token"], rule).count() == 0
+    given = given.where(given.token.isin([int(x) for x in long]))
+    assert given.count() > 400 and shingle_join.long_list_tasks(given, 8).count() == 0
+    assert met.count() == 0
+
+
+@pytest.mark.parametrize("part", [3, 20, 4096])
+def test_long_lists_in_parts(spark, part):
+    rng = random.Random(part)
+    entries = []
+    for star in range(150):
+        for token in rng.sample(range(4), 2):
+            n = rng.choice([40, 41, 45, 60])
+            entries.append((token, star, n, n * 100 // 85 - rng.choice([0, 0, 4, 10, 20])))
+    want = {(a[1], b[1]) for a in entries for b in entries
+            if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    lists = spark.createDataFrame(entries, "token long, star long, least long, reach long")
+    for long in (np.arange(0), np.arange(1, 4)):
+        got = shingle_join.list_pairs(lists, long, shingle_join.Rule(), ("star", "star"), part).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    tasks = shingle_join.long_list_tasks(lists.selectExpr(
+        "token", "star AS owner", "star AS own_star", "least", "reach"), part)
+    largest = tasks.groupBy("token", "one", "two").count().agg({"count": "max"}).first()[0]
+    assert part > 20 or largest <= 12 * part  # parts are dealt by hash
+
+
 def test_license_places(spark):
     phrases = [(p.split(), label) for p, label in licenses.PHRASES]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
