@@ -3,7 +3,9 @@
 Every text becomes a vector of transformed statistics. For each language and source the
 centre and scatter of the vectors are estimated by minimum covariance determinant: from a
 start at the coordinate-wise medians, concentration steps keep the ``SHARE`` of the group with
-the smallest Mahalanobis distances and estimate again from those. A text whose distance from
+the smallest Mahalanobis distances and estimate again from those. ``SHARE`` is the half-set,
+so junk of up to nearly half of a group's texts stays outside the estimate; ``CONSISTENCY``
+scales the scatter of the half to that of all of a normal group. A text whose distance from
 its group's estimate is beyond ``CUTOFF`` is rejected.
 
 A step is one pass: rows are aggregated to counts and moments per group and distance bin, on
@@ -13,8 +15,9 @@ bins, not rows, to a task. Estimates are shrunk towards those of the language wi
 special case.
 
 Null or empty text has no words and fails the base rules. Null language and source form groups
-of their own (together with the empty string). Repeated rows are judged one by one, and
-count as often as they occur in the estimates. An empty table gives an empty result.
+of their own (together with the empty string). Repeated rows are judged one by one, but each
+distinct text counts once per group in the estimates (copies are merged by SHA-256, on the map
+side first), so a group of copies has no weight. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent
 WINDOW = 5
 
-SHARE = 0.75
+SHARE = 0.5
 STEPS = 3
 PRIOR_ROWS = 50.0
-# chi-squared with 5 degrees of freedom: 6.63 is the 0.75 quantile; P(chi2_7 <= 6.63) = 0.531
-CONSISTENCY = SHARE / 0.531
+# chi-squared with 5 degrees of freedom: 4.351 is the 0.5 quantile; P(chi2_7 <= 4.351) = 0.261
+CONSISTENCY = SHARE / 0.261
 CUTOFF = 30.86  # 0.99999 quantile of chi-squared with 5 degrees of freedom
 SMOOTHING = 20.0
 TYPICAL_WORD = 5.5
@@ -138,6 +141,7 @@ def vectors(docs: DataFrame, text: str, lang: str, source: str, keep: list[Colum
     """``keep``, the group, the counts and the transformed vector of every row."""
     counted = docs.select(*keep, F.coalesce(F.col(lang), F.lit("")).alias("g_lang"),
                           F.coalesce(F.col(source), F.lit("")).alias("g_source"),
+                          F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("copy"),
                           text_statistics(F.col(text)).alias("s"))
     s = F.col("s")
     return counted.withColumns({"failed": base_failed(s), **{
@@ -233,8 +237,9 @@ def inverse_factor(shaped: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates per language and source from the rows that pass the base rules."""
-    fair = rows.where(~F.col("failed")).select(*GROUP, *(f"x_{d}" for d in DIMS))
+    """Estimates per language and source from the distinct texts that pass the base rules."""
+    fair = stored(rows.where(~F.col("failed")).groupBy(*GROUP, "copy").agg(
+        *(F.first(f"x_{d}").alias(f"x_{d}") for d in DIMS)).drop("copy"), "quality-texts")
     estimate = stored(first_estimate(fair), "quality-0")
     for step in range(1, STEPS + 1):
         estimate = stored(concentrate(fair, estimate), f"quality-{step}")

@@ -287,6 +287,19 @@ def test_quality_counts_and_outliers(spark):
     assert not any(got[500 + i].kept for i in range(8))
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_quality_third_of_a_group_is_junk(spark, copies):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("house", "river", "stone", "light", "walk") for b in "abcdefgh"]
+    good = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(60, 120)))) for i in range(200)]
+    junk = [" ".join(rng.choice(words) + rng.choice(["", "", "$", "#"]) for _ in range(90)) for _ in range(100)]
+    rows = good + [(1000 + i, junk[0 if copies else i]) for i in range(100)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s0' AS source")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[k].kept for k, _ in good) and not any(got[1000 + i].kept for i in range(100))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
