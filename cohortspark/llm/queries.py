@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.llm import (
     bpe,
+    divergence,
     exact_dedup,
     language_id,
     licenses,
@@ -129,3 +130,47 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_dedup.repeated(table(spark, folder, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+# every kept term of every source, one row each, in place of levels and cells
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+kc AS (SELECT c.* FROM c SEMI JOIN k USING (lang, term)),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS words
+      FROM g LEFT JOIN kc USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (words + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (total + 5)) // (whole + 5 * v) AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN kc USING (lang, source, term)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part
+                                 ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
