@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.llm import (
     bpe,
+    conversations,
     divergence,
     exact_dedup,
     language_id,
@@ -174,3 +175,128 @@ ranked AS (
   FROM found)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, folder, "conversations")).drop("signature")
+
+
+# the cheapest repair as a fold over each conversation's rows from its end, for the grammar's
+# states b (nothing yet), s, u, a (after such a row); whole audits are compared as strings
+_FOLD = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    [i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS entry),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':'
+                                     || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS id
+  FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, id), lambda c, x:
+                  xor(c >> 8, entry[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END
+           AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+ordered AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos
+  FROM damaged),
+placed AS (
+  SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         regexp_matches(text, '^[\x20\x09-\x0D]*$') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM ordered),
+r AS (
+  SELECT *, blank OR again AS gone, NOT (blank OR again) AND cut AS truncated,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS initial_before
+  FROM placed),
+ways AS (
+  SELECT conv_id,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (initial_before IS NOT NULL
+                          AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         list_reduce(list_prepend(END_NODE, list(ROW_NODE ORDER BY pos DESC)), lambda n, x: STEP) AS n
+  FROM r GROUP BY conv_id),
+audits AS (SELECT *, n.b.c AS cost, n.b.p AS audit FROM ways),
+edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit,
+         unnest(range(1, length(audit) + 1)) AS k
+  FROM audits WHERE audit <> ''),
+numbered AS (
+  SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS row_at,
+         sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS line
+  FROM edits),
+lines AS (
+  SELECT e.conv_id, e.line, e.edit, r.role, CASE WHEN e.edit = 'I' THEN '' ELSE r.text END AS text,
+         max((e.line = 1 AND e.edit = 'K' AND r.initial = 's')::INT)
+           OVER (PARTITION BY e.conv_id) AS led
+  FROM numbered e LEFT JOIN r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.row_at = r.pos
+  WHERE e.edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (line - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || text, chr(10) ORDER BY line) AS repaired
+  FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN audits a ON o.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
+def _repair_fold() -> str:
+    """The fold's start, elements and step: a node holds cost c and audit p of each state."""
+    after = {"b": "u", "s": "u", "u": "a", "a": "u"}
+    takes = {"b": "su", "s": "u", "u": "a", "a": "u"}
+
+    def node(ways: dict[str, str], symbol: str) -> str:
+        return "{" + ", ".join(f"{s}: {w}" for s, w in ways.items()) + f", {symbol}}}"
+
+    def way(cost: str, audit: str) -> str:
+        return f"{{c: {cost}, p: {audit}}}"
+
+    def inserted(ways: dict[str, str]) -> str:
+        """With up to two inserts in front, the cheapest and least of each state."""
+        found = {}
+        for s in after:
+            options = [ways[s]]
+            to, letters = s, ""
+            for _ in range(2):
+                to, letters = after[to], letters + "I"
+                options.append(way(f"({ways[to]}).c + {3 * len(letters)}",
+                                   f"'{letters}' || ({ways[to]}).p"))
+            found[s] = f"list_sort([{', '.join(options)}])[1]"
+        return found
+
+    blank = "initial: '', gone: false, extra: 0::BIGINT"
+    none = way("0::BIGINT", "''")
+    start = {"b": none, "s": way("6::BIGINT", "'II'"), "u": way("3::BIGINT", "'I'"), "a": none}
+    row = node(dict.fromkeys(after, none), "initial: initial, gone: gone,"
+               " extra: CASE WHEN truncated THEN 3::BIGINT ELSE 0::BIGINT END")
+    plain = {}
+    for s in after:
+        never = 1 << 60
+        options = [way(f"n.{s}.c + 4", f"'D' || n.{s}.p"),
+                   way(f"CASE WHEN x.gone THEN {never} ELSE n.{after[s]}.c + 3 + x.extra END",
+                       f"'R' || n.{after[s]}.p")]
+        options += [way(f"CASE WHEN x.gone OR x.initial <> '{i}' THEN {never}"
+                        f" ELSE n.{i}.c + x.extra END", f"'K' || n.{i}.p") for i in takes[s]]
+        plain[s] = f"list_sort([{', '.join(options)}])[1]"
+    step = node(inserted(plain), blank)
+    return (_FOLD.replace("END_NODE", node(start, blank)).replace("ROW_NODE", row)
+            .replace("STEP", step))
+
+
+ORACLES["op12_conversation_repair"] = _repair_fold()
