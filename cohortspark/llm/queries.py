@@ -18,6 +18,7 @@ from cohortspark.llm import (
     pii,
     quality,
     shingle_join,
+    topk,
     url_filter,
 )
 
@@ -300,3 +301,28 @@ def _repair_fold() -> str:
 
 
 ORACLES["op12_conversation_repair"] = _repair_fold()
+
+
+@query
+def op13_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS mark,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+found AS (
+  SELECT q.mark, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.x, c.x),
+                                          lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.mark <> c.mark),
+ranked AS (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (
+    PARTITION BY mark ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank
+  FROM found)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
