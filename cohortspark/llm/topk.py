@@ -86,8 +86,10 @@ class Vectors:
 def statistics(real: np.ndarray, segment: int) -> np.ndarray:
     """Mean and deviation of each segment, weighted so that a product of two rows is the bound."""
     rows, width = real.shape
-    cut = np.zeros((rows, -(-width // segment), segment))
-    cut.reshape(rows, -1)[:, :width] = real
+    many = -(-width // segment)
+    cut = np.zeros((rows, many * segment))
+    cut[:, :width] = real
+    cut = cut.reshape(rows, many, segment)
     return math.sqrt(segment) * np.concatenate([cut.mean(axis=2), cut.std(axis=2)], axis=1)
 
 
