@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cohortspark.codes import CORE, COUNTED_CONCEPTS, EXTRA, FAMILY_HISTORY, NMO
@@ -44,30 +43,45 @@ def last_event(events: DataFrame) -> DataFrame:
     return events.groupBy("person_id").agg(F.max("event_date").alias("last_date"))
 
 
-def _event_rank(keys: Sequence[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(
-        "event_date", "source", F.col("death_date").asc_nulls_last()))
+def _weight(events: DataFrame) -> Column:
+    """How many distinct death dates a row stands for; 1 where rows are repeated per date."""
+    return F.col("dates") if "dates" in events.columns else F.lit(1).cast("long")
+
+
+def _in_order(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("event_date", "source")
+
+
+def _reached(weight: Column, order: WindowSpec) -> Column:
+    """Events of the group up to and with this row, counted by weight."""
+    return F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def nth_event(events: DataFrame, n: int) -> DataFrame:
     """Date of each person's nth distinct event.
 
-    Rows are made distinct first, so a person holds at most one row per day,
-    source and death date; the rank limit also applies ahead of the shuffle.
+    Rows are made distinct first, so a person holds at most one row per day
+    and source.  Each counts for at least one event, so a rank limit of n rows
+    applies ahead of the shuffle.
     """
-    distinct = events.select("person_id", "event_date", "source", "death_date").distinct()
+    weight = _weight(events)
+    order = _in_order("person_id")
+    deaths = [c for c in ("dates", "death_date") if c in events.columns]
+    distinct = events.select("person_id", "event_date", "source", *deaths).distinct()
     return (
-        distinct.withColumn("_rank", _event_rank(["person_id"])).where(F.col("_rank") <= n)
-        .where(F.col("_rank") == n).select("person_id", F.col("event_date").alias("nth_date"))
+        distinct.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+        .withColumn("_reached", _reached(weight, order))
+        .where((F.col("_reached") >= n) & (F.col("_reached") - weight < n))
+        .select("person_id", F.col("event_date").alias("nth_date"))
     )
 
 
 def person_features(events: DataFrame) -> DataFrame:
     """Onsets, nth and last dates and counts per person, from valid events of all concepts.
 
-    One shuffle on the person serves the rank and all aggregates.  Input rows
-    are distinct per person, day, source, concept and code, which bounds the
-    rows a single person can bring to a task.
+    One shuffle on the person serves the running counts and all aggregates.
+    Input rows are distinct per person, day, source, concept and code, which
+    bounds the rows a single person can bring to a task.
     """
     potential = ", ".join(f"'{c}'" for c in POTENTIAL_CONCEPTS)
     core, nmo, history = (f"concept = '{c}'" for c in (CORE, NMO, FAMILY_HISTORY))
@@ -75,7 +89,7 @@ def person_features(events: DataFrame) -> DataFrame:
     features = {
         "core_date": f"min(event_date) FILTER (WHERE {core})",
         "core_age": f"min(event_age) FILTER (WHERE {core})",
-        **{f"core_event_{n}_date": f"min(event_date) FILTER (WHERE {core} AND _rank = {n})"
+        **{f"core_event_{n}_date": f"min(event_date) FILTER (WHERE {core} AND _reached >= {n})"
            for n in NTH_EVENTS},
         "potential_date": f"min(event_date) FILTER (WHERE {onset})",
         "potential_age": f"min(event_age) FILTER (WHERE {onset})",
@@ -88,5 +102,6 @@ def person_features(events: DataFrame) -> DataFrame:
            f"coalesce(sum(copies) FILTER (WHERE concept = '{name}' AND source = '{source}'), 0)"
            for name in COUNTED_CONCEPTS for source in SOURCES},
     }
-    ranked = events.withColumn("_rank", _event_rank(["person_id", "concept"]))
-    return ranked.groupBy("person_id").agg(*(F.expr(e).alias(n) for n, e in features.items()))
+    counted = events.withColumn("_reached", _reached(_weight(events),
+                                                     _in_order("person_id", "concept")))
+    return counted.groupBy("person_id").agg(*(F.expr(e).alias(n) for n, e in features.items()))

@@ -78,9 +78,14 @@ class CohortStudy:
             self.tables, self.codeset, self.cfg))
 
     def valid(self) -> DataFrame:
-        return self._step("valid", lambda: events.valid_events(
+        """Valid events, each with the number of death dates and records it counts for."""
+        return self._step("valid", lambda: events.weighted_events(
             self.tagged(), self.persons(), self.deaths()))
 
+    def valid_records(self) -> DataFrame:
+        """Valid events with a row per death date."""
+        return events.valid_events(self.tagged(), self.persons(), self.deaths())
+
     def contact(self) -> DataFrame:
         return self._step("contact", lambda: timeline.first_contact(
             self.tables["gp_event"], self.cfg))

@@ -148,7 +148,7 @@ def anti_filter(s: CohortStudy) -> DataFrame:
 
 @query
 def valid_events(s: CohortStudy) -> DataFrame:
-    return s.valid()
+    return s.valid_records()
 
 
 @query
