@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.codes import GP, INPATIENT, OUTPATIENT, CodeSet
 from cohortspark.config import StudyConfig
 from cohortspark.functions.dates import years_between
+from cohortspark.functions.rows import truthy
 from cohortspark.sources.tables import in_study
 
 GP_SOURCE, HOSPITAL_SOURCE = "GP", "HOSPITAL"
@@ -106,67 +107,49 @@ def attach_demographics(events: DataFrame, persons: DataFrame) -> DataFrame:
     return events.join(persons.select("person_id", "birth_date", "gender_cd"), "person_id")
 
 
-# Binary search of `_day` in the sorted dates of `_history`: how many lie before it.
-_DATES_BEFORE = """
-CASE WHEN size(_history) > 0 THEN aggregate(
-  sequence(1, CAST(ceil(log2(size(_history) + 1)) AS INT)),
-  named_struct('low', 0, 'high', size(_history)),
-  (s, step) -> IF(
-    get(_history, shiftright(s.low + s.high, 1)).death_date < _day,
-    named_struct('low', shiftright(s.low + s.high, 1) + 1, 'high', s.high),
-    named_struct('low', s.low, 'high', shiftright(s.low + s.high, 1))),
-  s -> s.low) ELSE 0 END"""
-
-
-def death_history(deaths: DataFrame) -> DataFrame:
-    """One row per person: sorted death dates with running copy counts.
-
-    ``_history`` holds, for each known date, its records (``copies``) and the
-    records from that date on (``since``); ``_undated`` counts the records
-    without a date.  The array is as long as a person has distinct dates.
-    """
-    known = F.col("death_date").isNotNull()
-    later = Window.partitionBy("person_id").orderBy(F.col("death_date").desc_nulls_last()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return deaths.withColumn("since", F.sum("copies").over(later)).groupBy("person_id").agg(
-        F.array_sort(F.collect_list(F.when(known, F.struct("death_date", "copies", "since"))))
-        .alias("_history"),
-        F.sum(F.when(~known, F.col("copies"))).alias("_undated"))
-
-
-def _with_history(events: DataFrame, persons: DataFrame, deaths: DataFrame) -> DataFrame:
-    """Events of resolved persons from birth on, each with its person's deaths, once.
-
-    ``_at`` is the position of the first death that is not before the event.
-    """
-    return (
-        attach_demographics(events, persons)
-        .withColumn("event_age", years_between(F.col("event_date"), F.col("birth_date")))
-        .where("event_age >= 0")
-        .join(death_history(deaths), "person_id", "left")
-        .withColumn("_day", F.col("event_date"))
-        .withColumn("_at", F.expr(_DATES_BEFORE)).drop("_day")
-    )
+def with_event_age(events: DataFrame, persons: DataFrame) -> DataFrame:
+    """Events of resolved persons with the age at the event."""
+    return attach_demographics(events, persons).withColumn(
+        "event_age", years_between(F.col("event_date"), F.col("birth_date")))
 
 
 def weighted_events(events: DataFrame, persons: DataFrame, deaths: DataFrame) -> DataFrame:
     """Events of resolved persons that are neither before birth nor after death, once each.
 
-    A person with several recorded deaths has an event once per death that is
-    not before it.  Instead of repeating the row, ``dates`` counts the distinct
-    death dates (1 without deaths) and ``copies`` the death records, so an
-    active person with many deaths brings the sum of both, not the product.
+    ``deaths`` has one row per person and death date, with the ``copies`` of
+    that date.  A person with several recorded deaths has an event once per
+    death that is not before it.  Instead of repeating the row, ``dates``
+    counts these distinct death dates (1 without deaths) and ``copies`` the
+    death records.  Events and deaths of a person are merged in the order of
+    their dates, latest first, and an event's place in the running counts of
+    deaths gives both numbers: a person's work is the sum of events and
+    deaths, not their product, and no row carries more than a few numbers.
     """
-    undated = F.col("_undated").isNotNull().cast("long")
-    since = F.coalesce(F.get("_history", "_at")["since"], F.lit(0).cast("long"))
-    recorded = F.col("_history").isNotNull()
+    none = F.lit(0).cast("long")
+    # a death on the day of an event comes before it; one without a date bars nothing, so it comes
+    # first, as does a mark that deaths are recorded
+    death = F.struct(F.lit(1).alias("_kind"), F.col("death_date").alias("event_date"),
+                     F.lit(1).cast("long").alias("_dates"), F.col("copies").alias("_copies"))
+    mark = F.struct(F.lit(2).alias("_kind"), F.lit(None).cast("date").alias("event_date"),
+                    none.alias("_dates"), none.alias("_copies"))
+    died = deaths.select("person_id", F.explode(F.array(death, mark)).alias("_row")) \
+        .select("person_id", "_row.*")
+    merged = events.withColumns({"_kind": F.lit(0), "_dates": none, "_copies": none}) \
+        .unionByName(died, allowMissingColumns=True)
+    later = Window.partitionBy("person_id").orderBy(
+        F.col("event_date").desc_nulls_first(), F.col("_kind").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = F.lit(1).cast("long")
+    recorded = F.col("_marks") > 0
     return (
-        _with_history(events, persons, deaths)
-        .withColumn("dates", F.when(recorded, F.size("_history") - F.col("_at") + undated)
-                    .otherwise(F.lit(1)).cast("long"))
-        .withColumn("copies", F.when(recorded, since + F.coalesce("_undated", F.lit(0)))
-                    .otherwise(F.lit(1)).cast("long"))
-        .where("dates > 0").drop("_history", "_undated", "_at")
+        with_event_age(merged, persons).where("_kind > 0 OR event_age >= 0")
+        .withColumns({
+            "_marks": F.sum((F.col("_kind") == 2).cast("long")).over(later),
+            "_dates": F.sum("_dates").over(later), "_copies": F.sum("_copies").over(later)})
+        .where("_kind = 0")
+        .withColumns({"dates": F.when(recorded, F.col("_dates")).otherwise(one),
+                      "copies": F.when(recorded, F.col("_copies")).otherwise(one)})
+        .where("dates > 0").drop("_kind", "_marks", "_dates", "_copies")
     )
 
 
@@ -176,19 +159,12 @@ def valid_events(events: DataFrame, persons: DataFrame, deaths: DataFrame) -> Da
     ``deaths`` has one row per person and death date; ``copies`` says how many
     death records share that date.
     """
-    entry = "struct<death_date:date,copies:bigint>"
-    later = F.transform(F.slice("_history", F.col("_at") + 1, F.size("_history")),
-                        lambda x: F.struct(x["death_date"], x["copies"]).cast(entry))
-    undated = F.array(F.struct(F.lit(None).cast("date"), F.col("_undated")).cast(entry))
-    none = F.array(F.struct(F.lit(None).cast("date"), F.lit(1)).cast(entry))
-    deaths_left = F.when(F.col("_history").isNull(), none).otherwise(
-        F.concat(later, F.when(F.col("_undated").isNotNull(), undated)
-                 .otherwise(F.array().cast(f"array<{entry}>"))))
+    after_death = truthy(F.col("death_date") < F.col("event_date"))
     return (
-        _with_history(events, persons, deaths)
-        .withColumn("_death", F.explode(deaths_left))
-        .select("*", "_death.death_date", "_death.copies")
-        .drop("_history", "_undated", "_at", "_death")
+        with_event_age(events, persons).where("event_age >= 0")
+        .join(deaths.select("person_id", "death_date", "copies"), "person_id", "left")
+        .where(~after_death)
+        .withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
     )
 
 
