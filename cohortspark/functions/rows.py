@@ -88,33 +88,99 @@ def union_ids(frames: Iterable[DataFrame], key: str) -> DataFrame:
     return out.distinct()
 
 
-def _rows_per_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each distinct row with its number of copies in either frame.
+def weight(df: DataFrame) -> Column:
+    """How many records a row stands for: its ``copies``, or 1 where rows are records."""
+    return F.col("copies") if "copies" in df.columns else F.lit(1).cast("long")
 
-    One aggregation over tagged rows, so duplicates count and a hot row is
-    combined before the shuffle.
+
+def count_records(df: DataFrame, condition: Column | None = None) -> Column:
+    """Aggregate: number of records, or of those that meet a condition."""
+    counted = weight(df) if condition is None else F.when(condition, weight(df))
+    return F.coalesce(F.sum(counted), F.lit(0).cast("long"))
+
+
+def records(df: DataFrame) -> DataFrame:
+    """A row per record, without ``copies``."""
+    return repeat_rows(df, "copies") if "copies" in df.columns else df
+
+
+# Hash ranges whose fingerprints are compared; the frames meet row by row only in those that differ.
+RANGES = 4096
+
+
+def fingerprints(rows: DataFrame, columns: Sequence[str], left: Column, right: Column) -> DataFrame:
+    """Per range of row hashes: rows of either side and the difference of two hash sums.
+
+    Sums do not depend on order and combine on the map side, so at most
+    ``RANGES`` rows per task are shuffled.  Two sides with the same rows have
+    no difference; two with other rows have one, but for a chance of about
+    2^-64 in each range.
+    """
+    return rows.select(
+        F.pmod(F.xxhash64(*columns), F.lit(RANGES)).alias("_range"), left.alias("_left"),
+        right.alias("_right"), F.shiftright(F.xxhash64(*columns), 32).alias("_first"),
+        F.hash(*columns).cast("long").alias("_second"),
+    ).groupBy("_range").agg(
+        F.sum("_left").alias("left_rows"), F.sum("_right").alias("right_rows"),
+        *(F.sum((F.col("_left") - F.col("_right")) * F.col(c)).alias(c)
+          for c in ("_first", "_second")))
+
+
+def _differing(prints: DataFrame) -> DataFrame:
+    return prints.where("left_rows <> right_rows OR _first <> 0 OR _second <> 0")
+
+
+def differing_rows(rows: DataFrame, columns: Sequence[str], left: Column, right: Column,
+                   prints: DataFrame) -> DataFrame:
+    """Rows of the ranges whose fingerprints differ, with their number on either side."""
+    suspect = F.broadcast(_differing(prints).select("_range"))  # at most RANGES rows
+    sides = rows.select(*columns, left.alias("left_rows"), right.alias("right_rows"))
+    return (
+        sides.withColumn("_range", F.pmod(F.xxhash64(*columns), F.lit(RANGES)))
+        .join(suspect, "_range", "left_semi").groupBy(*columns)
+        .agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"))
+        .where("left_rows <> right_rows")
+    )
+
+
+def compare_subsets(rows: DataFrame, columns: Sequence[str], left: Column,
+                    right: Column) -> DataFrame:
+    """One row: size of two multisets and number of distinct rows that differ.
+
+    ``left`` and ``right`` say how often each row of ``rows`` belongs to either
+    side.  One pass takes the fingerprints, a table of at most ``RANGES`` rows
+    that is kept; rows are read again, and shuffled, only if some differ.
     """
-    columns = a.columns
-    tagged = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
-    return tagged.groupBy(*columns).agg(
-        F.count_if(F.col("_side") == 1).alias("left_rows"),
-        F.count_if(F.col("_side") == -1).alias("right_rows"))
+    prints = fingerprints(rows, columns, left, right).persist()
+    sizes = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c)
+             for c in ("left_rows", "right_rows")]
+    none = F.lit(0).cast("long")
+    if _differing(prints).isEmpty():
+        return prints.agg(*sizes, none.alias("differing_rows"))
+    found = differing_rows(rows, columns, left, right, prints)
+    counted = prints.select("left_rows", "right_rows", none.alias("differing_rows")).unionByName(
+        found.select(none.alias("left_rows"), none.alias("right_rows"),
+                     F.lit(1).cast("long").alias("differing_rows")))
+    return counted.agg(*sizes, F.sum("differing_rows").alias("differing_rows"))
+
+
+def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[str], Column, Column]:
+    """Both frames in one, and the side of each row as two 0/1 columns."""
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(2)))
+    return both, a.columns, *((F.col("_side") == side).cast("long") for side in (1, 2))
 
 
 def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that occur a different number of times in the two frames."""
-    return _rows_per_side(a, b).where("left_rows <> right_rows")
+    sides = _sides(a, b)
+    return differing_rows(*sides, fingerprints(*sides))
 
 
 def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: size of either frame and number of distinct rows that differ."""
-    return _rows_per_side(a, b).agg(
-        F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"),
-        F.count_if(F.col("left_rows") != F.col("right_rows")).alias("differing_rows"))
+    return compare_subsets(*_sides(a, b))
 
 
 def frames_equal(a: DataFrame, b: DataFrame) -> bool:
     """Same columns and the same rows the same number of times."""
-    if sorted(a.columns) != sorted(b.columns):
-        return False
-    return frame_difference(a, b).limit(1).count() == 0
+    return sorted(a.columns) == sorted(b.columns) and frame_difference(a, b).isEmpty()

@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 from cohortspark.codes import CORE, INPATIENT, CodeSet
 from cohortspark.config import StudyConfig
 from cohortspark.functions.dates import years_between
-from cohortspark.functions.rows import flag, top_row
+from cohortspark.functions.rows import (
+    compare_subsets,
+    count_records,
+    flag,
+    records,
+    top_row,
+    weight,
+)
+from cohortspark.operators.describe import merged, moment_cells
 from cohortspark.operators.events import EPISODE_KEYS, inpatient_diagnoses, tag
 from cohortspark.operators.residence import region_areas
 
@@ -92,7 +100,7 @@ def area_compare(flags: DataFrame) -> DataFrame:
         "not listed": NOT_LISTED,
         "not listed, primary care only": NOT_LISTED_GP_ONLY,
     }
-    totals = flags.agg(*(F.count_if(F.expr(c)).alias(n) for n, c in sets.items()))
+    totals = flags.agg(*(count_records(flags, F.expr(c)).alias(n) for n, c in sets.items()))
     return totals.unpivot([], totals.columns, "comparison", "people")
 
 
@@ -119,15 +127,19 @@ def site_admissions(ids: DataFrame, spells: DataFrame, units: DataFrame,
     return seen.join(units, "unit", "left").withColumn("in_site", in_site(cfg))
 
 
+def admitted_at_site(spells: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Everyone with any admission, and whether one of them was at the sites."""
+    return spells.where(F.col("person_id").isNotNull()) \
+        .groupBy("person_id").agg(F.max(in_site(cfg)).alias("in_site"))
+
+
 def site_check(ids: DataFrame, spells: DataFrame, cfg: StudyConfig) -> DataFrame:
     """One row per checked person with any admission: was one of them at the sites?
 
     The flag is a maximum per person, so admissions combine before the shuffle;
     the first group by name stands for a person found in two.
     """
-    seen = spells.where(F.col("person_id").isNotNull()) \
-        .groupBy("person_id").agg(F.max(in_site(cfg)).alias("in_site"))
-    return ids.join(seen, "person_id").groupBy("person_id").agg(
+    return ids.join(admitted_at_site(spells, cfg), "person_id").groupBy("person_id").agg(
         F.min("group").alias("group"), F.max("in_site").alias("in_site"))
 
 
@@ -162,12 +174,17 @@ def with_site_dates(flags: DataFrame, dates: DataFrame) -> DataFrame:
         .withColumn("elsewhere_date", F.when(unlisted, F.col("elsewhere_date")))
 
 
-def disagreement_breakdown(flags: DataFrame, dates: DataFrame, checked: DataFrame) -> DataFrame:
-    """Algorithm-only people with their last core admission at the sites or elsewhere."""
-    named = checked.where(F.col("group") == NOT_ON_LIST).select("person_id", "group", "in_site")
-    located = with_site_dates(flags, dates).where(
+def disagreement_breakdown(flags: DataFrame, dates: DataFrame, spells: DataFrame,
+                           cfg: StudyConfig) -> DataFrame:
+    """Algorithm-only people with their last core admission at the sites or elsewhere.
+
+    Site flags and dates are one row per person and are joined to the flags as
+    columns, so that the flags are read once.
+    """
+    located = with_site_dates(flags.where(ALGORITHM_ONLY), dates).where(
         F.col("site_date").isNotNull() | F.col("elsewhere_date").isNotNull())
-    return located.join(named, "person_id")
+    return located.withColumn("group", F.lit(NOT_ON_LIST)) \
+        .join(admitted_at_site(spells, cfg), "person_id")
 
 
 def summarise(people: DataFrame, gender: str, numeric: Sequence[str], digits: int = 1) -> DataFrame:
@@ -175,13 +192,15 @@ def summarise(people: DataFrame, gender: str, numeric: Sequence[str], digits: in
 
     As in a plain mean, one missing value makes the result missing.
     """
-    rows = F.count(F.lit(1))
-    out = [F.count_if(F.col(gender) == "Female").alias("female")]
+    cells = moment_cells(people, {"_gender": F.col(gender)}, {c: F.col(c) for c in numeric})
+    out = [F.coalesce(F.sum(F.when(F.col("_gender") == "Female", F.col("_records"))),
+                      F.lit(0).cast("long")).alias("female")]
     for c in numeric:
-        whole = F.count(c) == rows
-        out.append(F.when(whole, F.round(F.avg(c), digits)).alias(f"mean_{c}"))
-        out.append(F.when(whole, F.round(F.stddev_samp(c), digits)).alias(f"sd_{c}"))
-    return people.agg(*out)
+        n, mean, sd = merged(c)
+        whole = n == F.sum("_records")
+        out.append(F.when(whole, F.round(mean, digits)).alias(f"mean_{c}"))
+        out.append(F.when(whole, F.round(sd, digits)).alias(f"sd_{c}"))
+    return cells.agg(*out)
 
 
 def attrition_steps(flags: DataFrame, dates: DataFrame) -> DataFrame:
@@ -205,8 +224,8 @@ def attrition(flags: DataFrame, dates: DataFrame) -> DataFrame:
         ("not last admitted elsewhere", left > 3),
         ("and not on the clinic list", (left > 3) & (F.col("clinic") == 0)),
     ]
-    totals = attrition_steps(flags, dates).agg(
-        *(F.count_if(c).alias(n) for n, c in steps))
+    cases = attrition_steps(flags, dates)
+    totals = cases.agg(*(count_records(cases, c).alias(n) for n, c in steps))
     number = F.array_position(F.array(*(F.lit(n) for n, _ in steps)), F.col("label"))
     return totals.unpivot([], totals.columns, "label", "people") \
         .select(number.cast("int").alias("step"), "label", "people")
@@ -214,16 +233,27 @@ def attrition(flags: DataFrame, dates: DataFrame) -> DataFrame:
 
 def confusion(flags: DataFrame, predicted: str, gold: str) -> DataFrame:
     """People per predicted and gold flag."""
-    return flags.groupBy(predicted, gold).agg(F.count(F.lit(1)).alias("people")) \
+    return flags.groupBy(predicted, gold).agg(count_records(flags).alias("people")) \
         .withColumn("cell", F.concat(
             F.when(F.col(predicted) == F.col(gold), "true ").otherwise("false "),
             F.when(F.col(predicted) == 1, "positive").otherwise("negative")))
 
 
+# The people of the area in neither set, derived from either side.
+NEGATIVE_BY_ALGORITHM = (f"in_area = 1 AND NOT (algorithm = 1 AND NOT ({OTHERWISE_LISTED})) "
+                         f"AND NOT ({CLINIC_MISSED})")
+NEGATIVE_BY_CLINIC = f"in_area = 1 AND clinic_area = 0 AND NOT ({NOT_LISTED})"
+
+
 def true_negatives_two_ways(flags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The people of the area in neither set, derived from either side."""
+    by_algorithm, by_clinic = (records(flags.where(c)).select("person_id") for c in (
+        NEGATIVE_BY_ALGORITHM, NEGATIVE_BY_CLINIC))
+    return by_algorithm, by_clinic
+
+
+def compare_true_negatives(flags: DataFrame) -> DataFrame:
+    """Size of both derivations and people that differ, in one pass over the flags."""
     area = flags.where("in_area = 1")
-    from_algorithm = area.where(f"NOT (algorithm = 1 AND NOT ({OTHERWISE_LISTED}))") \
-        .where(f"NOT ({CLINIC_MISSED})")
-    from_clinic = area.where("clinic_area = 0").where(f"NOT ({NOT_LISTED})")
-    return from_algorithm.select("person_id"), from_clinic.select("person_id")
+    left, right = (F.when(F.expr(c), weight(flags)).otherwise(F.lit(0).cast("long"))
+                   for c in (NEGATIVE_BY_ALGORITHM, NEGATIVE_BY_CLINIC))
+    return compare_subsets(area, ["person_id"], left, right)

@@ -61,10 +61,12 @@ def with_surrogate_ids(demographics: DataFrame) -> DataFrame:
 
 def reconcile_birth_dates(demographics: DataFrame, population: DataFrame) -> DataFrame:
     """Register demographics with the population's birth date where the two disagree."""
-    known = population.select("person_id", F.col("birth_date").alias("record_birth_date"))
+    copies = [c for c in ("copies",) if c in population.columns]
+    known = population.select("person_id", F.col("birth_date").alias("record_birth_date"), *copies)
     record, stated = F.col("record_birth_date"), F.col("register_birth_date")
     return (
         demographics.withColumnRenamed("birth_date", "register_birth_date")
         .join(known, "person_id", "left")
         .withColumn("birth_date", F.when(truthy(record != stated), record).otherwise(stated))
+        .withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in copies})
     )

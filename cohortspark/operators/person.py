@@ -12,7 +12,6 @@ from cohortspark.config import StudyConfig
 from cohortspark.functions.dates import years_between
 from cohortspark.functions.labels import GENDERS, decode
 from cohortspark.functions.rows import truthy
-from cohortspark.operators.deaths import death_records
 from cohortspark.operators.events import SOURCES
 
 HOUSEHOLD_COLUMNS = {
@@ -37,16 +36,18 @@ def person_base(persons: DataFrame, contact: DataFrame, deaths: DataFrame,
                 cfg: StudyConfig) -> DataFrame:
     """Known persons with death, exit date and current age.
 
-    A person with several death records keeps a row per record.  People who
-    would leave before birth, or born after the ceiling year, are dropped.
+    A person with several death dates keeps a row per date, and ``copies`` says
+    for how many death records it stands.  People who would leave before birth,
+    or born after the ceiling year, are dropped.
     """
     death, last_day = F.col("death_date"), F.lit(cfg.date_max)
     dead = truthy(death <= last_day)
     exit_date = F.when(dead, death).otherwise(last_day)
     return (
         known_persons(persons, contact)
-        .join(death_records(deaths), "person_id", "left")
+        .join(deaths, "person_id", "left")
         .withColumns({
+            "copies": F.coalesce("copies", F.lit(1).cast("long")),
             "birth_year": F.year("birth_date"), "death_year": F.year("death_date"),
             "dead": dead.cast("int"), "exit_date": exit_date,
             "age_current": years_between(exit_date, F.col("birth_date")),

@@ -16,7 +16,7 @@ from cohortspark.functions.labels import (
     merge_labels,
     presence,
 )
-from cohortspark.functions.rows import single_row_ids
+from cohortspark.functions.rows import single_row_ids, weight
 from cohortspark.operators.identity import with_surrogate_ids
 from cohortspark.operators.responses import diagnosed_in_study, join_answers, with_answers
 
@@ -84,8 +84,8 @@ def type_tallies(profile: DataFrame) -> DataFrame:
     """People per current type and per type at diagnosis, in one pass."""
     cells = F.array(*(F.struct(F.lit(c).alias("question"), F.col(c).alias("type"))
                       for c in ("type_now", "type_at_diagnosis")))
-    return profile.select(F.explode(cells).alias("cell")).groupBy("cell.question", "cell.type") \
-        .agg(F.count(F.lit(1)).alias("people"))
+    told = profile.select(F.explode(cells).alias("cell"), weight(profile).alias("copies"))
+    return told.groupBy("cell.question", "cell.type").agg(F.sum("copies").alias("people"))
 
 
 def usable_users(users: DataFrame) -> DataFrame:

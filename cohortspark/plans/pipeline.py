@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.codes import DEATH_CODE_PATTERNS, CodeSet, default_codeset
 from cohortspark.config import StudyConfig
-from cohortspark.functions.rows import truthy
+from cohortspark.functions.rows import records, truthy
 from cohortspark.operators import (
     clinic,
     cohort,
@@ -123,6 +123,8 @@ class CohortStudy:
 
     # one row per person
 
+    # Up to the flags, rows carry ``copies``: the number of death records they stand for.
+
     def base(self) -> DataFrame:
         return self._step("base", lambda: person.person_base(
             self.persons(), self.contact(), self.deaths(), self.cfg))
@@ -132,8 +134,8 @@ class CohortStudy:
             self.base(), self.features()))
 
     def frame(self) -> DataFrame:
-        """The person master frame."""
-        return self._step("frame", lambda: self._placed(self.event_frame()))
+        """The person master frame, a row per death record."""
+        return self._step("frame", lambda: records(self._placed(self.event_frame())))
 
     def _placed(self, people: DataFrame) -> DataFrame:
         return person.with_places(people, self.location(), self.household())
@@ -149,7 +151,7 @@ class CohortStudy:
 
     def classified(self) -> DataFrame:
         """The cleaned, classified population with places."""
-        return self._step("classified", lambda: self._placed(self.people()))
+        return self._step("classified", lambda: records(self._placed(self.people())))
 
     def alive(self) -> DataFrame:
         return self._step("alive", lambda: person.alive_resident(
@@ -158,15 +160,18 @@ class CohortStudy:
     def located_alive(self) -> DataFrame:
         return self.alive().join(self.location(), "person_id", "left")
 
+    def _weighted(self, which: str) -> DataFrame:
+        return self.alive() if which == ALIVE else self.people()
+
     def population(self, which: str = ALIVE) -> DataFrame:
         """Everyone, or the people alive and resident at the end of the study."""
-        return self.alive() if which == ALIVE else self.people()
+        return records(self._weighted(which))
 
     def cases(self, which: str = ALIVE) -> DataFrame:
-        return cohort.case_cohort(self.population(which), self.cfg)
+        return records(cohort.case_cohort(self._weighted(which), self.cfg))
 
     def extra_only(self, which: str = ALIVE) -> DataFrame:
-        return cohort.extra_only(self.population(which))
+        return records(cohort.extra_only(self._weighted(which)))
 
     def memberships(self) -> DataFrame:
         """Per person: event counts, and in the population, alive and resident, with extra codes only.
@@ -212,9 +217,10 @@ class CohortStudy:
 
     def register_profile(self, which: str = ALIVE, diagnosed_only: bool = True,
                          in_region: bool = False) -> DataFrame:
+        """Profiled members; rows carry ``copies``, as the population's do."""
         return self._step(f"profile_{which}_{diagnosed_only}_{in_region}",
                           lambda: register.register_profile(
-                              self.population(which), self.register_members(in_region),
+                              self._weighted(which), self.register_members(in_region),
                               self.answers(), self.cfg, diagnosed_only))
 
     def register_diagnosed(self) -> DataFrame:
@@ -224,13 +230,13 @@ class CohortStudy:
 
     def other_cases(self, cfg: StudyConfig, which: str = ALIVE) -> DataFrame:
         """The cases of the same population by the rule of another configuration."""
-        return cohort.case_cohort(cohort.classify_cases(self.population(which), cfg), cfg)
+        return cohort.case_cohort(cohort.classify_cases(self._weighted(which), cfg), cfg)
 
     def match_miss(self, which: str = ALIVE) -> DataFrame:
-        return register.match_own_cases(self.register_profile(which), REGISTER_GROUP)
+        return records(register.match_own_cases(self.register_profile(which), REGISTER_GROUP))
 
     def register_comparison(self, which: str = ALIVE) -> DataFrame:
-        """Found, missed and whole register groups, stacked."""
+        """Found, missed and whole register groups, stacked; rows carry ``copies``."""
         return register.with_progressive_groups(register.match_own_cases(
             self.register_profile(which), REGISTER_GROUP, WHOLE_REGISTER))
 
@@ -242,36 +248,25 @@ class CohortStudy:
         return responses.join_answers(people.join(member, "person_id", "left"), self.answers()) \
             .withColumn("on_register", truthy(F.col("_member") & in_time)).drop("_member")
 
-    def table_one_rows(self, which: str = ALIVE) -> DataFrame:
-        """A row per person and group the person belongs to, in one pass."""
+    def table_one(self, which: str = ALIVE) -> DataFrame:
+        """Population, extra-only, register and case groups, which share people, described."""
         names = describe.TABLE_ONE_GROUPS
-        core_counts = ("core_gp_count", "core_hospital_count")
-
-        def row(group: str, age: Column, counted: bool = False) -> Column:
-            return F.struct(F.lit(names[group]).alias("group"),
-                            age.cast("double").alias("diagnosis_age"),
-                            *((F.col(c) if counted else F.lit(None)).cast("long").alias(c)
-                              for c in core_counts))
-
         potential = F.col("potential_age")
         extra = F.col("core_date").isNull() & F.col("potential_date").isNotNull()
-        groups = F.array(
-            row("population", F.lit(None)),
-            F.when(extra, row("extra_only", potential)),
-            F.when(F.col("on_register"), row("register", F.col("age_diagnosis"))),
-            F.when(F.col("is_case") == 1, row("cases", potential, counted=True)),
-        )
-        return self._with_register(self.population(which)).select(
-            "person_id", "gender", "age_end", "age_death",
-            F.when(F.col("dead") == 1, "Dead").otherwise("Alive").alias("dead"),
-            F.explode(groups).alias("_row"),
-        ).where("_row IS NOT NULL").select("*", "_row.*").drop("_row")
-
-    def table_one(self, which: str = ALIVE) -> DataFrame:
-        return describe.describe(
-            self.table_one_rows(which), "group",
+        uncounted = {"core_gp_count": None, "core_hospital_count": None}
+        groups = [
+            describe.Group(names["population"], F.lit(True), {"diagnosis_age": None, **uncounted}),
+            describe.Group(names["extra_only"], extra, {"diagnosis_age": potential, **uncounted}),
+            describe.Group(names["register"], F.col("on_register"),
+                           {"diagnosis_age": F.col("age_diagnosis"), **uncounted}),
+            describe.Group(names["cases"], F.col("is_case") == 1, {"diagnosis_age": potential}),
+        ]
+        people = self._with_register(self._weighted(which)).withColumn(
+            "dead", F.when(F.col("dead") == 1, "Dead").otherwise("Alive"))
+        return describe.described(describe.overlapping_stats(
+            people, groups,
             ["diagnosis_age", "age_death", "age_end", "core_gp_count", "core_hospital_count"],
-            ["gender", "dead"])
+            ["gender", "dead"]))
 
     # clinic list
 
@@ -298,7 +293,9 @@ class CohortStudy:
             clinic.site_check_ids(self.flags()), self.tables["inpatient_spell"], self.cfg))
 
     def disagreement(self) -> DataFrame:
-        return clinic.disagreement_breakdown(self.flags(), self.site_dates(), self.site_check())
+        """Algorithm-only people by last admission; rows carry ``copies``."""
+        return clinic.disagreement_breakdown(self.flags(), self.site_dates(),
+                                             self.tables["inpatient_spell"], self.cfg)
 
     def attrition(self) -> DataFrame:
         return clinic.attrition(self.flags(), self.site_dates())
@@ -307,25 +304,24 @@ class CohortStudy:
         """Algorithm against clinic list, among the people of the area."""
         return clinic.confusion(self.flags().where("in_area = 1"), "algorithm", "clinic_area")
 
-    def stage_age_rows(self) -> DataFrame:
+    def stage_ages(self) -> DataFrame:
         """Ages by register and clinic group, all and matched, in one pass."""
         register_all, clinic_all, register_found, clinic_found = STAGE_AGE_GROUPS
         case, listed = F.col("is_case") == 1, F.col("clinic") == 1
+        on_register = F.col("on_register")
 
-        def row(group: str, onset: str, diagnosis: str) -> Column:
-            return F.struct(
-                F.lit(group).alias("group"),
-                F.when(case, F.col("potential_age")).alias("potential_age"),
-                F.col(onset).alias("age_onset"), F.col(diagnosis).alias("age_diagnosis"),
-                (F.col(diagnosis) - F.col(onset)).alias("onset_to_diagnosis"))
+        def group(label: str, condition: Column, onset: str, diagnosis: str) -> describe.Group:
+            return describe.Group(label, condition, {
+                "age_onset": F.col(onset), "age_diagnosis": F.col(diagnosis),
+                "onset_to_diagnosis": F.col(diagnosis) - F.col(onset)})
 
         ages, list_ages = ("age_onset", "age_diagnosis"), ("list_age_onset", "list_age_diagnosis")
-        groups = F.array(
-            F.when(F.col("on_register") & case, row(register_found, *ages)),
-            F.when(F.col("on_register"), row(register_all, *ages)),
-            F.when(listed & case, row(clinic_found, *list_ages)),
-            F.when(listed, row(clinic_all, *list_ages)),
-        )
-        return self._with_register(self.flags()) \
-            .select("person_id", "age_current", F.explode(groups).alias("_row")) \
-            .where("_row IS NOT NULL").select("person_id", "age_current", "_row.*")
+        people = self._with_register(self.flags()).withColumn(
+            "potential_age", F.when(case, F.col("potential_age")))
+        stats = describe.overlapping_stats(people, [
+            group(register_found, on_register & case, *ages),
+            group(register_all, on_register, *ages),
+            group(clinic_found, listed & case, *list_ages),
+            group(clinic_all, listed, *list_ages),
+        ], ["age_current", "potential_age", "age_onset", "age_diagnosis", "onset_to_diagnosis"], [])
+        return describe.described(stats, digits=1)

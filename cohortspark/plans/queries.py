@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.codes import CORE, GP, CodeSet
 from cohortspark.functions.labels import age_bracket
-from cohortspark.functions.rows import compare_frames, in_set, not_in_set, union_ids
+from cohortspark.functions.rows import count_records, in_set, not_in_set, records, union_ids
 from cohortspark.operators import (
     clinic,
     deaths,
@@ -95,7 +95,7 @@ def surrogate_ids(s: CohortStudy) -> DataFrame:
 
 @query
 def reconcile_demographics(s: CohortStudy) -> DataFrame:
-    return s.register_demographics()
+    return records(s.register_demographics())
 
 
 # events
@@ -229,14 +229,15 @@ def clean_population(s: CohortStudy) -> DataFrame:
 
 @query
 def classify_cases(s: CohortStudy) -> DataFrame:
-    return s.people().groupBy("gender", "dead", "is_case").agg(
-        F.count(F.lit(1)).alias("people"), F.min("potential_date").alias("first_onset"),
+    people = s.people()
+    return people.groupBy("gender", "dead", "is_case").agg(
+        count_records(people).alias("people"), F.min("potential_date").alias("first_onset"),
         F.max("core_count").alias("most_events"))
 
 
 @query
 def alive_resident(s: CohortStudy) -> DataFrame:
-    return s.located_alive().select("person_id", "gender", "birth_date", "age_current", "board",
+    return records(s.located_alive()).select("person_id", "gender", "birth_date", "age_current", "board",
                                     "is_case")
 
 
@@ -252,8 +253,9 @@ def case_cohort(s: CohortStudy) -> DataFrame:
 
 @query
 def age_brackets(s: CohortStudy) -> DataFrame:
-    return s.event_frame().select(age_bracket(F.col("potential_age")).alias("bracket")) \
-        .groupBy("bracket").agg(F.count(F.lit(1)).alias("people"))
+    people = s.event_frame()
+    return people.groupBy(age_bracket(F.col("potential_age")).alias("bracket")) \
+        .agg(count_records(people).alias("people"))
 
 
 @query
@@ -313,7 +315,7 @@ PROFILE_COLUMNS = ("person_id", "gender", "birth_date", "age_current", "potentia
 
 @query
 def register_profile(s: CohortStudy) -> DataFrame:
-    return s.register_profile(ALL).select(*PROFILE_COLUMNS,
+    return records(s.register_profile(ALL)).select(*PROFILE_COLUMNS,
                                           F.to_date("submitted").alias("submitted"))
 
 
@@ -326,12 +328,12 @@ def match_miss(s: CohortStudy) -> DataFrame:
 
 @query
 def register_profile_in_region(s: CohortStudy) -> DataFrame:
-    return s.register_profile(ALL, in_region=True).select(*PROFILE_COLUMNS)
+    return records(s.register_profile(ALL, in_region=True)).select(*PROFILE_COLUMNS)
 
 
 @query
 def register_profile_unfiltered(s: CohortStudy) -> DataFrame:
-    return s.register_profile(ALL, diagnosed_only=False).select(*PROFILE_COLUMNS)
+    return records(s.register_profile(ALL, diagnosed_only=False)).select(*PROFILE_COLUMNS)
 
 
 @query
@@ -357,14 +359,14 @@ MATCH_COLUMNS = (*PROFILE_COLUMNS, "diagnosis_year", "diagnosis_age", "diagnosis
 
 @query
 def match_miss_cohort(s: CohortStudy) -> DataFrame:
-    return register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser") \
+    return records(register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser")) \
         .select(*MATCH_COLUMNS)
 
 
 @query
 def match_miss_known_type(s: CohortStudy) -> DataFrame:
-    return register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser",
-                               known_type_only=True).select(*MATCH_COLUMNS)
+    return records(register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser",
+                                       known_type_only=True)).select(*MATCH_COLUMNS)
 
 
 @query
@@ -417,7 +419,7 @@ def core_admissions(s: CohortStudy) -> DataFrame:
 
 @query
 def disagreement_breakdown(s: CohortStudy) -> DataFrame:
-    return s.disagreement().select(
+    return records(s.disagreement()).select(
         "person_id", "group", "in_site", "site_date", "elsewhere_date", "gender", "age_current",
         "potential_age", "core_gp_count", "core_hospital_count")
 
@@ -450,7 +452,7 @@ def confusion_matrix(s: CohortStudy) -> DataFrame:
 @query
 def frame_equal(s: CohortStudy) -> DataFrame:
     """True negatives derived from either side: size of each and rows that differ."""
-    return compare_frames(*clinic.true_negatives_two_ways(s.flags()))
+    return clinic.compare_true_negatives(s.flags())
 
 
 # description
@@ -470,9 +472,7 @@ def group_tests(s: CohortStudy) -> DataFrame:
 @query
 def matched_ages(s: CohortStudy) -> DataFrame:
     """Ages by register and clinic group, in report order."""
-    ages = ["age_current", "potential_age", "age_onset", "age_diagnosis", "onset_to_diagnosis"]
-    described = describe.describe(s.stage_age_rows(), "group", ages, [], digits=1)
-    return describe.mean_sd_text(describe.with_order(described, "group", STAGE_AGE_GROUPS)) \
+    return describe.mean_sd_text(describe.with_order(s.stage_ages(), "group", STAGE_AGE_GROUPS)) \
         .select("group_order", "group", "variable", "shown")
 
 
