@@ -40,6 +40,10 @@ class StudyConfig:
     # table naming
     namespace: str = ""
     snapshots: Mapping[str, str] = field(default_factory=dict)
+    # read each dataset from its latest snapshot not after this day (YYYYMMDD), unless named above
+    as_of: str = ""
+    # lookups kept as CSV files: dataset and path
+    lookup_files: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def date_min(self) -> date:

@@ -490,6 +490,10 @@ VIEWS["profile_all"] = profile("classified")
 VIEWS["register_in_region"] = """
 SELECT person_id FROM (SELECT DISTINCT person_id, birth_date, gender_cd FROM register_all
   WHERE in_region) GROUP BY person_id HAVING count(*) = 1"""
+VIEWS["register_narrow"] = f"""
+SELECT person_id FROM (SELECT DISTINCT person_id, birth_date, gender_cd FROM register_link
+  WHERE link_status IN {TRUSTED} AND area_code LIKE '{queries.NARROW.region_prefix}%') GROUP BY person_id HAVING count(*) = 1"""
+VIEWS["profile_narrow"] = profile("classified", "register_narrow")
 VIEWS["profile_in_region"] = profile("classified", "register_in_region")
 VIEWS["profile_unfiltered"] = profile("classified", diagnosed=False)
 VIEWS["profile_alive"] = profile("alive")
@@ -520,17 +524,28 @@ FROM (SELECT DISTINCT r.person_id, r.birth_date, r.gender, o.onset_date, o.age_o
       LEFT JOIN answer_onset o ON r.person_id = o.person_id
       LEFT JOIN answer_diag d ON r.person_id = d.person_id)
 GROUP BY person_id HAVING count(*) = 1"""
-VIEWS["looser_cases"] = f"""
+
+
+def cases_by(rule) -> str:
+    return f"""
 SELECT person_id, potential_year, potential_age FROM alive WHERE core_date IS NOT NULL
-  AND (potential_date - first_contact >= {queries.LOOSER.min_gap_days}
-       OR core_count >= {queries.LOOSER.min_events})"""
-VIEWS["looser_matched"] = """
+  AND (potential_date - first_contact >= {rule.min_gap_days} OR core_count >= {rule.min_events})"""
+
+
+def matched_by(cases: str) -> str:
+    return f"""
 SELECT p.*, c.potential_year AS diagnosis_year, c.potential_age AS diagnosis_age,
   CASE WHEN c.potential_age IS NULL THEN 'Missing' ELSE 'Present' END AS diagnosis_age_known,
   'Disease Present and Tested ' || CASE WHEN c.person_id IS NULL THEN 'Negative' ELSE 'Positive' END
     AS sub_group
 FROM profile_alive p
-LEFT JOIN (SELECT DISTINCT * FROM looser_cases) c ON p.person_id = c.person_id"""
+LEFT JOIN (SELECT DISTINCT * FROM {cases}) c ON p.person_id = c.person_id"""
+
+
+VIEWS["looser_cases"] = cases_by(queries.LOOSER)
+VIEWS["looser_matched"] = matched_by("looser_cases")
+VIEWS["stricter_cases"] = cases_by(queries.STRICTER)
+VIEWS["stricter_matched"] = matched_by("stricter_cases")
 
 # clinic list
 
@@ -744,6 +759,9 @@ STEPS = [("algorithm cases in area", "alg_area"),
 RESULTS: dict[str, str] = {
     "scan_coded_events": f"SELECT {EVENT_COLUMNS} FROM gp_event WHERE code IN ({GP_LIST}) "
                          f"AND person_id IS NOT NULL AND event_date BETWEEN {FROM} AND {TO}",
+    "snapshot_events": f"SELECT {EVENT_COLUMNS} FROM gp_event WHERE code IN ({GP_LIST}) "
+                       f"AND person_id IS NOT NULL AND event_date BETWEEN {FROM} AND {TO} "
+                       f"AND event_date <= DATE '1998-12-31'",
     "prefix_codes": f"SELECT {EVENT_COLUMNS} FROM gp_event "
                     f"WHERE (code LIKE '1P%' OR code LIKE '2F%') "
                     f"AND person_id IS NOT NULL AND event_date BETWEEN {FROM} AND {TO}",
@@ -843,9 +861,11 @@ RESULTS: dict[str, str] = {
         f"SELECT '{c}' AS question, {c} AS type, count(*) AS people FROM profile_all GROUP BY 2"
         for c in ("type_now", "type_at_diagnosis")),
     **{name: f"SELECT {PROFILE_COLUMNS}, diagnosis_year, diagnosis_age, diagnosis_age_known, "
-             f"sub_group, 'Looser - ' || sub_group AS all_group FROM looser_matched {where}"
-       for name, where in (("match_miss_cohort", ""),
-                           ("match_miss_known_type", "WHERE type_at_diagnosis <> 'Unknown'"))},
+             f"sub_group, '{rule} - ' || sub_group AS all_group FROM {rule.lower()}_matched {where}"
+       for name, rule, where in (
+           ("match_miss_cohort", "Looser", ""), ("match_miss_stricter", "Stricter", ""),
+           ("match_miss_known_type", "Looser", "WHERE type_at_diagnosis <> 'Unknown'"))},
+    "register_profile_narrow_region": f"SELECT {PROFILE_COLUMNS} FROM profile_narrow",
     "register_group_tests": " UNION ALL ".join(
         [anova("register_grouped", "all_group", c) for c in queries.ACCURACY_AGES]
         + [chi_squared("register_grouped", "all_group", c) for c in queries.ACCURACY_LEVELS]),
@@ -919,6 +939,11 @@ def needed(text: str, found: list[str]) -> None:
                 found.append(name)
 
 
+# the same results by another road: a lookup read from a file, stages read from the catalog
+RESULTS["csv_area_lookup"] = RESULTS["area_lookup"]
+RESULTS["staged_cases"] = RESULTS["case_cohort"]
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, text in RESULTS.items():

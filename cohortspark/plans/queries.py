@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.codes import CORE, GP, CodeSet
+from cohortspark.config import StudyConfig
 from cohortspark.functions.labels import age_bracket
 from cohortspark.functions.rows import count_records, in_set, not_in_set, records, union_ids
 from cohortspark.operators import (
@@ -25,8 +27,9 @@ from cohortspark.operators import (
 )
 from cohortspark.plans.pipeline import ALIVE, ALL, STAGE_AGE_GROUPS, CohortStudy
 from cohortspark.sources import analogs
-from cohortspark.sources.sinks import ROW_BUDGET, within_budget
-from cohortspark.sources.tables import conform, scan_coded_events
+from cohortspark.sources.sinks import ROW_BUDGET, within_budget, write_report
+from cohortspark.sources.stages import StageStore, shared_folder
+from cohortspark.sources.tables import conform, open_tables, scan_coded_events
 
 CFG, CODES = analogs.STUDY, analogs.CODES
 EVENT_COLUMNS = ("person_id", "event_date", "event_year", "code", "value", "sequence")
@@ -75,6 +78,60 @@ def event_count_guard(s: CohortStudy) -> DataFrame:
     return within_budget(scan_coded_events(s.tables["gp_event"], CFG, gp_codes()), ROW_BUDGET)
 
 
+# snapshots of the events on these days; the study looks back from a day between two of them
+SNAPSHOT_DAYS = ("19971231", "19981231", "20001231")
+AS_OF = "19990615"
+
+
+def opened(spark: SparkSession, snapshots: dict[str, DataFrame], cfg: StudyConfig,
+           names: Sequence[str]) -> Mapping[str, DataFrame]:
+    """The named tables as a study opens them, while ``snapshots`` are in the catalog."""
+    for name, df in snapshots.items():
+        df.createOrReplaceTempView(name)
+    try:
+        return open_tables(spark, names, cfg)
+    finally:
+        for name in snapshots:
+            spark.catalog.dropTempView(name)
+
+
+def snapshot_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Coded events from the snapshot that the study's date resolves to."""
+    events_ = study(spark, folder).tables["gp_event"]
+    stored = {f"gp_event_{day}": events_.where(F.col("event_date") <= F.to_date(F.lit(day), "yyyyMMdd"))
+              for day in SNAPSHOT_DAYS}
+    tables = opened(spark, stored, replace(CFG, as_of=AS_OF), ["gp_event"])
+    return scan_coded_events(tables["gp_event"], CFG, gp_codes(), columns=EVENT_COLUMNS)
+
+
+def csv_area_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas with the board from a lookup that was written as a report and read as a CSV file."""
+    s = study(spark, folder)
+    path = f"{stored_files(spark)}/board_lookup_{uuid.uuid4().hex}"
+    write_report(s.tables["board_lookup"], path)
+    cfg = replace(CFG, lookup_files={"board_lookup": path})
+    boards = open_tables(spark, ["board_lookup"], cfg)["board_lookup"]
+    located = s.tables["residence_area"].select("person_id", "area_code").distinct()
+    return residence.with_board(located, s.tables["area_lookup"], boards, CFG)
+
+
+def staged_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The case cohort from stages that are stored by person and read back from the catalog."""
+    run = f"queries-{spark.sparkContext.applicationId}"
+    s = CohortStudy(analogs.study_tables(spark, folder), CFG, CODES, analogs.DEATH_PATTERNS,
+                    stages=StageStore(spark, run, folder=stored_files(spark)))
+    return s.cases(ALL).select(*COHORT_COLUMNS, "reason", "time_to_trigger", "diagnosis_year",
+                               "diagnosis_bracket")
+
+
+def stored_files(spark: SparkSession) -> str:
+    """A folder that all machines share: the cluster's for checkpoints, else its warehouse."""
+    return shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+QUERIES |= {f.__name__: f for f in (snapshot_events, csv_area_lookup, staged_cases)}
+
+
 # identity
 
 @query
@@ -336,6 +393,17 @@ def register_profile_unfiltered(s: CohortStudy) -> DataFrame:
     return records(s.register_profile(ALL, diagnosed_only=False)).select(*PROFILE_COLUMNS)
 
 
+# a region of some of the areas
+NARROW = replace(CFG, region_prefix="A0")
+
+
+@query
+def register_profile_narrow_region(s: CohortStudy) -> DataFrame:
+    members = identity.register_cohort(s.tables["register_link"], NARROW)
+    return records(register.register_profile(s.people(), members, s.answers(), CFG)) \
+        .select(*PROFILE_COLUMNS)
+
+
 @query
 def register_diagnosed(s: CohortStudy) -> DataFrame:
     return s.register_diagnosed().select("person_id", "diagnosis_date", "age_diagnosis")
@@ -363,6 +431,16 @@ def match_miss_cohort(s: CohortStudy) -> DataFrame:
         .select(*MATCH_COLUMNS)
 
 
+# a rule that few meet, so that some of the study's own cases are missed
+STRICTER = replace(CFG, min_events=8, min_gap_days=700)
+
+
+@query
+def match_miss_stricter(s: CohortStudy) -> DataFrame:
+    return records(register.match_miss(s.register_profile(ALIVE), s.other_cases(STRICTER),
+                                       "Stricter")).select(*MATCH_COLUMNS)
+
+
 @query
 def match_miss_known_type(s: CohortStudy) -> DataFrame:
     return records(register.match_miss(s.register_profile(ALIVE), s.other_cases(LOOSER), "Looser",

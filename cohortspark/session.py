@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # a bucket stored as one sorted file is read as sorted
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 

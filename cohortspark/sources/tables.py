@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.config import StudyConfig
+from cohortspark.sources.snapshots import latest_stamp
 
 SCHEMAS: dict[str, str] = {
     "person_source": "person_id long, birth_date date, gender_cd int, link_status int",
@@ -48,6 +49,10 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+# Lookups with one row per key.
+LOOKUP_KEYS = {"board_lookup": "district_code", "provider_unit": "unit"}
+
+
 def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
@@ -73,7 +78,15 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 def open_table(spark: SparkSession, name: str, cfg: StudyConfig,
                snapshot: str | None = None) -> DataFrame:
-    """The chosen snapshot of a dataset, from a path namespace or from the catalog."""
+    """The chosen snapshot of a dataset, from a path namespace or from the catalog.
+
+    The snapshot is the one given, or the one the study names, or the latest
+    by the study's ``as_of``.  Lookups kept as CSV files come from these.
+    """
+    if name in cfg.lookup_files:
+        return read_lookup_csv(spark, cfg.lookup_files[name], SCHEMAS[name], LOOKUP_KEYS.get(name))
+    if cfg.as_of and not (snapshot or name in cfg.snapshots):
+        snapshot = latest_stamp(spark, cfg, name)
     resolved = cfg.table(name, snapshot)
     if "/" in resolved:
         return spark.read.schema(schema_of(name)).parquet(resolved)
@@ -85,9 +98,45 @@ def open_tables(spark: SparkSession, names: Sequence[str],
     return {n: open_table(spark, n, cfg) for n in names}
 
 
-def read_lookup_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small lookup kept as a CSV file with a header."""
-    return spark.read.csv(path, header=True, schema=schema)
+class BadLookup(ValueError):
+    """A lookup file has lines that do not fit its schema, or keys that are not unique."""
+
+
+BAD_LINE = "_bad_line"
+SHOWN_PROBLEMS = 20
+
+
+def lookup_problems(raw: DataFrame, key: str | None = None) -> DataFrame:
+    """``problem, detail`` of a lookup read with ``BAD_LINE``."""
+    whole = F.to_csv(F.struct(*(c for c in raw.columns if c != BAD_LINE)))
+    bad = F.when(F.col(BAD_LINE).isNotNull(), "bad line")
+    if key is not None:
+        bad = bad.when(F.col(key).isNull(), "no key")
+    told = raw.select(bad.alias("problem"), F.coalesce(F.col(BAD_LINE), whole).alias("detail"),
+                      *([F.col(key).cast("string").alias("_key")] if key else []))
+    problems = told.where("problem IS NOT NULL").select("problem", "detail")
+    if key is None:
+        return problems
+    repeated = told.where("problem IS NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    return problems.unionByName(repeated.where("n > 1").select(
+        F.lit("repeated key").alias("problem"), F.col("_key").alias("detail")))
+
+
+def read_lookup_csv(spark: SparkSession, path: str, schema: str,
+                    key: str | None = None) -> DataFrame:
+    """A lookup kept as a CSV file whose header names the columns of the schema.
+
+    Lines with too few or too many values or values of another type, and keys
+    that are missing or not unique, which would multiply the rows of a join,
+    are reported together; nothing is nulled or dropped in silence.
+    """
+    raw = spark.read.csv(path, header=True, schema=f"{schema}, {BAD_LINE} string",
+                         mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE,
+                         enforceSchema=False)
+    found = lookup_problems(raw, key).limit(SHOWN_PROBLEMS).collect()
+    if found:
+        raise BadLookup(f"{path}: " + "; ".join(f"{r.problem}: {r.detail}" for r in found))
+    return raw.drop(BAD_LINE)
 
 
 def in_study(date_column: str, cfg: StudyConfig) -> Column:
