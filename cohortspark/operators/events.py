@@ -73,14 +73,24 @@ def inpatient_events(spells: DataFrame, episodes: DataFrame, diagnoses: DataFram
 
 def outpatient_events(visits: DataFrame, diagnoses: DataFrame, codeset: CodeSet,
                       cfg: StudyConfig) -> DataFrame:
-    """Tagged outpatient events, dated by attendance; a person may repeat an event."""
+    """Tagged outpatient events, dated by attendance; a person may repeat an event.
+
+    Visits and wanted diagnoses meet on the hash of their five keys first, and
+    the wanted diagnoses are no more than a filter over their scan.  So, where
+    they are too many to broadcast, Spark builds a Bloom filter of whole visits
+    from them and applies it at the scan of the visits, and only visits that
+    have a wanted diagnosis are shuffled.
+    """
+    visit = F.xxhash64(*OUTPATIENT_KEYS).alias("_visit")
     coded = diagnoses.where(in_study("attended_date", cfg)).withColumn(
         "code", F.concat("stem", F.coalesce("fourth", F.lit(""))))
-    tagged = tag(coded, codeset, OUTPATIENT, OUTPATIENT_KEYS).distinct()
-    people = visits.where(F.col("person_id").isNotNull()).select(*OUTPATIENT_KEYS, "person_id")
-    return people.join(tagged, list(OUTPATIENT_KEYS), "inner") \
-        .select("person_id", F.col("attended_date").alias("event_date"),
-                F.lit(HOSPITAL_SOURCE).alias("source"), "concept", "code")
+    wanted = coded.where(codeset.condition(OUTPATIENT)) \
+        .select(visit, *OUTPATIENT_KEYS, "stem", "code")
+    people = visits.where(F.col("person_id").isNotNull()) \
+        .select(visit, *OUTPATIENT_KEYS, "person_id")
+    met = people.join(wanted, ["_visit", *OUTPATIENT_KEYS], "inner")
+    return tag(met, codeset, OUTPATIENT, ["person_id", F.col("attended_date").alias("event_date")]) \
+        .withColumn("source", F.lit(HOSPITAL_SOURCE)).select(*EVENT_COLUMNS)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

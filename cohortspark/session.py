@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # filters are built from code lists over tables whose size Spark can only guess from above
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
     "spark.sql.files.maxPartitionBytes": "128m",
     # a bucket stored as one sorted file is read as sorted
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",

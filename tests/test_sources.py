@@ -5,8 +5,9 @@ import re
 import pytest
 
 from cohortspark.config import StudyConfig
+from cohortspark.operators.events import outpatient_events
 from cohortspark.plans.pipeline import ALIVE, CohortStudy
-from cohortspark.plans.queries import study
+from cohortspark.plans.queries import QUERIES, study
 from cohortspark.sources import snapshots, stages, tables
 from tests.clinical import d, frames, study_rows
 
@@ -136,3 +137,39 @@ def test_lookup_with_another_header_or_type(spark, tmp_path):
         tables.read_lookup_csv(spark, path, tables.SCHEMAS["area_lookup"])
     (tmp_path / "areas.csv").write_text("area_code,district_code,is_latest\nW1,D1,1\nW1,D0,0\n")
     assert tables.read_lookup_csv(spark, path, tables.SCHEMAS["area_lookup"]).count() == 2
+
+
+def test_visits_are_filtered_before_their_shuffle(spark, tmp_path, plain_joins):
+    """A Bloom filter of the wanted diagnoses stands at the scan of the visits."""
+    s = study(spark, SMALL)
+    for name in ("outpatient", "outpatient_diagnosis"):
+        s.tables[name].write.parquet(f"{tmp_path}/{name}")
+    visits, diagnoses = (spark.read.parquet(f"{tmp_path}/{n}")
+                         for n in ("outpatient", "outpatient_diagnosis"))
+    small = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    spark.conf.set(small, "0")
+    try:
+        found = outpatient_events(visits, diagnoses, s.codeset, s.cfg)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(small)
+    tested = [line for line in text.splitlines() if "might_contain" in line]
+    assert len(tested) == 1 and "isnotnull(person_id" in tested[0]  # at the visits, not the codes
+    assert re.search(r"bloom_filter_agg\(xxhash64\(_visit", text)
+    want = outpatient_events(s.tables["outpatient"], s.tables["outpatient_diagnosis"], s.codeset,
+                             s.cfg)
+    assert sorted(map(tuple, found.distinct().collect()), key=str) == sorted(
+        map(tuple, want.distinct().collect()), key=str)
+
+
+def test_region_and_rule_change_the_result(spark):
+    """Neighbouring queries differ, so their SQL would notice a rule that is ignored."""
+    folder = "/root/testdata/sf0.01"
+    regions = {QUERIES[n](spark, folder).count() for n in (
+        "register_profile", "register_profile_narrow_region", "register_profile_unfiltered")}
+    assert len(regions) == 3
+    found = {QUERIES[n](spark, folder).where("sub_group LIKE '%Positive'").count()
+             for n in ("match_miss", "match_miss_stricter")}
+    assert len(found) == 2
+    assert 0 < QUERIES["snapshot_events"](spark, folder).count() < \
+        QUERIES["scan_coded_events"](spark, folder).count()
