@@ -2,24 +2,30 @@
 
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a
 word is the sum over all ways to segment it into pieces, computed by the forward algorithm; a
-text's score for a language is the sum of its words' log-probabilities. Piece probabilities are
-learned by expectation-maximisation: forward-backward gives each piece's expected count in the
-training words, starting from equal probabilities for all pieces.
+text's score for a language is the sum of its words' log-probabilities. A character that is no
+piece of its own counts as the vocabulary's byte pieces of its UTF-8 form. Piece probabilities
+are learned by expectation-maximisation: forward-backward gives each piece's expected count in
+the training words, starting from equal probabilities for all pieces, until a round raises no
+language's likelihood by more than ``TOLERANCE`` of itself.
 
 The model is fitted on at most about ``train_rows`` labelled rows a language (all rows where
 there are fewer; chosen by a hash of the key), a documented bound; their words are counted in
 Spark, and each round is one job over the counted words whose result has at most pieces x
 languages rows. Prediction reads every whole text in one pass without a shuffle; words are
-scored once per worker and remembered in a bounded table.
-
-Words are runs of letters in lower case, cut every ``STRETCH`` letters. Null text and text
-without a letter get ``und`` and score 0. The score is the posterior of the predicted language,
-all languages being equally likely before; ties go to the first label in order. Rows are
-predicted one by one; only the text is looked at. If no row has a label, every text is ``und``.
+scored once per worker and remembered in a bounded table, which all tasks of a worker share.
+
+Words are runs of letters in lower case, of any length: forward sums are rescaled where they
+get small, and only the last few are held. A very long word costs some 20 microseconds a letter.
+Null text and text without a letter get ``und`` and score 0. The score is the posterior of the
+predicted language, all languages being equally likely before; ties go to the first label in
+order. Rows are predicted one by one, repeated ones too; only the text is looked at, and other
+columns are not read, so their names cannot clash. If no row has a label, every text is ``und``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -35,10 +41,9 @@ from cohortspark.llm.word_tokens import byte_slices
 
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000
-ROUNDS = 2
-STRETCH = 32
+TOLERANCE = 1e-3  # of the log-likelihood, by which a last round may still raise it
 SMOOTHING = 0.05
-UNKNOWN_CHAR = 1e-6  # probability of a character that is no piece
+SMALL = 1e-120  # forward and backward sums below are rescaled
 REMEMBERED = 500_000
 LONGEST_REMEMBERED = 40
 SLICE_BYTES = 2_000_000
@@ -50,13 +55,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(chunk: bytes) -> list[str]:
-    """The words of a run of letter-like bytes, cut into stretches."""
-    found = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
-    return [w[i:i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
+    """The words of a run of letter-like bytes."""
+    return LETTERS.findall(chunk.decode("utf-8", "replace").lower())
 
 
 class PieceLattice:
-    """All segmentations of words into pieces, many words at a time."""
+    """All segmentations of words into pieces, many words at a time.
+
+    Pieces are numbered in order, then the 256 byte pieces. Rows of probabilities ``p`` follow
+    these numbers; the last row, of no piece, is zeros.
+    """
 
     _shared: dict[str, PieceLattice] = {}
 
@@ -64,11 +72,23 @@ class PieceLattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = sorted({model.id_to_piece(i) for i in range(model.vocab_size())
                          if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
-        self.size = len(pieces)
+        self.first_byte = len(pieces)
+        self.size = len(pieces) + 256
         self.longest = max(map(len, pieces))
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        # every start of a piece by its hash: the piece that it is itself, and whether one goes on
+        starts: dict[int, int] = {}
+        goes_on = set()
+        for i, piece in enumerate(pieces):
+            h = 0
+            for k, c in enumerate(piece):
+                h = (h * int(BASE) + ord(c) + 1) % 2**64
+                if k < len(piece) - 1:
+                    starts.setdefault(h, -1)
+                    goes_on.add(h)
+            starts[h] = i
+        self.hashes = np.array(sorted(starts), np.uint64)
+        self.piece = np.array([starts[h] for h in sorted(starts)])
+        self.goes_on = np.array([h in goes_on for h in sorted(starts)])
 
     @classmethod
     def shared(cls, path: str) -> PieceLattice:
@@ -76,69 +96,120 @@ class PieceLattice:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(BASE) + ord(c) + 1) % 2**64
-        return h
+    def spans(self, words: list[str]) -> Iterator[list[tuple]]:
+        """For each position of words of one length, what may start there in some of them.
 
-    def spans(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """(start, end, piece of each word or ``size``) of words of one length."""
+        (end, rows, pieces, None), or (end, rows, None, characters) of those that are no piece.
+        """
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, n)
-        codes = codes.astype(np.uint64) + np.uint64(1)
-        found = []
         for i in range(n):
-            h = np.zeros(len(words), np.uint64)
+            found = []
+            live, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
             for k in range(i, min(n, i + self.longest)):
-                h = h * BASE + codes[:, k]
-                at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
-                found.append((i, k + 1, np.where(self.hashes[at] == h, self.order[at], self.size)))
-        return found
-
-    def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list]]:
-        """Groups of words of one length (with the start mark): places, length and spans."""
+                h = h * BASE + codes[live, k].astype(np.uint64) + np.uint64(1)
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[at] == h
+                whole = known & (self.piece[at] >= 0)
+                if whole.any():
+                    found.append((k + 1, live[whole], self.piece[at[whole]], None))
+                if k == i and not whole.all():
+                    found.append((k + 1, live[~whole], None, codes[live[~whole], k]))
+                onward = known & self.goes_on[at]
+                live, h = live[onward], h[onward]
+                if not len(live):
+                    break
+            yield found
+
+    def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Groups of words of one length: places, and the words with the start mark."""
         groups: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            groups[len(w) + 1].append(i)
-        for n, places in groups.items():
+            groups[len(w)].append(i)
+        for places in groups.values():
             for at in range(0, len(places), WORDS_AT_ONCE):
                 part = places[at:at + WORDS_AT_ONCE]
-                yield np.array(part), n, self.spans([START + words[i] for i in part])
+                yield np.array(part), [START + words[i] for i in part]
+
+    def byte_pieces(self, chars: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        """Byte pieces of each distinct character, and which of them each character is."""
+        distinct, which = np.unique(chars, return_inverse=True)
+        return [[self.first_byte + b for b in chr(c).encode("utf-8", "surrogatepass")]
+                for c in distinct.tolist()], which
+
+    def weight(self, pieces: np.ndarray | None, chars: np.ndarray | None,
+               p: np.ndarray) -> np.ndarray:
+        """Probability of each span, a column a language."""
+        if chars is None:
+            return p[pieces]
+        spelled, which = self.byte_pieces(chars)
+        return np.array([p[b].prod(axis=0) for b in spelled])[which]
 
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """Words x languages; ``p`` is (pieces + 1) x languages, the last row zeros."""
+        """Words x languages."""
         out = np.zeros((len(words), p.shape[1]))
-        for places, n, spans in self.by_length(words):
-            ways = self._forward(n, spans, p, len(places))
-            out[places] = np.log(ways[n])
+        for places, marked in self.by_length(words):
+            shape = (len(places), p.shape[1])
+            # sums of the positions from i on, in a ring; each in the same scale
+            ring = [np.zeros(shape) for _ in range(self.longest + 1)]
+            ring[0][:] = 1.0
+            scale = np.zeros(shape)
+            for i, found in enumerate(self.spans(marked)):
+                here = ring[i % len(ring)]
+                if here.min() < SMALL:
+                    by = here.copy()
+                    for sums in ring:
+                        sums /= by
+                    scale += np.log(by)
+                for j, rows, pieces, chars in found:
+                    ring[j % len(ring)][rows] += here[rows] * self.weight(pieces, chars, p)
+                here[:] = 0.0  # becomes the position behind the ring's last
+            out[places] = np.log(ring[len(marked[0]) % len(ring)]) + scale
         return out
 
-    def _forward(self, n: int, spans: list, p: np.ndarray, count: int) -> list[np.ndarray]:
-        ways = [np.ones((count, p.shape[1]))] + [np.zeros((count, p.shape[1])) for _ in range(n)]
-        for i, j, piece in spans:
-            ways[j] += ways[i] * self._weight(i, j, piece, p)
-        return ways
-
-    def _weight(self, i: int, j: int, piece: np.ndarray, p: np.ndarray) -> np.ndarray:
-        weight = p[piece]
-        if j == i + 1:
-            weight = np.where((piece == self.size)[:, None], UNKNOWN_CHAR, weight)
-        return weight
-
     def expected_counts(self, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in ``words``, each seen ``times``; ``p`` has one column."""
+        """Expected number of each piece in ``words``, each seen ``times``; ``p`` has one column.
+
+        The last entry is the words' log-likelihood.
+        """
         total = np.zeros(self.size + 1)
-        for places, n, spans in self.by_length(words):
-            ways = self._forward(n, spans, p, len(places))
-            rest = [np.zeros((len(places), 1)) for _ in range(n)] + [np.ones((len(places), 1))]
-            for i, j, piece in reversed(spans):
-                rest[i] += rest[j] * self._weight(i, j, piece, p)
-            for i, j, piece in spans:
-                share = ways[i] * p[piece] * rest[j] / ways[n]
-                total += np.bincount(piece, share[:, 0] * times[places], self.size + 1)
-        return total[:-1]
+        for places, marked in self.by_length(words):
+            n, count = len(marked[0]), len(places)
+            spans = list(self.spans(marked))
+            ways = [np.zeros((count, 1)) for _ in range(n + 1)]
+            ways[0][:] = 1.0
+            scale = [np.zeros((count, 1))]
+            for i in range(n):
+                if ways[i].min() < SMALL:
+                    by = ways[i].copy()
+                    for j in range(i, min(n, i + self.longest) + 1):
+                        ways[j] /= by
+                    scale[i] = scale[i] + np.log(by)
+                for j, rows, pieces, chars in spans[i]:
+                    ways[j][rows] += ways[i][rows] * self.weight(pieces, chars, p)
+                scale.append(scale[i])
+            whole = np.log(ways[n]) + scale[n]
+            total[self.size] += float((whole[:, 0] * times[places]).sum())
+            rest = [np.zeros((count, 1)) for _ in range(n)] + [np.ones((count, 1))]
+            back = np.zeros((count, 1))
+            for i in range(n - 1, -1, -1):
+                inside = ways[i] * np.exp(scale[i] + back - whole) * times[places][:, None]
+                for j, rows, pieces, chars in spans[i]:
+                    onward = self.weight(pieces, chars, p) * rest[j][rows]
+                    rest[i][rows] += onward
+                    share = (inside[rows] * onward)[:, 0]
+                    if chars is None:
+                        total += np.bincount(pieces, share, self.size + 1)
+                    else:
+                        spelled, which = self.byte_pieces(chars)
+                        for b, x in zip(spelled, np.bincount(which, share), strict=True):
+                            np.add.at(total, b, x)
+                if rest[i].min() < SMALL:
+                    by = rest[i].copy()
+                    for j in range(i, min(n, i + self.longest) + 1):
+                        rest[j] /= by
+                    back = back + np.log(by)
+        return total
 
 
 def is_training(key: Column) -> Column:
@@ -178,7 +249,8 @@ def training_words(docs: DataFrame, text: str, key: str, lang: str, train_rows:
     return counted.groupBy("label", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(words: DataFrame, pieces: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def fit(words: DataFrame, pieces: str,
+        tolerance: float = TOLERANCE) -> tuple[list[str], np.ndarray]:
     """Labels in order and the (pieces + 1) x labels probabilities, the last row zeros."""
     labels = [r.label for r in words.select("label").distinct().orderBy("label").collect()]
     size = PieceLattice.shared(pieces).size
@@ -186,7 +258,8 @@ def fit(words: DataFrame, pieces: str, rounds: int = ROUNDS) -> tuple[list[str],
     p = np.full((size + 1, len(labels)), 1.0 / size)
     p[size] = 0.0
     context = words.sparkSession.sparkContext
-    for _ in range(rounds if labels else 0):
+    likelihood = np.full(len(labels), -np.inf)
+    while labels:
         sent = context.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -208,15 +281,29 @@ def fit(words: DataFrame, pieces: str, rounds: int = ROUNDS) -> tuple[list[str],
 
         got = (words.mapInArrow(expect, "label int, piece int, n double")
                .groupBy("label", "piece").agg(F.sum("n").alias("n")).toArrow())
-        counts = np.zeros((size, len(labels)))
+        counts = np.zeros((size + 1, len(labels)))
         counts[got["piece"].to_numpy(), got["label"].to_numpy()] = got["n"].to_numpy()
-        p[:size] = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * size)
+        before, likelihood = likelihood, counts[size]
+        if (likelihood - before <= tolerance * np.abs(likelihood)).all():
+            break
+        p = p.copy()
+        p[:size] = (counts[:size] + SMOOTHING) / (counts[:size].sum(axis=0) + SMOOTHING * size)
     return labels, p
 
 
 class WordScores:
     """Remembered log-probabilities of chunks, one row of a growing array each."""
 
+    _shared: dict[tuple[str, bytes], WordScores] = {}
+
+    @classmethod
+    def shared(cls, pieces: str, p: np.ndarray) -> WordScores:
+        """The worker's memory for one model; another model's is given up."""
+        key = pieces, hashlib.sha256(p.tobytes()).digest()
+        if key not in cls._shared:
+            cls._shared = {key: cls(PieceLattice.shared(pieces), p)}
+        return cls._shared[key]
+
     def __init__(self, lattice: PieceLattice, p: np.ndarray) -> None:
         self.lattice, self.p = lattice, p
         self.clear()
@@ -263,7 +350,7 @@ def predict(docs: DataFrame, labels: list[str], p: np.ndarray, pieces: str, text
     sent = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(PieceLattice.shared(pieces), sent.value)
+        scores = WordScores.shared(pieces, sent.value)
         for batch in batches:
             for first, texts in byte_slices(batch.column(2), SLICE_BYTES):
                 part = batch.slice(first, len(texts))

@@ -316,23 +316,90 @@ def test_language_needs_letters(spark):
         assert (r.lang_pred == "und") == (rows[r.doc_id][1] != "wort")
 
 
+def vocabulary():
+    """Pieces of the fixed vocabulary by text; byte pieces by their byte."""
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    ids = range(model.vocab_size())
+    plain = sorted({model.id_to_piece(i) for i in ids
+                    if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
+    return {w: i for i, w in enumerate(plain)}, len(plain)
+
+
+def segmentations(word, known, first_byte):
+    """Piece numbers of every way to segment a word, one by one."""
+    if not word:
+        yield []
+    for j in range(1, len(word) + 1):
+        head = [known[word[:j]]] if word[:j] in known else (
+            [first_byte + b for b in word[0].encode()] if j == 1 else None)
+        if head is not None:
+            yield from (head + rest for rest in segmentations(word[j:], known, first_byte))
+
+
 def test_lattice_sums_all_segmentations():
     lattice = language_id.PieceLattice(tokenizer_path("piece_bpe_32k.model"))
-    p = np.random.default_rng(0).random((lattice.size + 1, 1)) / lattice.size
+    known, first_byte = vocabulary()
+    assert (lattice.size, lattice.first_byte) == (first_byte + 256, first_byte)
+    p = np.random.default_rng(0).random((lattice.size + 1, 2)) / lattice.size
     p[-1] = 0
-
-    def total(word: str) -> float:
-        piece = {w: int(lattice.spans([w])[len(w) - 1][2][0]) for i in range(len(word))
-                 for w in [word[i:j] for j in range(i + 1, len(word) + 1)] if len(w) <= lattice.longest}
-        ways = [1.0]
-        for j in range(1, len(word) + 1):
-            ways.append(sum(ways[i] * (language_id.UNKNOWN_CHAR if piece[word[i:j]] == lattice.size
-                                       and j == i + 1 else p[piece[word[i:j]], 0])
-                            for i in range(j) if word[i:j] in piece))
-        return np.log(ways[-1])
-
-    for word in ("house", "über", "日x", "a"):
-        assert np.isclose(lattice.log_probabilities([word], p)[0, 0], total("▁" + word))
+    words = ["the", "einschließlich", "x", "ab", "日本", "ສະບາຍ", "aᚠb"]
+    got = lattice.log_probabilities(words, p)
+    counts = lattice.expected_counts(words, np.arange(1.0, 8.0), p[:, :1])
+    want, likelihood = np.zeros(lattice.size), 0.0
+    for i, word in enumerate(words):
+        ways = list(segmentations("▁" + word, known, first_byte))
+        share = np.array([[p[w, k].prod() for w in ways] for k in (0, 1)])
+        assert np.allclose(got[i], np.log(share.sum(axis=1)))
+        likelihood += (i + 1) * got[i, 0]
+        for w, x in zip(ways, share[0] / share[0].sum(), strict=True):
+            np.add.at(want, w, (i + 1) * x)
+    assert np.allclose(counts[:-1], want) and np.isclose(counts[-1], likelihood)
+
+
+def test_long_words_are_not_cut():
+    """A word of thousands of letters has the product of its parts where no piece joins them."""
+    lattice = language_id.PieceLattice(tokenizer_path("piece_bpe_32k.model"))
+    known, first_byte = vocabulary()
+    p = np.full((lattice.size + 1, 1), 1.0 / lattice.size)
+    p[-1] = 0
+    rune = "ᚠ"  # no piece, and no piece holds it
+    assert not any(rune in w for w in known)
+    each = np.log(p[0, 0]) * 3
+    start = lattice.log_probabilities([rune], p)[0, 0] - each
+    got = lattice.log_probabilities([rune * 3000], p)[0, 0]
+    assert np.isclose(got, start + 3000 * each)
+    counts = lattice.expected_counts([rune * 3000], np.array([2.0]), p)
+    assert np.allclose(counts[[first_byte + b for b in rune.encode()]], 6000)
+    mixed = "straße" * 400
+    joined = lattice.log_probabilities([mixed, mixed + "x"], p)[:, 0]
+    assert np.isfinite(joined).all() and joined[1] < joined[0]
+
+
+def test_fit_raises_the_likelihood_until_it_settles(spark):
+    words = spark.createDataFrame([("de", "einschließlich", 5), ("de", "ein", 9), ("de", "ᚠ", 1),
+                                   ("en", "the", 7), ("en", "then", 3)],
+                                  "label string, word string, n long").repartition(2)
+    path = tokenizer_path("piece_bpe_32k.model")
+    lattice = language_id.PieceLattice.shared(path)
+    rows = words.collect()
+    labels, p = language_id.fit(words, path, 1e-4)
+    assert labels == ["de", "en"] and np.allclose(p.sum(axis=0), 1)
+    for k, label in enumerate(labels):
+        own = [r for r in rows if r.label == label]
+        q, before = np.full((lattice.size + 1, 1), 1.0 / lattice.size), -np.inf
+        q[-1] = 0
+        for _ in range(100):
+            counts = lattice.expected_counts([r.word for r in own],
+                                             np.array([float(r.n) for r in own]), q)
+            if np.allclose(q, p[:, [k]], rtol=1e-9):
+                break
+            assert counts[-1] > before
+            before = counts[-1]
+            q[:-1, 0] = (counts[:-1] + language_id.SMOOTHING) / (
+                counts[:-1].sum() + language_id.SMOOTHING * lattice.size)
+        else:
+            raise AssertionError("the fit is no round of the plain iteration")
 
 
 def test_packing_is_whole(spark):
