@@ -175,7 +175,9 @@ class PieceLattice:
         total = np.zeros(self.size + 1)
         for places, marked in self.by_length(words):
             n, count = len(marked[0]), len(places)
-            spans = list(self.spans(marked))
+            met, shares = [], []
+            spans = [[(j, rows, pieces, chars, self.weight(pieces, chars, p))
+                      for j, rows, pieces, chars in found] for found in self.spans(marked)]
             ways = [np.zeros((count, 1)) for _ in range(n + 1)]
             ways[0][:] = 1.0
             scale = [np.zeros((count, 1))]
@@ -185,8 +187,8 @@ class PieceLattice:
                     for j in range(i, min(n, i + self.longest) + 1):
                         ways[j] /= by
                     scale[i] = scale[i] + np.log(by)
-                for j, rows, pieces, chars in spans[i]:
-                    ways[j][rows] += ways[i][rows] * self.weight(pieces, chars, p)
+                for j, rows, _, _, weight in spans[i]:
+                    ways[j][rows] += ways[i][rows] * weight
                 scale.append(scale[i])
             whole = np.log(ways[n]) + scale[n]
             total[self.size] += float((whole[:, 0] * times[places]).sum())
@@ -194,12 +196,13 @@ class PieceLattice:
             back = np.zeros((count, 1))
             for i in range(n - 1, -1, -1):
                 inside = ways[i] * np.exp(scale[i] + back - whole) * times[places][:, None]
-                for j, rows, pieces, chars in spans[i]:
-                    onward = self.weight(pieces, chars, p) * rest[j][rows]
+                for j, rows, pieces, chars, weight in spans[i]:
+                    onward = weight * rest[j][rows]
                     rest[i][rows] += onward
                     share = (inside[rows] * onward)[:, 0]
                     if chars is None:
-                        total += np.bincount(pieces, share, self.size + 1)
+                        met.append(pieces)
+                        shares.append(share)
                     else:
                         spelled, which = self.byte_pieces(chars)
                         for b, x in zip(spelled, np.bincount(which, share), strict=True):
@@ -209,6 +212,8 @@ class PieceLattice:
                     for j in range(i, min(n, i + self.longest) + 1):
                         rest[j] /= by
                     back = back + np.log(by)
+            total += np.bincount(np.concatenate([*met, np.zeros(0, np.int64)]),
+                                 np.concatenate([*shares, np.zeros(0)]), self.size + 1)
         return total
 
 
@@ -264,14 +269,21 @@ def fit(words: DataFrame, pieces: str,
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice, total = PieceLattice.shared(pieces), {}
+            held: dict[str, list[tuple[str, int]]] = defaultdict(list)
+
+            def take(k: str) -> None:
+                words, times = zip(*held.pop(k), strict=True)
+                got = lattice.expected_counts(list(words), np.array(times, float),
+                                              sent.value[:, [place[k]]])
+                total[k] = total.get(k, 0.0) + got
+
             for batch in batches:
-                label, word, n = (c.to_pylist() for c in batch.columns)
-                for k in set(label):
-                    rows = [i for i, x in enumerate(label) if x == k]
-                    got = lattice.expected_counts([word[i] for i in rows],
-                                                  np.array([n[i] for i in rows], float),
-                                                  sent.value[:, [place[k]]])
-                    total[k] = total.get(k, 0.0) + got
+                for label, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held[label].append((word, n))
+                for k in [k for k, found in held.items() if len(found) >= WORDS_AT_ONCE]:
+                    take(k)
+            for k in list(held):
+                take(k)
             for k, counts in total.items():
                 piece = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
