@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,14 @@ _own: dict[str, str] = {}  # folders made here, by application
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where none is set (tests)."""
+    """The cluster's checkpoint folder.
+
+    Where none is set, a folder of this machine is made, if all of Spark runs on it (as in tests).
+    """
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {SETTING}, a folder that all machines share")
         run = spark.sparkContext.applicationId
         if run not in _own:
             _own[run] = "file://" + tempfile.mkdtemp(prefix="llm-")

@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, repeats, empty tables and clashing column names."""
 
+from types import SimpleNamespace
+
 import pytest
 
 import corpus_pipeline
@@ -12,6 +14,7 @@ from cohortspark.llm import (
     phrase_dedup,
     pii,
     quality,
+    scratch,
     shingle_join,
     url_filter,
 )
@@ -95,3 +98,16 @@ def test_exact_stage_leaves_one_row_a_text(spark, edge):
 
 def test_all_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize(("master", "alone"), [("local", True), ("local[4]", True), ("yarn", False),
+                                               ("local-cluster[2,1,1024]", False)])
+def test_no_local_folder_on_a_cluster(master, alone):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default),
+        sparkContext=SimpleNamespace(master=master, applicationId=f"test-{master}"))
+    if alone:
+        assert scratch.shared_folder(session).startswith("file:///")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(session)
