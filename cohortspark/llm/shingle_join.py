@@ -12,12 +12,14 @@ never forms all pairs of a group:
   of a link, members a and b of stars A and B can only link if
   d(A, B) <= d(A, a) + t + d(b, B).
 * Inverted lists: prefix filtering over a global order of shingles (frequent ones last) gives
-  lists of stars. From the first common shingle of a link on, both sets hold t / (1 + t) of
+  lists of stars. The order comes from counts of all shingles of all rows in ``CELLS`` cells by
+  hash: a shingle's cell is never counted lower than the shingle itself, so a passage that
+  many texts share comes after what is a text's own, and texts that only share it do not meet. From the first common shingle of a link on, both sets hold t / (1 + t) of
   both sizes; so a size and a position reach up to one largest size of a partner. A list is
   kept in blocks of equal size and reach, and only blocks that reach each other are paired:
   skipped entries cost nothing. Entries that do not reach their own size (beyond the index
-  prefix) meet smaller sets only. Lists of frequent shingles are planned from their counts per
-  size and reach, cut into parts of ``PART`` entries, and joined part by part in many tasks;
+  prefix) meet smaller sets only. Lists that may be longer than ``PART``, by the count of their
+  cell, are planned from their counts per size and reach, cut into parts of ``PART`` entries, and joined part by part in many tasks;
   parts that reach no other part are left out before the join.
 * Of two linking sets, all but a few of the prefix shingles that come first in the order are
   common. The other lists verify this: pairs that meet on too few lists are dropped.
@@ -29,8 +31,8 @@ Every comparison is exact on whole sets, so no link between different texts is l
 members of one star are not compared with each other, as they are connected already.
 Components are found by label propagation over the links in Spark.
 
-Shingle frequencies come from Misra-Gries summaries over all texts, merged to the ``FREQUENT``
-most frequent shingles (a broadcast of at most 8 bytes each); they only decide the order.
+The order of shingles is a broadcast of ``CELLS`` bytes, whatever the input. It decides how much
+work the lists save and never what links.
 
 Null or empty text, or text without words, has an empty set, links with nothing and is its own
 component. Rows sharing a key are one document and its links are those of any of them. Rows
@@ -40,6 +42,7 @@ with a null key take the component of an equal set that has a key, or null.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +56,9 @@ from cohortspark.llm.words import Words, mixed, spaced, word_slices
 
 WIDTH = 4
 PERCENT = 85
-FREQUENT = 1 << 16
-SUMMARY = 1 << 15
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS
+BLOCK = 1 << 16  # cells a row of counts
 SKETCH = 64
 KEYS = 4
 SHARE = 10_000
@@ -110,23 +114,37 @@ def text_sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarr
         yield row, [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-class Summary:
-    """Misra-Gries counts of shingles of one task."""
+class CellCounts:
+    """How many sets of one task hold a shingle of each cell (with repeats of a cell)."""
 
-    def __init__(self, size: int = SUMMARY) -> None:
-        self.size = size
-        self.items, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self) -> None:
+        self.counts = np.zeros(CELLS, np.int64)
+        self.waiting: list[np.ndarray] = []
 
     def add(self, sets: list[np.ndarray]) -> None:
-        if not sets:
-            return
-        items, place = np.unique(np.concatenate([self.items, *sets]), return_inverse=True)
-        weights = np.ones(len(place), np.int64)
-        weights[:len(self.times)] = self.times
-        times = np.bincount(place, weights, len(items)).astype(np.int64)
-        if len(items) > self.size:
-            times -= np.partition(times, -self.size - 1)[-self.size - 1]
-        self.items, self.times = items[times > 0], times[times > 0]
+        self.waiting += [cells_of(s) for s in sets]
+        if sum(map(len, self.waiting)) > CELLS:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=CELLS)
+            self.waiting = []
+
+    def blocks(self) -> list[tuple[int, bytes]]:
+        """Compressed counts of blocks of cells, those without counts left out."""
+        self.settle()
+        parts = self.counts.reshape(-1, BLOCK)
+        return [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(parts) if x.any()]
+
+
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Eighths of a binary order of magnitude, in a byte; 0 for counts up to 1."""
+    return np.ceil(8 * np.log2(np.clip(counts, 1, 1 << 31))).astype(np.uint8)
 
 
 def sketch(s: np.ndarray) -> tuple[list[int], bytes]:
@@ -144,40 +162,54 @@ def sketch(s: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def describe(docs: DataFrame, rule: Rule, text: str, key: str) -> DataFrame:
-    """Per row: doc_key, n, digest, keys, sketch. Also rows of a shingle and its times."""
+    """Per row: doc_key, n, digest, keys, sketch. Also rows of a block and its cells' counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Summary()
+        cells = CellCounts()
         for batch in batches:
             for row, sets in text_sets(batch.column(1), rule.width):
-                summary.add(sets)
+                cells.add(sets)
                 marks = [sketch(s) for s in sets]
                 yield rows(batch.column(0).slice(row, len(sets)), [len(s) for s in sets],
                            [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
                            [m[0] for m in marks], [m[1] for m in marks])
-        yield rows(pa.nulls(len(summary.items), pa.int64()), None, None, None, None,
-                   summary.items.view(np.int64), summary.times)
+        counted = cells.blocks()
+        yield rows(pa.nulls(len(counted), pa.int64()), None, None, None, None,
+                   [b for b, _ in counted], [c for _, c in counted])
 
-    def rows(keys, n, digest, grouping, sketches, item=None, times=None) -> pa.RecordBatch:
+    def rows(keys, n, digest, grouping, sketches, block=None, counts=None) -> pa.RecordBatch:
         size = len(keys)
         column = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x, kind)
         return pa.RecordBatch.from_arrays(
             [keys, column(n, pa.int64()), column(digest, pa.binary()),
              column(grouping, pa.list_(pa.int64())), column(sketches, pa.binary()),
-             column(item, pa.int64()), column(times, pa.int64())],
-            names=["doc_key", "n", "digest", "keys", "sketch", "item", "times"])
+             column(block, pa.int32()), column(counts, pa.binary())],
+            names=["doc_key", "n", "digest", "keys", "sketch", "block", "counts"])
 
     wanted = docs.select(F.col(key).cast("long").alias("doc_key"),
                          F.coalesce(F.col(text), F.lit("")).alias("t"))
     return wanted.mapInArrow(run, "doc_key long, n long, digest binary, keys array<long>, "
-                                  "sketch binary, item long, times long")
+                                  "sketch binary, block int, counts binary")
 
 
-def frequent_shingles(described: DataFrame, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, rarest first; at most ``FREQUENT``. And those of long lists."""
-    found = (described.where("item IS NOT NULL").groupBy("item").agg(F.sum("times").alias("n"))
-             .where("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT).toArrow())
-    item = found["item"].to_numpy()
-    return item[::-1].view(np.uint64).copy(), item[found["n"].to_numpy() > part]
+def cell_levels(described: DataFrame) -> np.ndarray:
+    """The ``level`` of each cell's count over all rows: ``CELLS`` bytes, whatever the input."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                total[block] = total[block] + more if block in total else more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()),
+             pa.array([level(c).tobytes() for c in total.values()], pa.binary())],
+            names=["block", "levels"])
+
+    found = described.where("block IS NOT NULL").select("block", "counts").repartition(
+        "block").mapInArrow(run, "block int, levels binary").toArrow()
+    levels = np.zeros(CELLS, np.uint8)
+    for block, part in zip(found["block"].to_pylist(), found["levels"].to_pylist(), strict=True):
+        levels[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(part, np.uint8)
+    return levels
 
 
 # comparing sets
@@ -265,51 +297,47 @@ def stars(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 # inverted lists
 
-def postings(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, rule: Rule, text: str,
-             key: str, slack: bool = False) -> DataFrame:
-    """Prefix shingles of the documents in ``nodes`` (node, star): token, star, node, n, reach.
+def postings(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, rule: Rule, text: str,
+             key: str, part: int = PART) -> DataFrame:
+    """Prefix shingles of the documents in ``nodes`` (node, star, alone): token, star, alone, node,
+    n, reach, long.
 
-    ``reach`` is the size of the largest set that links if this is the first common shingle.
+    ``reach`` is the size of the largest set that links if this is the first common shingle;
+    ``long`` tells that the shingle's list may have more than ``part`` entries.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+    most = level(np.array(part))
     held = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).where(
-        "t IS NOT NULL").join(nodes.select("node", "star"), "node")
+        "t IS NOT NULL").join(nodes.select("node", "star", "alone"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(sent.value)
-        known = sent.value[order]
+        levels = sent.value
         for batch in batches:
             for row, sets in text_sets(batch.column(1), rule.width):
                 tokens, reaches = [], []
                 for s in sets:
                     take = int(rule.prefix(np.array(len(s)))) if len(s) else 0
-                    tokens.append(first_in_order(s, take, known, order))
+                    tokens.append(first_in_order(s, take, levels))
                     reaches.append(rule.reach(len(s), len(s) - np.arange(len(tokens[-1]))))
                 counts = [len(t) for t in tokens]
                 part = batch.slice(row, len(sets))
                 where = pa.array(np.repeat(np.arange(len(sets)), counts))
+                token = np.concatenate(tokens)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), part.column(2).take(where),
-                     part.column(0).take(where),
+                    [pa.array(token.view(np.int64)), part.column(2).take(where),
+                     part.column(3).take(where), part.column(0).take(where),
                      pa.array(np.repeat([len(s) for s in sets], counts), pa.int64()),
-                     pa.array(np.concatenate(reaches), pa.int64())],
-                    names=["token", "star", "node", "n", "reach"])
+                     pa.array(np.concatenate(reaches), pa.int64()),
+                     pa.array(levels[cells_of(token)] > most)],
+                    names=["token", "star", "alone", "node", "n", "reach", "long"])
 
-    return held.select("node", "t", "star").mapInArrow(
-        run, "token long, star long, node long, n long, reach long")
+    return held.select("node", "t", "star", "alone").mapInArrow(
+        run, "token long, star long, alone boolean, node long, n long, reach long, long boolean")
 
 
-def first_in_order(s: np.ndarray, take: int, known: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The first ``take`` of a sorted set: rare shingles by hash, then frequent ones."""
-    if not len(known):
-        return s[:take]
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    often = known[at] == s
-    rare = s[~often]
-    if len(rare) >= take:
-        return rare[:take]
-    rank = order[at[often]]
-    return np.concatenate([rare, s[often][np.argsort(rank)][:take - len(rare)]])
+def first_in_order(s: np.ndarray, take: int, levels: np.ndarray) -> np.ndarray:
+    """The first ``take`` of a sorted set in the global order: by level of the cell, then hash."""
+    return s[np.argsort(levels[cells_of(s)], kind="stable")[:take]]
 
 
 def reaching(group: np.ndarray, least: np.ndarray, reach: np.ndarray, most: int = 1 << 20
@@ -474,25 +502,20 @@ def long_list_tasks(lists: DataFrame, part: int = PART) -> DataFrame:
         "side", F.when(F.col("one") == F.col("two"), F.lit(-1).cast("long")).otherwise(F.col("part")))
 
 
-def list_pairs(lists: DataFrame, long: np.ndarray, rule: Rule, columns: tuple[str, ...],
+def list_pairs(lists: DataFrame, rule: Rule, columns: tuple[str, ...],
                part: int = PART) -> DataFrame:
     """Pairs of owners that may link for their sizes and positions on some list.
 
-    ``lists``: token, the owner columns, least (size) and reach; ``long``: tokens whose lists
-    are dealt over several tasks.
+    ``lists``: token, the owner columns, least (size), reach and long: whether the list is dealt
+    over several tasks.
     """
     owner, star = columns
     entries = lists.select("token", F.col(owner).alias("owner"), F.col(star).alias("own_star"),
-                           "least", "reach")
-    whole, session = entries, lists.sparkSession
-    if len(long):
-        tokens = F.broadcast(session.createDataFrame(pa.table({"token": pa.array(long, pa.int64())})))
-        whole = entries.join(tokens, "token", "left_anti")
-    found = meetings(whole.withColumn("side", F.lit(-1).cast("long")), ["token"], rule)
-    if len(long):
-        dealt = long_list_tasks(entries.join(tokens, "token", "left_semi"), part)
-        found = found.unionByName(meetings(dealt, ["token", "one", "two"], rule))
-    return found.distinct()
+                           "least", "reach", "long")
+    short = entries.where("NOT long").withColumn("side", F.lit(-1).cast("long"))
+    dealt = long_list_tasks(entries.where("long").drop("long"), part)
+    return meetings(short, ["token"], rule).unionByName(
+        meetings(dealt, ["token", "one", "two"], rule)).distinct()
 
 
 def enough_lists(pairs: DataFrame, lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
@@ -524,8 +547,10 @@ def enough_lists(pairs: DataFrame, lists: DataFrame, sizes: DataFrame, rule: Rul
 
 def star_lists(posted: DataFrame) -> DataFrame:
     """One entry a star and shingle, with the bounds of its members."""
-    return posted.groupBy("token", "star").agg(F.min("n").alias("least"),
-                                               F.max("reach").alias("reach"))
+    crowds = posted.where("NOT alone").groupBy("token", "star").agg(
+        F.min("n").alias("least"), F.max("reach").alias("reach"), F.first("long").alias("long"))
+    return crowds.unionByName(posted.where("alone").select(
+        "token", "star", F.col("n").alias("least"), "reach", "long"))
 
 
 # components
@@ -678,15 +703,14 @@ class StarAnswers:
         return None
 
 
-def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame, long: np.ndarray,
-                  rule: Rule) -> DataFrame:
+def member_checks(open_pairs: DataFrame, posted: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """Members of open star pairs that share a list with members of the other star."""
     stars_open = open_pairs.select(F.explode(F.array("a", "b")).alias("star")).distinct()
     lists = posted.join(stars_open, "star", "left_semi").select(
-        "token", "node", "star", F.col("n").alias("least"), "reach")
+        "token", "node", "star", F.col("n").alias("least"), "reach", "long")
     by_node = sizes.groupBy(F.col("node").alias("owner")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"))
-    met = stored(list_pairs(lists, long, rule, ("node", "star")), "join-met")
+    met = stored(list_pairs(lists, rule, ("node", "star")), "join-met")
     return enough_lists(met, lists.select("token", F.col("node").alias("owner")), by_node, rule)
 
 
@@ -695,8 +719,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """One row per row of ``docs``: key, n_shingles, component_id. Keys must be integers."""
     rule = Rule(width, percent)
     described = stored(describe(docs, rule, text, key), "join-described")
-    frequent, long = frequent_shingles(described)
-    rows = described.where("item IS NULL").select("doc_key", "n", "digest", "keys", "sketch")
+    levels = cell_levels(described)
+    rows = described.where("block IS NULL").select("doc_key", "n", "digest", "keys", "sketch")
     by_set = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_key").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.first("sketch").alias("sketch")), "join-classes")
@@ -709,10 +733,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     nodes = classes.select("node").distinct()
     starred = stored(stars(nodes, found), "join-stars")
 
-    posted = stored(postings(docs, starred, frequent, rule, text, key), "join-postings")
+    alone = starred.groupBy("star").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    posted = stored(postings(docs, starred.join(alone, "star"), levels, rule, text, key), "join-postings")
     by_star = starred.join(classes.select("node", "n"), "node").groupBy(
         F.col("star").alias("owner")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = stored(list_pairs(star_lists(posted), long, rule, ("star", "star")), "join-met")
+    met = stored(list_pairs(star_lists(posted), rule, ("star", "star")), "join-met")
     met = enough_lists(met, posted.select("token", F.col("star").alias("owner")), by_star, rule)
     compared = compare(met, docs, rule, text, key)
     edges = found.select("a", "b").unionByName(links(compared, rule).select("a", "b"))
@@ -725,7 +750,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         label = components(edges)
         still = stored(open_star_pairs(compared, starred, label, rule, True), "join-open")
         if not still.isEmpty():
-            checked = compare(member_checks(still, posted, classes, long, rule), docs, rule, text, key)
+            checked = compare(member_checks(still, posted, classes, rule), docs, rule, text, key)
             label = components(edges.unionByName(links(checked, rule).select("a", "b")))
 
     of_set = by_set.join(label, "node", "left").select(

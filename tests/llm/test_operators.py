@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -187,23 +188,47 @@ def test_open_stars_are_compared(spark):
     assert got == want and got[4] == 0
 
 
+def test_cells_never_count_less_than_their_shingles(spark):
+    """Shared passages come last in the order, so texts that only share one do not meet."""
+    rng = random.Random(11)
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    passages = [own(f"p{k}", 60) for k in range(3)]
+    rows = [(i, f"{own(i, 15)} {rng.choice(passages)} {own(f'{i}z', 15)}") for i in range(90)]
+    docs, rule = documents(spark, rows).repartition(5), shingle_join.Rule()
+    levels = shingle_join.cell_levels(shingle_join.describe(docs, rule, "text", "doc_id"))
+    words = [text.split() for _, text in rows]
+    times = Counter(" ".join(w[i:i + 4]) for w in words for i in range(len(w) - 3))
+    sets = [s for _, part in shingle_join.text_sets(pa.array([t for _, t in rows]), 4) for s in part]
+    hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
+    assert sorted(counts) == sorted(times.values())
+    assert (levels[shingle_join.cells_of(hashes)] >= shingle_join.level(counts)).all()
+    nodes = docs.selectExpr("doc_id AS node", "doc_id AS star", "true AS alone")
+    lists = shingle_join.star_lists(
+        shingle_join.postings(docs, nodes, levels, rule, "text", "doc_id"))
+    assert lists.groupBy("token").count().where("count > 5").isEmpty()
+    assert shingle_join.list_pairs(lists, rule, ("star", "star")).isEmpty()
+
+
 def test_positions_skip_list_pairs(spark):
     """Texts of one hot source that share boilerplate only meet on no list."""
     common = " ".join(f"c{i}" for i in range(100))
     rows = [(i, common + " " + " ".join(f"own{i}x{j}" for j in range(10))) for i in range(80)]
     docs, rule = documents(spark, rows), shingle_join.Rule()
-    frequent, long = shingle_join.frequent_shingles(shingle_join.describe(docs, rule, "text", "doc_id"), 50)
-    nodes = docs.selectExpr("doc_id AS node", "doc_id AS star")
-    posted = shingle_join.postings(docs, nodes, frequent, rule, "text", "doc_id")
+    levels = shingle_join.cell_levels(shingle_join.describe(docs, rule, "text", "doc_id"))
+    assert (levels >= shingle_join.level(np.array(80))).sum() == 97
+    nodes = docs.selectExpr("doc_id AS node", "doc_id AS star", "true AS alone")
+    posted = shingle_join.postings(docs, nodes, levels, rule, "text", "doc_id", 50)
     lists = shingle_join.star_lists(posted)
-    assert lists.groupBy("token").count().where("count = 80").count() >= 5 and len(long) == 97
+    assert lists.groupBy("token").count().where("count = 80").count() >= 5
+    long = [r.token for r in lists.where("long").select("token").distinct().collect()]
     met = spark.createDataFrame([], "a long, b long")
-    for tokens in (long, long[:0]):
-        met = met.unionByName(shingle_join.list_pairs(lists, tokens, rule, ("star", "star")))
+    for kind in ("long", "false AS long"):
+        met = met.unionByName(shingle_join.list_pairs(
+            lists.selectExpr("token", "star", "least", "reach", kind), rule, ("star", "star")))
         given = lists.withColumnsRenamed({"star": "owner"}).selectExpr(
             "token", "owner", "owner AS own_star", "-1L AS side", "least", "reach")
         assert shingle_join.meetings(given, ["token"], rule).count() == 0
-    given = given.where(given.token.isin([int(x) for x in long]))
+    given = given.where(given.token.isin(long))
     assert given.count() > 400 and shingle_join.long_list_tasks(given, 8).count() == 0
     assert met.count() == 0
 
@@ -219,8 +244,9 @@ def test_long_lists_in_parts(spark, part):
     want = {(a[1], b[1]) for a in entries for b in entries
             if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3]}
     lists = spark.createDataFrame(entries, "token long, star long, least long, reach long")
-    for long in (np.arange(0), np.arange(1, 4)):
-        got = shingle_join.list_pairs(lists, long, shingle_join.Rule(), ("star", "star"), part).collect()
+    for long in ("false", "token > 0"):
+        got = shingle_join.list_pairs(lists.selectExpr("*", f"{long} AS long"), shingle_join.Rule(),
+                                      ("star", "star"), part).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
     tasks = shingle_join.long_list_tasks(lists.selectExpr(
         "token", "star AS owner", "star AS own_star", "least", "reach"), part)
