@@ -79,13 +79,17 @@ def mark_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",
                       heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """``docs`` with one row of each text, columns unchanged."""
+    """``docs`` with one row of each text, columns unchanged.
+
+    Copies of a frequent text are dropped where they are read; only rows of other texts are shuffled.
+    """
     _, winners, rest = _split(docs, text, key, heavy, tracked)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        F.col(key).alias("doc_key"), text_digest(F.col(text)).alias("digest"))
     same = [F.col("k.digest") == F.col("w.digest"),
             F.col("k.doc_key").eqNullSafe(F.col("w.keep_id"))]
     frequent = held.alias("k").join(F.broadcast(winners.alias("w")), same, "left_semi")
-    others = held.alias("k").join(group_winners(rest).alias("w"), same, "left_semi")
+    rare = held.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    others = rare.alias("k").join(group_winners(rest).alias("w"), same, "left_semi")
     return (frequent.dropDuplicates(["digest"]).unionByName(others.dropDuplicates(["digest"]))
             .select("row.*"))
