@@ -1,18 +1,22 @@
 """Harmonic packing of tokenised documents into sequences.
 
-Piece lengths fall into reciprocal-capacity classes: class j holds pieces of capacity / j
-tokens, for j = 1, 2, 4, ... , capacity. A document is cut into as many whole-capacity pieces
-as it fills and the binary parts of what remains, largest first, so each piece has the exact
-length of its class. A bin of class j takes exactly j pieces, whatever other classes or other
-workers do: each task packs its own rows with at most one open bin a class in memory and
-nothing is shuffled. Bins still open at the end of a task are split into bins of a power-of-two
-number of pieces. Every sequence is therefore full or has a power-of-two length, and needs no
-padding.
+Documents fall into reciprocal-capacity classes: class j holds documents of more than
+capacity / (j + 1) and at most capacity / j tokens, the last class (``CLASSES``) all shorter
+ones. A bin of class j takes exactly j documents whole, whatever other classes or other workers
+do. It then closes: the documents that come next fill its gap, whole where they fit, and the
+first that does not fit gives its head and goes on with the rest. A document over the capacity
+fills sequences of its own first. So a document is cut only where it exceeds the capacity or
+closes a bin. Each task packs its own rows with at most one open bin a class (``CLASSES`` times
+capacity ids) and nothing is shuffled. What is open at the end of a task is poured into full
+sequences and last ones of a power of two tokens. Every sequence is therefore full or has a
+power-of-two length, and needs no padding.
 
 Null or empty text is the single end token. A row is packed once per row, so repeated rows
-and repeated keys each get pieces of their own. ``sequence_id`` is the task's number times
-2**40 plus the task's count of sequences; it depends on how the table is split into tasks but
-not on the order in which tasks run or are repeated.
+and repeated keys each get pieces of their own; columns other than key and text are not read, so
+their names cannot clash. An empty table gives an empty result. A very long text is encoded whole
+by one task. ``sequence_id`` is the task's number times 2**40 plus the task's count of sequences;
+it depends on how the table is split into tasks but not on the order in which tasks run or are
+repeated.
 """
 
 from __future__ import annotations
@@ -28,47 +32,98 @@ from pyspark.sql import functions as F
 from cohortspark.llm.word_tokens import WordEncoder
 
 CAPACITY = 4096
+CLASSES = 64
 END_ID = 2
 SLICE_BYTES = 2_000_000
 PIECE_COLUMNS = ("start long, length long, ids_crc32 long, doc_tokens long, "
                  "sequence_id long, offset long")
 
 
-def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
-    """Class lengths a document of ``tokens`` is cut into, in order of position."""
+def full_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of full sequences and powers of two that ``tokens`` can be poured into."""
     whole, rest = divmod(tokens, capacity)
     return [capacity] * whole + [1 << k for k in reversed(range(rest.bit_length()))
                                  if rest >> k & 1]
 
 
+class Bin:
+    """Pieces of one sequence: (key, start, ids, tokens of the document)."""
+
+    def __init__(self) -> None:
+        self.pieces: list[tuple] = []
+        self.used = 0
+
+    def add(self, piece: tuple) -> None:
+        self.pieces.append(piece)
+        self.used += len(piece[2]) // 4
+
+
 class HarmonicBins:
-    """Open bins of one task, one a class; full bins leave at once."""
-
-    def __init__(self, capacity: int, first_id: int) -> None:
-        self.capacity, self.next_id = capacity, first_id
-        self.open: dict[int, list[tuple]] = {}
-
-    def add(self, length: int, piece: tuple) -> list[tuple]:
-        """Put a piece into its class's bin; the bin's pieces if that fills it."""
-        pieces = self.open.setdefault(length, [])
-        pieces.append(piece)
-        if len(pieces) * length < self.capacity:
-            return []
-        return self._close(length, self.open.pop(length))
-
-    def _close(self, length: int, pieces: list[tuple]) -> list[tuple]:
-        placed = [(*p, self.next_id, i * length) for i, p in enumerate(pieces)]
+    """Open bins of one task, one a class, and the bin whose gap is being filled."""
+
+    def __init__(self, capacity: int, first_id: int, classes: int = CLASSES) -> None:
+        self.capacity, self.next_id, self.classes = capacity, first_id, classes
+        self.open: dict[int, Bin] = {}
+        self.closing: Bin | None = None
+
+    def add(self, key, ids: bytes) -> list[tuple]:
+        """Pack a document of 4-byte ids; the rows of the sequences this completes."""
+        total, start, done = len(ids) // 4, 0, []
+
+        def piece(length: int) -> tuple:
+            return key, start, ids[4 * start:4 * (start + length)], total
+
+        if self.closing:
+            head = min(total, self.capacity - self.closing.used)
+            self.closing.add(piece(head))
+            start = head
+            if self.closing.used == self.capacity:
+                done += self._place(self.closing)
+                self.closing = None
+        while total - start > self.capacity:
+            alone = Bin()
+            alone.add(piece(self.capacity))
+            start += self.capacity
+            done += self._place(alone)
+        if start < total:
+            count = min(self.capacity // (total - start), self.classes)
+            home = self.open.setdefault(count, Bin())
+            home.add(piece(total - start))
+            if len(home.pieces) == count:
+                done += self._complete(self.open.pop(count))
+        return done
+
+    def _complete(self, full: Bin) -> list[tuple]:
+        """A bin with its count of documents leaves, or waits for its gap to be filled."""
+        if full.used == self.capacity:
+            return self._place(full)
+        self.closing = full
+        return []
+
+    def _place(self, full: Bin) -> list[tuple]:
+        placed, offset = [], 0
+        for key, start, ids, total in full.pieces:
+            placed.append((key, start, len(ids) // 4, zlib.crc32(ids), total, self.next_id, offset))
+            offset += len(ids) // 4
         self.next_id += 1
         return placed
 
     def flush(self) -> list[tuple]:
-        """Split the bins still open into bins of a power-of-two number of pieces."""
+        """Pour what is still open into full sequences and sequences of a power of two."""
+        left = [*([self.closing] if self.closing else []),
+                *(self.open[count] for count in sorted(self.open))]
+        pieces = [p for b in left for p in b.pieces][::-1]
         placed = []
-        for length, pieces in self.open.items():
-            for take in piece_lengths(len(pieces), self.capacity):
-                placed += self._close(length, pieces[:take])
-                pieces = pieces[take:]
-        self.open = {}
+        for length in full_lengths(sum(b.used for b in left), self.capacity):
+            poured = Bin()
+            while poured.used < length:
+                key, start, ids, total = pieces.pop()
+                take = min(len(ids) // 4, length - poured.used)
+                poured.add((key, start, ids[:4 * take], total))
+                if 4 * take < len(ids):
+                    pieces.append((key, start + take, ids[4 * take:], total))
+            placed += self._place(poured)
+        self.open, self.closing = {}, None
         return placed
 
 
@@ -91,18 +146,13 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             keys = batch.column(0)
             for first, ids_of_docs in encoder.encode_column(batch.column(1), SLICE_BYTES):
                 for i, ids in enumerate(ids_of_docs, first):
-                    ids += end
-                    total, start = len(ids) // 4, 0
-                    for n in piece_lengths(total, capacity):
-                        crc = zlib.crc32(ids[4 * start:4 * (start + n)])
-                        ready += bins.add(n, (keys[i].as_py(), start, n, crc, total))
-                        start += n
+                    ready += bins.add(keys[i].as_py(), ids + end)
                 if len(ready) > 50_000:
                     yield rows(ready, keys.type)
                     ready = []
             yield rows(ready, keys.type)
             last = keys.type
-        if bins.open:
+        if bins.open or bins.closing:
             yield rows(bins.flush(), last)
 
     def rows(placed: list[tuple], kind: pa.DataType) -> pa.RecordBatch:

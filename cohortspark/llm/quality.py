@@ -1,18 +1,20 @@
 """Quality rules: two fixed rules and a robust multivariate outlier test.
 
 Every text becomes a vector of transformed statistics. For each language and source the
-centre and scatter of the vectors are estimated by minimum covariance determinant: from a
-start at the coordinate-wise medians, concentration steps keep the ``SHARE`` of the group with
-the smallest Mahalanobis distances and estimate again from those. ``SHARE`` is the half-set,
-so junk of up to nearly half of a group's texts stays outside the estimate; ``CONSISTENCY``
-scales the scatter of the half to that of all of a normal group. A text whose distance from
-its group's estimate is beyond ``CUTOFF`` is rejected.
-
-A step is one pass: rows are aggregated to counts and moments per group and distance bin, on
-the map side first, and the kept share is a running count over the bins. So a hot source adds
-bins, not rows, to a task. Estimates are shrunk towards those of the language with a weight of
-``PRIOR_ROWS`` rows, and variances have a floor, so small, empty or constant groups are no
-special case.
+centre and scatter of the vectors are estimated by minimum covariance determinant: from several
+starts at coordinate-wise quantiles (``STARTS``), concentration steps keep the ``SHARE`` of the
+group with the smallest Mahalanobis distances and estimate again from those. A start goes on
+while its determinant falls, and of a group's starts the one with the smallest determinant wins.
+``SHARE`` is the half-set, so junk of up to nearly half of a group's texts stays outside the
+estimate; ``CONSISTENCY`` scales the scatter of the half to that of all of a normal group. A
+text whose distance from its group's estimate is beyond ``CUTOFF`` is rejected.
+
+A step is one pass over all starts that still fall: rows are aggregated to counts and moments per
+group, start and distance bin, on the map side first, and the kept share is a running count over
+the bins. So a hot source adds bins, not rows, to a task. Variances have a floor, under which no
+determinant can fall, so the steps end by themselves. The winners are shrunk towards those of the
+language with a weight of ``PRIOR_ROWS`` rows, so small, empty or constant groups are no special
+case.
 
 Null or empty text has no words and fails the base rules. Null language and source form groups
 of their own (together with the empty string). Repeated rows are judged one by one, but each
@@ -39,7 +41,8 @@ MOST_REPEATED = 20  # per cent
 WINDOW = 5
 
 SHARE = 0.5
-STEPS = 3
+STARTS = (0.25, 0.5, 0.75)  # quantiles
+LEAST_FALL = 1e-3  # of a logarithm of a determinant
 PRIOR_ROWS = 50.0
 # chi-squared with 5 degrees of freedom: 4.351 is the 0.5 quantile; P(chi2_7 <= 4.351) = 0.261
 CONSISTENCY = SHARE / 0.261
@@ -152,25 +155,36 @@ PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[:i + 1]]
 GROUP = ["g_lang", "g_source"]
 
 
-def medians(rows: DataFrame, width: float = 0.01) -> DataFrame:
-    """Coordinate-wise medians per group, from counts of cells of ``width``."""
+FITTED = [f"i_{a}_{b}" for a, b in PAIRS] + [f"m_{d}" for d in DIMS]
+SHAPE = [f"m_{d}" for d in DIMS] + [f"c_{a}_{b}" for a, b in PAIRS]
+
+
+def quantiles(rows: DataFrame, shares: tuple[float, ...], width: float = 0.01) -> DataFrame:
+    """Coordinate-wise quantiles per group, a row per share, from counts of cells of ``width``."""
     cells = rows.select(*GROUP, F.explode(F.array(*(F.struct(
         F.lit(d).alias("dim"), F.floor(F.col(f"x_{d}") / width).alias("cell"))
         for d in DIMS))).alias("c")).groupBy(*GROUP, "c.dim", "c.cell").agg(
         F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy(*GROUP, "dim")
     upto = by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (cells.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(by)})
-              .where(F.col("upto") * 2 >= F.col("all")))
-    return middle.groupBy(*GROUP).agg(*(
-        ((F.min(F.when(F.col("dim") == d, F.col("cell"))) + 0.5) * width).alias(f"m_{d}")
-        for d in DIMS))
+    placed = cells.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(by)})
+
+    def centre(share: float, d: str) -> Column:
+        reached = (F.col("dim") == d) & (F.col("upto") >= share * F.col("all"))
+        return ((F.min(F.when(reached, F.col("cell"))) + 0.5) * width).alias(f"m_{d}")
+
+    return placed.groupBy(*GROUP).agg(F.array(*(
+        F.struct(F.lit(k).alias("start"), *(centre(share, d) for d in DIMS))
+        for k, share in enumerate(shares))).alias("starts")).select(*GROUP, F.inline("starts"))
 
 
-def first_estimate(rows: DataFrame) -> DataFrame:
-    """Medians with the floors as scales."""
+def first_estimates(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """The starts of each group, with the floors as scales."""
     scales = {f"i_{a}_{b}": F.lit(1.0 / FLOORS[a] if a == b else 0.0) for a, b in PAIRS}
-    return medians(rows).withColumns(scales)
+    shape = {f"c_{a}_{b}": F.lit(FLOORS[a] ** 2 if a == b else 0.0) for a, b in PAIRS}
+    return quantiles(rows, shares).withColumns({
+        **scales, **shape, "n": F.lit(0).cast("long"), "log_det": F.lit(float("inf")),
+        "falls": F.lit(True)})
 
 
 def squared_distance() -> Column:
@@ -181,43 +195,69 @@ def squared_distance() -> Column:
     return reduce(add, (p * p for p in parts))
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: the next estimate per group."""
+def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One concentration step: the next estimate and its determinant per group and start."""
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(f"x_{d}").alias(f"s_{d}") for d in DIMS]
     sums += [F.sum(F.col(f"x_{a}") * F.col(f"x_{b}")).alias(f"q_{a}_{b}") for a, b in PAIRS]
-    binned = (rows.join(estimate, GROUP)
+    binned = (rows.join(estimates.select(*GROUP, "start", *FITTED), GROUP)
               .withColumn("bin", F.floor(F.log(squared_distance() + 1e-6) * BINS))
-              .groupBy(*GROUP, "bin").agg(*sums))
-    by = Window.partitionBy(*GROUP)
+              .groupBy(*GROUP, "start", "bin").agg(*sums))
+    by = Window.partitionBy(*GROUP, "start")
     before = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     near = (binned.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)),
                                 "all": F.sum("n").over(by)})
             .where(F.col("before") < SHARE * F.col("all")))
     names = ["n"] + [f"s_{d}" for d in DIMS] + [f"q_{a}_{b}" for a, b in PAIRS]
-    group = near.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in names))
-    own, wide = moments(""), moments("w_")
-    lang = Window.partitionBy("g_lang")
-    pooled = group.withColumns({f"w_{c}": F.sum(c).over(lang) for c in names})
-    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
-    mixed = {k: weight * own[k] + (1 - weight) * wide[k] for k in own}
-    shaped = pooled.select(*GROUP, *(v.alias(k) for k, v in mixed.items()))
-    return inverse_factor(shaped)
-
-
-def moments(prefix: str) -> dict[str, Column]:
-    """Means and scatter from the sums with ``prefix``; the scatter corrected and floored."""
-    n = F.col(f"{prefix}n")
-    mean = {d: F.col(f"{prefix}s_{d}") / n for d in DIMS}
+    half = near.groupBy(*GROUP, "start").agg(*(F.sum(c).alias(c) for c in names))
+    return inverse_factor(half.select(*GROUP, "start", "n",
+                                      *(v.alias(k) for k, v in moments().items())))
+
+
+def moments() -> dict[str, Column]:
+    """Means and scatter from the sums; the scatter corrected and floored."""
+    n = F.col("n")
+    mean = {d: F.col(f"s_{d}") / n for d in DIMS}
     out = {f"m_{d}": mean[d] for d in DIMS}
     for a, b in PAIRS:
-        scatter = CONSISTENCY * (F.col(f"{prefix}q_{a}_{b}") / n - mean[a] * mean[b])
+        scatter = CONSISTENCY * (F.col(f"q_{a}_{b}") / n - mean[a] * mean[b])
         out[f"c_{a}_{b}"] = F.greatest(scatter, F.lit(0.0)) + FLOORS[a] ** 2 if a == b else scatter
     return out
 
 
+def improved(estimates: DataFrame, following: DataFrame) -> DataFrame:
+    """``estimates``, replaced where the following one has a smaller determinant."""
+    values = ["n", *SHAPE, *FITTED[:len(PAIRS)], "log_det"]
+    fresh = following.select(*GROUP, "start", *(F.col(c).alias(f"new_{c}") for c in values))
+    falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - LEAST_FALL, F.lit(False))
+    return estimates.join(fresh, [*GROUP, "start"], "left").select(
+        *GROUP, "start", falls.alias("falls"),
+        *(F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
+def least_determinant(estimates: DataFrame) -> DataFrame:
+    """The start with the smallest determinant of each group."""
+    best = F.min_by(F.struct("n", *SHAPE, "log_det"), F.struct("log_det", "start"))
+    return estimates.groupBy(*GROUP).agg(best.alias("b")).select(*GROUP, "b.*")
+
+
+def shrunk(winners: DataFrame) -> DataFrame:
+    """Each group's centre and scatter moved towards those of all of its language's half-sets."""
+    lang, n = Window.partitionBy("g_lang"), F.col("n")
+    mean = lambda value: F.sum(n * value).over(lang) / F.sum(n).over(lang)
+    wide = winners.withColumns({f"w_m_{d}": mean(F.col(f"m_{d}")) for d in DIMS})
+    between = {(a, b): (F.col(f"m_{a}") - F.col(f"w_m_{a}")) * (F.col(f"m_{b}") - F.col(f"w_m_{b}"))
+               for a, b in PAIRS}
+    wide = wide.withColumns({f"w_c_{a}_{b}": mean(F.col(f"c_{a}_{b}") + CONSISTENCY * between[a, b])
+                             for a, b in PAIRS})
+    weight = n / (n + PRIOR_ROWS)
+    return wide.select(*GROUP, *(
+        (weight * F.col(c) + (1 - weight) * F.col(f"w_{c}")).alias(c) for c in SHAPE))
+
+
 def inverse_factor(shaped: DataFrame) -> DataFrame:
-    """Replace each group's scatter by the inverse of its Cholesky factor."""
+    """Add the inverse Cholesky factor of each scatter and the logarithm of its determinant."""
+    steps = []  # each may refer to those before it
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[:i + 1]):
             rest = F.col(f"c_{a}_{b}")
@@ -225,33 +265,44 @@ def inverse_factor(shaped: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
             value = (F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 / 4))) if a == b
                      else rest / F.col(f"l_{b}_{b}"))
-            shaped = shaped.withColumn(f"l_{a}_{b}", value)
+            steps.append(value.alias(f"l_{a}_{b}"))
     for i, a in enumerate(DIMS):
-        shaped = shaped.withColumn(f"i_{a}_{a}", 1 / F.col(f"l_{a}_{a}"))
+        steps.append((1 / F.col(f"l_{a}_{a}")).alias(f"i_{a}_{a}"))
         for j in reversed(range(i)):
             b = DIMS[j]
             total = reduce(add, (F.col(f"l_{a}_{k}") * F.col(f"i_{k}_{b}")
                                  for k in DIMS[j:i]))
-            shaped = shaped.withColumn(f"i_{a}_{b}", -total / F.col(f"l_{a}_{a}"))
-    return shaped.select(*GROUP, *(f"m_{d}" for d in DIMS), *(f"i_{a}_{b}" for a, b in PAIRS))
+            steps.append((-total / F.col(f"l_{a}_{a}")).alias(f"i_{a}_{b}"))
+    log_det = 2 * reduce(add, (F.log(F.col(f"l_{d}_{d}")) for d in DIMS))
+    return shaped.select("*", *steps, log_det.alias("log_det")).drop(
+        *(f"l_{a}_{b}" for a, b in PAIRS))
+
+
+def concentrated(fair: DataFrame, shares: tuple[float, ...] = STARTS) -> DataFrame:
+    """All starts of all groups, each after its last step that made its determinant smaller."""
+    estimates = stored(first_estimates(fair, shares), "quality-start")
+    while not estimates.where("falls").isEmpty():
+        following = concentrate(fair, estimates.where("falls"))
+        estimates = stored(improved(estimates, following), "quality-step")
+    return estimates
 
 
 def fit(rows: DataFrame) -> DataFrame:
     """Estimates per language and source from the distinct texts that pass the base rules."""
     fair = stored(rows.where(~F.col("failed")).groupBy(*GROUP, "copy").agg(
         *(F.first(f"x_{d}").alias(f"x_{d}") for d in DIMS)).drop("copy"), "quality-texts")
-    estimate = stored(first_estimate(fair), "quality-0")
-    for step in range(1, STEPS + 1):
-        estimate = stored(concentrate(fair, estimate), f"quality-{step}")
-    return estimate
+    winners = least_determinant(concentrated(fair))
+    return stored(inverse_factor(shrunk(winners)).select(*GROUP, *FITTED), "quality-fit")
 
 
 def verdict(rows: DataFrame, estimate: DataFrame, cutoff: float) -> DataFrame:
     """Add ``distance`` and ``kept``; a group without estimate holds only failed rows."""
     return (rows.join(estimate, GROUP, "left")
             .withColumn("distance", squared_distance())
-            .withColumn("kept", ~F.col("failed")
-                        & F.coalesce(F.col("distance") <= cutoff, F.lit(False))))
+            # one condition on both sides of the join: alone, that on ``failed`` would go below it
+            # and have the statistics of each text computed again
+            .withColumn("kept", F.coalesce(F.when(~F.col("failed"), F.col("distance")) <= cutoff,
+                                           F.lit(False))))
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",

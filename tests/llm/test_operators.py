@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -326,6 +327,54 @@ def test_quality_third_of_a_group_is_junk(spark, copies):
     assert all(got[k].kept for k, _ in good) and not any(got[1000 + i].kept for i in range(100))
 
 
+def log_determinant(points: np.ndarray) -> float:
+    floor = np.diag([quality.FLOORS[d] ** 2 for d in quality.DIMS])
+    scatter = quality.CONSISTENCY * np.cov(points.T, bias=True) + floor
+    return float(np.linalg.slogdet(scatter)[1])
+
+
+def vector_rows(spark, groups: dict[str, np.ndarray]):
+    names = ", ".join(f"x_{d} double" for d in quality.DIMS)
+    return spark.createDataFrame(
+        [("en", g, *map(float, x)) for g, xs in groups.items() for x in xs],
+        f"g_lang string, g_source string, {names}").repartition(3)
+
+
+def test_quality_determinant_against_all_half_sets(spark):
+    rng = np.random.default_rng(3)
+    groups = {f"mixed{i}": rng.normal(0, rng.uniform(0.2, 2, 5), (10, 5)) for i in range(12)}
+    groups |= {f"apart{i}": np.vstack([rng.normal(0, 0.3, (6, 5)), rng.normal(6, 3, (4, 5))])
+               for i in range(6)}
+    groups |= {"one": np.ones((1, 5)), "same": np.ones((7, 5))}
+    rows = vector_rows(spark, groups)
+    got = {r.g_source: r for r in quality.least_determinant(quality.concentrated(rows)).collect()}
+    assert got.keys() == groups.keys()
+    for g, points in groups.items():
+        sets = [points[list(c)] for n in range(-(-len(points) // 2), len(points) + 1)
+                for c in itertools.combinations(range(len(points)), n)]
+        least = min(map(log_determinant, sets))
+        centre = [got[g][f"m_{d}"] for d in quality.DIMS]
+        used = min(sets, key=lambda x: abs(x.mean(0) - centre).max() + 1e-9 * len(x))
+        assert np.allclose(used.mean(0), centre) and got[g].log_det >= least - 1e-6
+        assert abs(log_determinant(used) - got[g].log_det) < 1e-6
+        if g.startswith("apart") or len(points) < 10:
+            assert abs(got[g].log_det - least) < 1e-6
+
+
+def test_quality_smallest_determinant_of_the_starts_wins(spark):
+    rng = np.random.default_rng(5)
+    groups = {"high": np.vstack([rng.normal(0, 0.05, (55, 5)), rng.normal(8, 0.05, (45, 5))]),
+              "low": np.vstack([rng.normal(8, 0.05, (55, 5)), rng.normal(0, 0.05, (45, 5))])}
+    rows = vector_rows(spark, groups)
+    single = [{r.g_source: r.log_det for r in quality.concentrated(rows, (share,)).collect()}
+              for share in quality.STARTS]
+    # the upper quartile stays in the lesser cluster of one group, the lower in that of the other
+    assert single[2]["high"] > single[0]["high"] + 1 and single[0]["low"] > single[2]["low"] + 1
+    for r in quality.least_determinant(quality.concentrated(rows)).collect():
+        assert r.log_det == min(x[r.g_source] for x in single)
+        assert all(abs(r[f"m_{d}"] - (0 if r.g_source == "high" else 8)) < 0.2 for d in quality.DIMS)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
@@ -450,6 +499,48 @@ def test_packing_is_whole(spark):
         assert at == most if most else at <= 4096 and at & (at - 1) == 0
 
 
+def test_packing_keeps_documents_whole():
+    rng = random.Random(8)
+    sizes = [min(int(rng.paretovariate(1.1) * 60), 20_000) for _ in range(3000)] + [64, 128, 1, 1]
+    bins, rows = packing.HarmonicBins(256, 1000, classes=8), []
+    for key, n in enumerate(sizes):
+        rows += bins.add(key, np.full(n, key, "<u4").tobytes())
+        assert len(bins.open) <= 8 and all(b.used < 256 for b in bins.open.values())
+    streamed = {r[5] for r in rows}
+    rows += bins.flush()
+    places, pieces = defaultdict(list), defaultdict(list)
+    for key, start, length, crc, total, sequence, offset in rows:
+        assert total == sizes[key] and crc == zlib.crc32(np.full(length, key, "<u4").tobytes())
+        places[sequence].append((offset, length, key, start))
+        pieces[key].append((start, length))
+    for key, parts in pieces.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == sizes[key]
+    closers = 0
+    for sequence, parts in places.items():
+        at = 0
+        for offset, length, _, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 256 or (sequence not in streamed and at & (at - 1) == 0)
+        if sequence in streamed:
+            # the fixed count of a class's items, then fillers, of which only the last is cut
+            _, first, key, _ = min(parts)
+            count = min(256 // first, 8)
+            items = sorted(parts)[:count]
+            assert all(min(256 // n, 8) == count for _, n, _, _ in items)
+            assert all(start + n == sizes[k] for _, n, k, start in items) or first == 256
+            cut = [p for p in sorted(parts)[count:] if p[1] + p[3] < sizes[p[2]]]
+            assert cut in ([], [max(parts)])
+            closers += len(cut)
+    fitting = [k for k, n in enumerate(sizes) if n <= 256]
+    uncut = sum(len(pieces[k]) == 1 for k in fitting)
+    assert uncut >= len(fitting) - closers - 8 and uncut > 0.5 * len(fitting)
+
+
 def cut_words(rows, window: int) -> Counter:
     words = [SPACED.findall(t or "") for _, t in rows]
     times = Counter(tuple(w[i:i + window]) for w in words for i in range(len(w) - window + 1))
