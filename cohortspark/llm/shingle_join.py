@@ -7,7 +7,9 @@ never forms all pairs of a group:
 
 * Equal sets are one class, counted by digest; the smallest key stands for it.
 * Answers from similar sets: classes gather in stars. Each class is compared with at most one
-  earlier class of a like minimum-hash sketch, and joins it if they link. A member's links are
+  other of a like minimum-hash sketch, and joins it if they link. That one is the middle of the
+  largest group of near copies it is found in, so that most copies of a text are in one star and
+  the stars of a group do not all meet on its lists. A member's links are
   derived from its star's: with d the Jaccard distance (a metric) and t the largest distance
   of a link, members a and b of stars A and B can only link if
   d(A, B) <= d(A, a) + t + d(b, B).
@@ -60,6 +62,7 @@ CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 BLOCK = 1 << 16  # cells a row of counts
 SKETCH = 64
+CROWD = 8  # classes of a key from which a star's centre is chosen by their sketches
 KEYS = 4
 SHARE = 10_000
 PART = 4096
@@ -261,28 +264,59 @@ def links(compared: DataFrame, rule: Rule) -> DataFrame:
 
 # stars
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """For each class at most one earlier class (b) of a like sketch."""
-    spread = classes.select("node", "sketch", F.explode("keys").alias("k"))
-    first = spread.groupBy("k").agg(F.min(F.struct("node", "sketch")).alias("first"),
-                                    F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = spread.join(first, "k").where("node > first.node").select(
-        "node", "sketch", F.col("first.node").alias("other"), F.col("first.sketch").alias("s2"))
-
+def alike(pairs: DataFrame) -> DataFrame:
+    """``like``: the share of equal cells of ``sketch`` and ``other_sketch``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH)
-                        for c in (batch.column(1), batch.column(3)))
+                        for c in batch.columns[-2:])
             filled = (one > 0) | (two > 0)
             same = ((one == two) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1))
-            good = pa.array(same >= LIKELY)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(good), batch.column(2).filter(good),
-                 pa.array(same).filter(good)], names=["a", "b", "like"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(same)], names=names)
+
+    kept = pairs.drop("sketch", "other_sketch")
+    names = [*kept.columns, "like"]
+    schema = ", ".join(f"{c} {kind}" for c, kind in kept.dtypes) + ", like double"
+    return pairs.select(*kept.columns, "sketch", "other_sketch").mapInArrow(run, schema)
+
+
+def group_centres(spread: DataFrame) -> DataFrame:
+    """k, centre, other_sketch, n: a class of each group of a key and the group's size.
 
-    likely = met.mapInArrow(run, "a long, b long, like double")
-    best = likely.groupBy("a").agg(F.max(F.struct("like", -F.col("b"))).alias("m"))
-    return best.select("a", (-F.col("m.col2")).alias("b"))
+    Of ``CROWD`` or more classes the one most like the group's commonest value of each sketch
+    cell: near copies of one text differ from it less than from each other. Else the earliest.
+    """
+    groups = spread.groupBy("k").agg(F.min(F.struct("node", "sketch")).alias("first"),
+                                     F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = spread.join(groups.where(F.col("n") >= CROWD).select("k"), "k")
+    cells = (F.mode(F.hex(F.substring("sketch", i + 1, 1)), True).alias(f"c{i}") for i in range(SKETCH))
+    commonest = crowded.groupBy("k").agg(*cells).select(
+        "k", F.unhex(F.concat(*(f"c{i}" for i in range(SKETCH)))).alias("other_sketch"))
+    middle = alike(crowded.join(commonest, "k").select("k", "node", "sketch", "other_sketch")) \
+        .groupBy("k").agg((-F.max(F.struct("like", -F.col("node")))["col2"]).alias("middle"))
+    found = spread.join(middle, "k").where("node = middle").groupBy("k").agg(
+        F.min(F.struct("node", "sketch")).alias("best"))
+    return groups.join(found, "k", "left").withColumn("best", F.coalesce("best", "first")).select(
+        "k", F.col("best.node").alias("centre"), F.col("best.sketch").alias("other_sketch"), "n")
+
+
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """For each class at most one centre (b) of a like sketch, of the largest group of a key.
+
+    Centres are ranked by the size of their groups; a class only joins one ranked before it.
+    """
+    spread = classes.select("node", "sketch", F.explode("keys").alias("k"))
+    centres = stored(group_centres(spread), "join-centres")
+    rank = centres.groupBy("centre").agg(F.max("n").alias("rank"))
+    own = rank.select(F.col("centre").alias("node"), F.col("rank").alias("own"))
+    met = (spread.join(centres.drop("n"), "k").where("node <> centre").drop("k")
+           .join(rank, "centre").join(own, "node", "left")
+           .where("own IS NULL OR rank > own OR (rank = own AND centre < node)"))
+    likely = alike(met.select("node", "centre", "rank", "sketch", "other_sketch")).where(
+        F.col("like") >= LIKELY)
+    best = likely.groupBy(F.col("node").alias("a")).agg(
+        F.max(F.struct("rank", "like", -F.col("centre"))).alias("m"))
+    return best.select("a", (-F.col("m.col3")).alias("b"))
 
 
 def stars(classes: DataFrame, found: DataFrame) -> DataFrame:

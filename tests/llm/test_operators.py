@@ -210,6 +210,26 @@ def test_cells_never_count_less_than_their_shingles(spark):
     assert shingle_join.list_pairs(lists, rule, ("star", "star")).isEmpty()
 
 
+def test_near_copies_gather_around_the_text_they_were_made_from(spark):
+    """Copies that link with their origin but not with each other: one star, whatever its key."""
+    rng = random.Random(5)
+    origin = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(900, " ".join(origin))]
+    for i in range(40):
+        changed = list(origin)
+        for at in rng.sample(range(10, 290), 6):
+            changed[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(changed)))
+    docs, rule = documents(spark, rows), shingle_join.Rule(5, 80)
+    classes = shingle_join.describe(docs, rule, "text", "doc_id").where("block IS NULL") \
+        .withColumnRenamed("doc_key", "node")
+    pairs = shingle_join.star_pairs(classes.select("node", "keys", "sketch"))
+    found = shingle_join.links(shingle_join.compare(pairs, docs, rule, "text", "doc_id"), rule).collect()
+    assert len(found) >= 36 and {r.b for r in found} == {900}
+    rows_out = shingle_join.link_components(docs, 5, 80).collect()
+    assert {r.component_id for r in rows_out} == {0}
+
+
 def test_positions_skip_list_pairs(spark):
     """Texts of one hot source that share boilerplate only meet on no list."""
     common = " ".join(f"c{i}" for i in range(100))
