@@ -39,12 +39,19 @@ def match_miss(profile: DataFrame, cohort: DataFrame, group: str,
     """Every profiled row once, labelled found or missed by the cohort, in one join.
 
     A cohort person with several rows counts as one, so records are never paired.
+
+    Both sides are long chains of sorts and aggregates by person, which hold memory until a task
+    ends.  Dealt by the person alone, they would run in the tasks of the join; so both are dealt
+    again by the person and its hash, and each chain has tasks of its own.
     """
-    diagnosed = cohort.select("person_id", "diagnosis_year", "diagnosis_age").distinct()
+    dealt = ["_person", "person_id"]
+    person = F.xxhash64("person_id")
+    diagnosed = cohort.select("person_id", "diagnosis_year", "diagnosis_age").distinct() \
+        .withColumns({"_person": person, "_found": F.lit(True)}).repartition(*dealt)
     label = F.when(F.col("_found"), FOUND).otherwise(MISSED)
     out = (
-        profile.join(diagnosed.withColumn("_found", F.lit(True)), "person_id", "left")
-        .withColumn("sub_group", label).drop("_found")
+        profile.withColumn("_person", person).repartition(*dealt).join(diagnosed, dealt, "left")
+        .withColumn("sub_group", label).drop("_person", "_found")
         .withColumns({
             "diagnosis_age_known": presence(F.col("diagnosis_age")),
             "group": F.lit(group),

@@ -260,6 +260,29 @@ def test_match_miss_both_ways(spark):
     assert register.match_own_cases(profile, "G", "All").count() == 8
 
 
+def test_match_miss_sides_run_in_tasks_of_their_own(spark):
+    profile = spark.createDataFrame([(1, "RRMS"), (1, "RRMS"), (2, "PPMS"), (None, "PPMS")],
+                                    "person_id long, type_at_diagnosis string")
+    cases = spark.createDataFrame([(1, 2000, 40.5), (1, 2000, 40.5), (3, 2001, 30.0), (None, 2001, 30.0)],
+                                  "person_id long, diagnosis_year int, diagnosis_age double")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        # both sides are dealt by person already, as the study's are
+        got = register.match_miss(profile.repartition("person_id"), cases.repartition("person_id"), "G")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = tuples(got, "person_id", "diagnosis_year", "sub_group")
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert plan.count("Exchange hashpartitioning(_person#") == 2
+    assert got.columns == ["person_id", "type_at_diagnosis", "diagnosis_year", "diagnosis_age", "sub_group",
+                           "diagnosis_age_known", "group", "all_group"]
+    assert found == [(1, 2000, register.FOUND), (1, 2000, register.FOUND), (2, None, register.MISSED),
+                     (None, None, register.MISSED)]
+
+
 def test_site_check_flag_wins_per_person(spark):
     ids = spark.createDataFrame([(1, "B"), (1, "A"), (2, "A"), (3, "A")],
                                 "person_id long, `group` string")
