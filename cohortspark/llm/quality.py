@@ -154,9 +154,24 @@ def vectors(docs: DataFrame, text: str, lang: str, source: str, keep: list[Colum
 PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[:i + 1]]
 GROUP = ["g_lang", "g_source"]
 
+# An estimate holds arrays, not a column a number: a step is planned again and again, and the
+# driver's time and memory for it grow with its columns.  ``centre`` follows ``DIMS``; ``scatter``
+# and ``inverse`` (the inverse Cholesky factor) hold lower triangles, as ``PAIRS`` lists them.
+CENTRES = [f"m_{d}" for d in DIMS]
+SCATTERS = [f"c_{a}_{b}" for a, b in PAIRS]
+SHAPE = CENTRES + SCATTERS
+FITTED = ["inverse", "centre"]
 
-FITTED = [f"i_{a}_{b}" for a, b in PAIRS] + [f"m_{d}" for d in DIMS]
-SHAPE = [f"m_{d}" for d in DIMS] + [f"c_{a}_{b}" for a, b in PAIRS]
+
+def at(triangle: Column, row: Column | int, column: Column | int) -> Column:
+    """A number of a lower triangle."""
+    place = row * (row + 1) / 2 + column
+    return F.get(triangle, F.lit(place).cast("int"))
+
+
+def packed(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the columns of ``SHAPE`` as ``centre`` and ``scatter``."""
+    return df.select(*keep, F.array(*CENTRES).alias("centre"), F.array(*SCATTERS).alias("scatter"))
 
 
 def quantiles(rows: DataFrame, shares: tuple[float, ...], width: float = 0.01) -> DataFrame:
@@ -180,18 +195,19 @@ def quantiles(rows: DataFrame, shares: tuple[float, ...], width: float = 0.01) -
 
 def first_estimates(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """The starts of each group, with the floors as scales."""
-    scales = {f"i_{a}_{b}": F.lit(1.0 / FLOORS[a] if a == b else 0.0) for a, b in PAIRS}
-    shape = {f"c_{a}_{b}": F.lit(FLOORS[a] ** 2 if a == b else 0.0) for a, b in PAIRS}
-    return quantiles(rows, shares).withColumns({
-        **scales, **shape, "n": F.lit(0).cast("long"), "log_det": F.lit(float("inf")),
-        "falls": F.lit(True)})
+    scales = [1.0 / FLOORS[a] if a == b else 0.0 for a, b in PAIRS]
+    shape = [FLOORS[a] ** 2 if a == b else 0.0 for a, b in PAIRS]
+    return quantiles(rows, shares).select(
+        *GROUP, "start", F.lit(True).alias("falls"), F.lit(0).cast("long").alias("n"),
+        F.array(*CENTRES).alias("centre"), F.array(*map(F.lit, shape)).alias("scatter"),
+        F.array(*map(F.lit, scales)).alias("inverse"), F.lit(float("inf")).alias("log_det"))
 
 
 def squared_distance() -> Column:
     """Mahalanobis distance, from the inverse Cholesky factor of the group's scatter."""
-    off = {d: F.col(f"x_{d}") - F.col(f"m_{d}") for d in DIMS}
-    parts = [reduce(add, (F.col(f"i_{a}_{b}") * off[b] for b in DIMS[:i + 1]))
-             for i, a in enumerate(DIMS)]
+    off = [F.col(f"x_{d}") - F.get("centre", F.lit(k)) for k, d in enumerate(DIMS)]
+    parts = [reduce(add, (at(F.col("inverse"), i, j) * off[j] for j in range(i + 1)))
+             for i in range(len(DIMS))]
     return reduce(add, (p * p for p in parts))
 
 
@@ -210,24 +226,25 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
             .where(F.col("before") < SHARE * F.col("all")))
     names = ["n"] + [f"s_{d}" for d in DIMS] + [f"q_{a}_{b}" for a, b in PAIRS]
     half = near.groupBy(*GROUP, "start").agg(*(F.sum(c).alias(c) for c in names))
-    return inverse_factor(half.select(*GROUP, "start", "n",
-                                      *(v.alias(k) for k, v in moments().items())))
+    centre, scatter = moments()
+    return inverse_factor(half.select(*GROUP, "start", "n", centre.alias("centre"),
+                                      scatter.alias("scatter")))
 
 
-def moments() -> dict[str, Column]:
+def moments() -> tuple[Column, Column]:
     """Means and scatter from the sums; the scatter corrected and floored."""
     n = F.col("n")
     mean = {d: F.col(f"s_{d}") / n for d in DIMS}
-    out = {f"m_{d}": mean[d] for d in DIMS}
+    cells = []
     for a, b in PAIRS:
         scatter = CONSISTENCY * (F.col(f"q_{a}_{b}") / n - mean[a] * mean[b])
-        out[f"c_{a}_{b}"] = F.greatest(scatter, F.lit(0.0)) + FLOORS[a] ** 2 if a == b else scatter
-    return out
+        cells.append(F.greatest(scatter, F.lit(0.0)) + FLOORS[a] ** 2 if a == b else scatter)
+    return F.array(*mean.values()), F.array(*cells)
 
 
 def improved(estimates: DataFrame, following: DataFrame) -> DataFrame:
     """``estimates``, replaced where the following one has a smaller determinant."""
-    values = ["n", *SHAPE, *FITTED[:len(PAIRS)], "log_det"]
+    values = ["n", "centre", "scatter", "inverse", "log_det"]
     fresh = following.select(*GROUP, "start", *(F.col(c).alias(f"new_{c}") for c in values))
     falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - LEAST_FALL, F.lit(False))
     return estimates.join(fresh, [*GROUP, "start"], "left").select(
@@ -237,8 +254,10 @@ def improved(estimates: DataFrame, following: DataFrame) -> DataFrame:
 
 def least_determinant(estimates: DataFrame) -> DataFrame:
     """The start with the smallest determinant of each group."""
-    best = F.min_by(F.struct("n", *SHAPE, "log_det"), F.struct("log_det", "start"))
-    return estimates.groupBy(*GROUP).agg(best.alias("b")).select(*GROUP, "b.*")
+    best = F.min_by(F.struct("n", "centre", "scatter", "log_det"), F.struct("log_det", "start"))
+    return estimates.groupBy(*GROUP).agg(best.alias("b")).select(
+        *GROUP, "b.n", *(F.get("b.centre", F.lit(k)).alias(c) for k, c in enumerate(CENTRES)),
+        *(F.get("b.scatter", F.lit(k)).alias(c) for k, c in enumerate(SCATTERS)), "b.log_det")
 
 
 def shrunk(winners: DataFrame) -> DataFrame:
@@ -251,31 +270,38 @@ def shrunk(winners: DataFrame) -> DataFrame:
     wide = wide.withColumns({f"w_c_{a}_{b}": mean(F.col(f"c_{a}_{b}") + CONSISTENCY * between[a, b])
                              for a, b in PAIRS})
     weight = n / (n + PRIOR_ROWS)
-    return wide.select(*GROUP, *(
-        (weight * F.col(c) + (1 - weight) * F.col(f"w_{c}")).alias(c) for c in SHAPE))
+    return packed(wide.select(*GROUP, *(
+        (weight * F.col(c) + (1 - weight) * F.col(f"w_{c}")).alias(c) for c in SHAPE)), GROUP)
 
 
 def inverse_factor(shaped: DataFrame) -> DataFrame:
     """Add the inverse Cholesky factor of each scatter and the logarithm of its determinant."""
-    steps = []  # each may refer to those before it
-    for i, a in enumerate(DIMS):
-        for j, b in enumerate(DIMS[:i + 1]):
-            rest = F.col(f"c_{a}_{b}")
-            for k in DIMS[:j]:
-                rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
-            value = (F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 / 4))) if a == b
-                     else rest / F.col(f"l_{b}_{b}"))
-            steps.append(value.alias(f"l_{a}_{b}"))
-    for i, a in enumerate(DIMS):
-        steps.append((1 / F.col(f"l_{a}_{a}")).alias(f"i_{a}_{a}"))
-        for j in reversed(range(i)):
-            b = DIMS[j]
-            total = reduce(add, (F.col(f"l_{a}_{k}") * F.col(f"i_{k}_{b}")
-                                 for k in DIMS[j:i]))
-            steps.append((-total / F.col(f"l_{a}_{a}")).alias(f"i_{a}_{b}"))
-    log_det = 2 * reduce(add, (F.log(F.col(f"l_{d}_{d}")) for d in DIMS))
-    return shaped.select("*", *steps, log_det.alias("log_det")).drop(
-        *(f"l_{a}_{b}" for a, b in PAIRS))
+    places = F.array(*(F.struct(F.lit(i).alias("row"), F.lit(j).alias("column"),
+                                F.lit(FLOORS[a] ** 2 / 4).alias("least"))
+                       for i, a in enumerate(DIMS) for j in range(i + 1)))
+    none = F.array().cast("array<double>")
+
+    def following(value):
+        """Numbers are found in the order of the triangle, each from those before it."""
+        return lambda found, p: F.concat(found, F.array(value(found, p["row"], p["column"], p["least"])))
+
+    def factor(found: Column, i: Column, j: Column, least: Column) -> Column:
+        start = lambda row: (row * (row + 1) / 2 + 1).cast("int")
+        products = F.zip_with(F.slice(found, start(i), j), F.slice(found, start(j), j),
+                              lambda x, y: x * y)
+        rest = F.aggregate(products, at(F.col("scatter"), i, j), lambda left, x: left - x)
+        return F.when(i == j, F.sqrt(F.greatest(rest, least))).otherwise(rest / at(found, j, j))
+
+    def inverse(found: Column, i: Column, j: Column, least: Column) -> Column:
+        own = at(F.col("factor"), i, i)
+        total = F.aggregate(F.sequence(j, i - 1), F.lit(0.0),
+                            lambda sum_, k: sum_ + at(F.col("factor"), i, k) * at(found, k, j))
+        return F.when(i == j, 1 / own).otherwise(-total / own)
+
+    log_det = 2 * reduce(add, (F.log(at(F.col("factor"), i, i)) for i in range(len(DIMS))))
+    return shaped.withColumn("factor", F.aggregate(places, none, following(factor))).withColumns({
+        "inverse": F.aggregate(places, none, following(inverse)), "log_det": log_det,
+    }).drop("factor")
 
 
 def concentrated(fair: DataFrame, shares: tuple[float, ...] = STARTS) -> DataFrame:

@@ -395,6 +395,23 @@ def test_quality_smallest_determinant_of_the_starts_wins(spark):
         assert all(abs(r[f"m_{d}"] - (0 if r.g_source == "high" else 8)) < 0.2 for d in quality.DIMS)
 
 
+def test_quality_steps_have_small_plans(spark):
+    """A step is planned for every step of every start, so the driver pays for each column."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(0, 1, (60, 5)) @ rng.normal(0, 1, (5, 5))
+    rows = vector_rows(spark, {"one": points, "null": np.zeros((1, 5))})
+    estimates = quality.first_estimates(rows, quality.STARTS)
+    following = quality.concentrate(rows, estimates)
+    assert len(quality.improved(estimates, following).columns) <= 10
+    for r in following.where("g_source = 'one'").collect():
+        scatter = np.zeros((5, 5))
+        scatter[np.tril_indices(5)] = r.scatter
+        scatter = np.tril(scatter) + np.tril(scatter, -1).T
+        factor = np.linalg.inv(np.linalg.cholesky(scatter))
+        assert np.allclose(factor[np.tril_indices(5)], r.inverse)
+        assert abs(np.linalg.slogdet(scatter)[1] - r.log_det) < 1e-9
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
